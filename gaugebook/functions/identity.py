@@ -39,42 +39,34 @@ def reading_identity(device_id: Column, reading_id: Column, reading_ts: Column)
     )
 
 
-def identity_text(device_id: Column, reading_id: Column, reading_ts: Column) -> Column:
-    """The same as one string, unambiguous because the device length leads.
+def instant_text(r: str) -> str:
+    """SQL text: device and instant of a reading struct as one string.
 
-    Array functions hash strings but compare structs pair by pair.
+    Array functions hash strings but compare structs pair by pair; the leading
+    length keeps the spelling unambiguous.
     """
-    return F.concat(
-        F.length(device_id).cast("string"), F.lit(":"), device_id,
-        F.when(reading_id.isNull(), F.concat(F.lit("@"), F.unix_millis(reading_ts).cast("string")))
-        .otherwise(F.concat(F.lit("#"), reading_id)),
-    )
+    return f"concat(length({r}.device_id), ':', {r}.device_id, '@', unix_millis({r}.reading_ts))"
 
 
-def instant_text(device_id: Column, reading_ts: Column) -> Column:
-    return F.concat(
-        F.length(device_id).cast("string"), F.lit(":"), device_id,
-        F.lit("@"), F.unix_millis(reading_ts).cast("string"),
-    )
+def identity_text(r: str) -> str:
+    """SQL text: the identity of a reading struct as one string."""
+    named = f"concat(length({r}.device_id), ':', {r}.device_id, '#', {r}.reading_id)"
+    return f"CASE WHEN {r}.reading_id IS NULL THEN {instant_text(r)} ELSE {named} END"
 
 
-def request_fingerprint(site_id: Column, readings: Column) -> Column:
-    """Equal for requests that carry the same readings, however they are spelled.
+def request_fingerprint(site_id: str, readings: str) -> str:
+    """SQL text, equal for requests that carry the same readings, however spelled.
 
     `readings` is an array of structs (reading_id, device_id, reading_ts,
     mass_text, source). Order inside the batch, trailing zeros and the offset an
     instant was written with do not count.
     """
-    canonical = F.transform(
-        readings,
-        lambda r: F.struct(
-            F.coalesce(r["reading_id"], F.lit("")).alias("i"),
-            r["device_id"].alias("d"),
-            F.unix_millis(r["reading_ts"]).alias("t"),
-            canonical_decimal(r["mass_text"]).alias("c"),
-            r["source"].alias("s"),
-        ),
+    canonical = (
+        "named_struct('i', coalesce(r.reading_id, ''), 'd', r.device_id, "
+        "'t', unix_millis(r.reading_ts), "
+        f"'c', {canonical_decimal('r.mass_text')}, 's', r.source)"
     )
-    return F.sha2(
-        F.to_json(F.struct(site_id.alias("site"), F.sort_array(canonical).alias("readings"))), 256
+    return (
+        f"sha2(to_json(named_struct('site', {site_id}, 'readings', "
+        f"sort_array(transform({readings}, r -> {canonical})))), 256)"
     )

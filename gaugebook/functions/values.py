@@ -26,26 +26,44 @@ UUID_TEXT = (
 )
 
 
-def stripped(text: Column) -> Column:
-    return F.trim(text, F.lit(TRIMMED))
+# The next functions take and return SQL text, so that they also serve inside array
+# lambdas: a lambda given as text is parsed once, a Python lambda costs a driver
+# round trip per node. At the top level use F.expr(...).
 
 
-def fits(text: Column, limit: int) -> Column:
-    """Between 1 and `limit` UTF-16 units, the unit the contract counts in."""
-    units = F.octet_length(F.encode(text, "UTF-16BE")) / 2
-    # A UTF-8 spelling never has fewer bytes than UTF-16 units, so the encoding
-    # is only paid for on long text.
-    return (F.octet_length(text) >= 1) & (
-        F.when(F.octet_length(text) <= limit, True).otherwise(units <= limit)
+def stripped(text: str) -> str:
+    return f"trim(BOTH '{TRIMMED}' FROM {text})"
+
+
+def fits(text: str, limit: int) -> str:
+    """Between 1 and `limit` UTF-16 units, the unit the contract counts in.
+
+    A UTF-8 spelling never has fewer bytes than UTF-16 units, so the encoding is
+    only paid for on long text.
+    """
+    return (
+        f"(octet_length({text}) >= 1 AND CASE WHEN octet_length({text}) <= {limit} THEN true "
+        f"ELSE octet_length(encode({text}, 'UTF-16BE')) <= {2 * limit} END)"
     )
 
 
-def canonical_decimal(text: Column) -> Column:
+def canonical_decimal(text: str) -> str:
     """Drop trailing zeros after a point; leading zeros are kept."""
-    return F.when(
-        F.instr(text, ".") > 0,
-        F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", ""),
-    ).otherwise(text)
+    bare = f"regexp_replace(regexp_replace({text}, '0+$', ''), '[.]$', '')"
+    return f"CASE WHEN instr({text}, '.') > 0 THEN {bare} ELSE {text} END"
+
+
+def parse_instant(text: str) -> str:
+    """ISO-8601 text with a mandatory offset, cut to milliseconds; NULL if not one."""
+    with_seconds = rf"regexp_replace({text}, r'T(\d\d:\d\d)(?=[Z+-])', 'T$1:00')"
+    return (
+        f"CASE WHEN {text} RLIKE r'{INSTANT_TEXT}' "
+        f"THEN date_trunc('MILLISECOND', try_cast({with_seconds} AS timestamp)) END"
+    )
+
+
+def parse_mass(text: str) -> str:
+    return f"CASE WHEN {text} RLIKE r'{MASS_TEXT}' THEN CAST({text} AS {MASS.simpleString()}) END"
 
 
 def grams_to_kilograms(grams: Column) -> Column:
@@ -63,12 +81,6 @@ def to_millis(ts: Column) -> Column:
     return F.date_trunc("MILLISECOND", ts)
 
 
-def parse_instant(text: Column) -> Column:
-    """ISO-8601 text with a mandatory offset, cut to milliseconds; NULL if not one."""
-    with_seconds = F.regexp_replace(text, r"T(\d\d:\d\d)(?=[Z+-])", "T$1:00")
-    return F.when(text.rlike(INSTANT_TEXT), to_millis(with_seconds.try_cast("timestamp")))
-
-
 def iso_instant(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 

@@ -66,7 +66,7 @@ def conflict_lists(verdicts: DataFrame) -> DataFrame:
         "arrival_seq", F.struct(kind.alias("kind"), "pos", entry.alias("entry")).alias("ranked")
     )
     return ranked.groupBy("arrival_seq").agg(
-        F.transform(F.array_sort(F.collect_list("ranked")), lambda x: x["entry"])
+        F.expr("transform(array_sort(collect_list(ranked)), x -> x.entry)")
         .cast(f"array<{CONFLICT.simpleString()}>")
         .alias("conflicts")
     )

@@ -17,13 +17,11 @@ from gaugebook.functions.identity import (
 )
 from gaugebook.functions.values import (
     LIMIT_TEXT,
-    MASS_TEXT,
     UUID_TEXT,
     derived_uuid,
     fits,
-    grams_to_kilograms,
     parse_instant,
-    stored_mass,
+    parse_mass,
     stripped,
 )
 from gaugebook.schemas import (
@@ -38,34 +36,38 @@ from gaugebook.schemas import (
     SOURCES,
 )
 
+_DETAILS = f"array<{DETAIL.simpleString()}>"
+_NONE = f"CAST(array() AS {_DETAILS})"
+_SIZED = f"coalesce(size(readings) BETWEEN 1 AND {MAX_READINGS_PER_BATCH}, false)"
+_LAST_SECOND_OF_9999 = 253402300799
 
-def _issue(bad: Column, path: Column, message: str) -> Column:
-    """A detail where `bad` holds (or cannot be decided because of a NULL)."""
-    return F.when(
-        F.coalesce(bad, F.lit(True)),
-        F.struct(path.alias("path"), F.lit(message).alias("message")),
+
+def _issue(bad: str, path: str, message: str) -> str:
+    """A detail where `bad` holds, or cannot be decided because of a NULL."""
+    return (
+        f"CASE WHEN coalesce({bad}, true) "
+        f"THEN named_struct('path', {path}, 'message', '{message}') END"
     )
 
 
-def _issues(*found: Column) -> Column:
-    return F.array_compact(F.array(*found)).cast(f"array<{DETAIL.simpleString()}>")
+def _issues(*found: str) -> str:
+    return f"CAST(array_compact(array({', '.join(found)})) AS {_DETAILS})"
 
 
-def _none() -> Column:
-    return F.array().cast(f"array<{DETAIL.simpleString()}>")
+def _field(name: str) -> str:
+    return f"concat('readings.', i, '.{name}')"
 
 
-def _per_reading(readings: Column, rules) -> Column:
-    """Concatenated issues of every reading; `rules(reading, path)` lists them."""
-    return F.flatten(
-        F.transform(
-            readings,
-            lambda r, i: rules(r, lambda name: F.concat(
-                F.lit("readings."), i.cast("string"), F.lit(f".{name}"))),
-        )
+def _size_issue() -> str:
+    return _issue(
+        f"NOT {_SIZED}", "'readings'", f"a batch carries 1 to {MAX_READINGS_PER_BATCH} readings"
     )
 
 
+def _uuid_issue(column: str, path: str) -> str:
+    return _issue(f"NOT {column} RLIKE r'{UUID_TEXT}'", f"'{path}'", "expected a UUID")
+
+
 def _sequenced(arrivals: DataFrame) -> DataFrame:
     """Every ordering starts from arrival_seq, so a missing one must stop the job."""
     seq = F.col("arrival_seq")
@@ -78,224 +80,176 @@ def _sequenced(arrivals: DataFrame) -> DataFrame:
     )
 
 
-def _size_ok(readings: Column) -> Column:
-    return F.coalesce(F.size(readings).between(1, MAX_READINGS_PER_BATCH), F.lit(False))
-
-
-def _size_issue(readings: Column) -> Column:
-    return _issue(
-        ~_size_ok(readings), F.lit("readings"),
-        f"a batch carries 1 to {MAX_READINGS_PER_BATCH} readings",
-    )
-
-
-def _repeated_identities(normal: Column) -> Column:
-    """FLT-3: one reading per identity in a batch; the later index is reported."""
-    keys = F.transform(
-        normal, lambda r: identity_text(r["device_id"], r["reading_id"], r["reading_ts"])
-    )
-    found = F.filter(
-        F.transform(
-            keys,
-            lambda k, i: F.struct(i.alias("at"), (F.array_position(keys, k) - 1).alias("first")),
-        ),
-        lambda x: x["first"] < x["at"],
-    )
-    details = F.transform(
-        found,
-        lambda x: F.struct(
-            F.concat(F.lit("readings."), x["at"].cast("string")).alias("path"),
-            F.concat(
-                F.lit("same reading as index "), x["first"].cast("string"),
-                F.lit("; give each its own readingId if they differ"),
-            ).alias("message"),
-        ),
-    )
-    # The pairwise search only runs for a batch that does repeat an identity.
-    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), details).otherwise(_none())
-
+# FLT-3: one reading per identity in a batch; the later index is reported. The
+# pairwise search only runs for a batch that does repeat an identity.
+_REPEATED = f"""
+CASE WHEN size(array_distinct(keys)) < size(keys) THEN
+  transform(
+    filter(
+      transform(keys, (k, i) -> named_struct('at', i, 'first', array_position(keys, k) - 1)),
+      x -> x.first < x.at),
+    x -> named_struct(
+      'path', concat('readings.', x.at),
+      'message', concat('same reading as index ', x.first,
+                        '; give each its own readingId if they differ')))
+ELSE {_NONE} END
+"""
 
-def _mixed_instants(normal: Column) -> Column:
-    """FLT-4: one identity scheme per (device, instant); the larger index is reported."""
-    where = lambda r: instant_text(r["device_id"], r["reading_ts"])
-    named = F.transform(F.filter(normal, lambda r: r["reading_id"].isNotNull()), where)
-    anonymous = F.transform(F.filter(normal, lambda r: r["reading_id"].isNull()), where)
-    tagged = F.transform(
-        normal,
-        lambda r: F.concat(F.when(r["reading_id"].isNull(), "a").otherwise("n"), where(r)),
-    )
-    details = F.transform(
-        F.array_intersect(named, anonymous),
-        lambda w: F.struct(
-            F.concat(
-                F.lit("readings."),
-                (F.greatest(
-                    F.array_position(tagged, F.concat(F.lit("n"), w)),
-                    F.array_position(tagged, F.concat(F.lit("a"), w)),
-                ) - 1).cast("string"),
-            ).alias("path"),
-            F.lit("readings with and without readingId share a device and instant").alias("message"),
-        ),
-    )
-    return F.when(F.arrays_overlap(named, anonymous), details).otherwise(_none())
+# FLT-4: one identity scheme per (device, instant); the larger index is reported.
+_MIXED = f"""
+CASE WHEN arrays_overlap(named_at, anonymous_at) THEN
+  transform(
+    array_intersect(named_at, anonymous_at),
+    w -> named_struct(
+      'path', concat('readings.', greatest(array_position(tagged, concat('n', w)),
+                                           array_position(tagged, concat('a', w))) - 1),
+      'message', 'readings with and without readingId share a device and instant'))
+ELSE {_NONE} END
+"""
 
 
 def check_current(arrivals: DataFrame) -> DataFrame:
     """FLT-1..5 on the current format; returns the CHECKED columns."""
-
-    def normalise(r: Column) -> Column:
-        return F.struct(
-            stripped(r["readingId"]).alias("reading_id"),
-            stripped(r["deviceId"]).alias("device_id"),
-            parse_instant(r["readingTs"]).alias("reading_ts"),
-            F.when(r["ch4Kg"].rlike(MASS_TEXT), r["ch4Kg"].try_cast(MASS)).alias("ch4_kg"),
-            F.coalesce(r["source"], F.lit(DEFAULT_SOURCE)).alias("source"),
-            r["ch4Kg"].alias("mass_text"),
-        )
-
-    def rules(r: Column, at) -> Column:
-        named = r["reading_id"].isNotNull()
-        return _issues(
-            _issue(named & ~fits(r["reading_id"], MAX_READING_ID), at("readingId"),
-                   f"expected 1 to {MAX_READING_ID} characters"),
-            _issue(~fits(r["device_id"], MAX_DEVICE_ID), at("deviceId"),
-                   f"expected 1 to {MAX_DEVICE_ID} characters"),
-            _issue(r["reading_ts"].isNull(), at("readingTs"),
-                   "expected an ISO-8601 instant with an offset"),
-            _issue(r["ch4_kg"].isNull(), at("ch4Kg"),
-                   "expected a decimal of up to 10 integer digits and 4 decimals"),
-            _issue(~r["source"].isin(*SOURCES), at("source"),
-                   "expected one of " + ", ".join(SOURCES)),
-        )
-
-    key = stripped(F.col("idempotency_key"))
-    normal = F.col("normal")
-    staged = (
+    normal = f"""
+      CASE WHEN {_SIZED} THEN transform(readings, r -> named_struct(
+        'reading_id', {stripped('r.readingId')},
+        'device_id', {stripped('r.deviceId')},
+        'reading_ts', {parse_instant('r.readingTs')},
+        'ch4_kg', {parse_mass('r.ch4Kg')},
+        'source', coalesce(r.source, '{DEFAULT_SOURCE}'),
+        'mass_text', r.ch4Kg)) END"""
+    sources = ", ".join(f"'{s}'" for s in SOURCES)
+    reading_issues = _issues(
+        _issue(f"r.reading_id IS NOT NULL AND NOT {fits('r.reading_id', MAX_READING_ID)}",
+               _field("readingId"), f"expected 1 to {MAX_READING_ID} characters"),
+        _issue(f"NOT {fits('r.device_id', MAX_DEVICE_ID)}", _field("deviceId"),
+               f"expected 1 to {MAX_DEVICE_ID} characters"),
+        _issue("r.reading_ts IS NULL", _field("readingTs"),
+               "expected an ISO-8601 instant with an offset"),
+        _issue("r.ch4_kg IS NULL", _field("ch4Kg"),
+               "expected a decimal of up to 10 integer digits and 4 decimals"),
+        _issue(f"NOT r.source IN ({sources})", _field("source"),
+               "expected one of " + ", ".join(SOURCES)),
+    )
+    envelope = _issues(_uuid_issue("site_id", "siteId"), _size_issue())
+    key_issue = _issues(
+        _issue("coalesce(idempotency_key, '') = ''", "'Idempotency-Key'", "a key is required")
+    )
+    # Cross-reading rules need every field to be readable first; a missing key is
+    # reported only for a body that is otherwise valid.
+    judged = (
         _sequenced(arrivals)
-        .withColumn("sized", _size_ok(F.col("readings")))
-        .withColumn("normal", F.when(F.col("sized"), F.transform("readings", normalise)))
+        .withColumns(
+            {"normal": F.expr(normal), "idempotency_key": F.expr(stripped("idempotency_key"))}
+        )
         .withColumn(
             "field_issues",
-            F.concat(
-                _issues(
-                    _issue(~F.col("site_id").rlike(UUID_TEXT), F.lit("siteId"), "expected a UUID"),
-                    _size_issue(F.col("readings")),
-                ),
-                F.coalesce(_per_reading(normal, rules), _none()),
-            ),
+            F.expr(f"concat({envelope}, coalesce(flatten(transform(normal, (r, i) -> "
+                   f"{reading_issues})), {_NONE}))"),
+        )
+        .withColumn("clean", F.expr("CASE WHEN size(field_issues) = 0 THEN normal END"))
+        .withColumns(
+            {
+                "keys": F.expr(f"transform(clean, r -> {identity_text('r')})"),
+                "named_at": F.expr(
+                    f"transform(filter(clean, r -> r.reading_id IS NOT NULL), "
+                    f"r -> {instant_text('r')})"),
+                "anonymous_at": F.expr(
+                    f"transform(filter(clean, r -> r.reading_id IS NULL), "
+                    f"r -> {instant_text('r')})"),
+                "tagged": F.expr(
+                    f"transform(clean, r -> concat(if(r.reading_id IS NULL, 'a', 'n'), "
+                    f"{instant_text('r')}))"),
+            }
+        )
+        .withColumn(
+            "body_issues",
+            F.expr(f"CASE WHEN clean IS NULL THEN field_issues "
+                   f"ELSE concat({_REPEATED}, {_MIXED}) END"),
+        )
+        .withColumn(
+            "details",
+            F.expr(f"CASE WHEN size(body_issues) > 0 THEN body_issues ELSE {key_issue} END"),
         )
     )
-    clean = F.size("field_issues") == 0
-    # Cross-reading rules need every field to be readable first.
-    body = staged.withColumn(
-        "body_issues",
-        F.when(clean, F.concat(_repeated_identities(normal), _mixed_instants(normal)))
-        .otherwise(F.col("field_issues")),
-    )
-    key_issue = _issues(_issue(F.coalesce(key, F.lit("")) == "", F.lit("Idempotency-Key"),
-                               "a key is required"))
-    # A missing key is reported only for a body that is otherwise valid.
-    judged = body.withColumn(
-        "details", F.when(F.size("body_issues") > 0, F.col("body_issues")).otherwise(key_issue)
-    ).withColumn("idempotency_key", key)
     return _checked(judged, F.coalesce(F.col("api_version"), F.lit("2")))
 
 
 def check_legacy(arrivals: DataFrame) -> DataFrame:
-    """FLT-6 and PRJ-1: legacy rules, then the current shape. No FLT-3 / FLT-4 here."""
-
-    def normalise(r: Column) -> Column:
-        kilograms = grams_to_kilograms(r["ch4_g"])
-        # Beyond year 9999 the tables' month text is not defined.
-        second = F.when(r["ts"] <= 253402300799, r["ts"])
-        return F.struct(
-            F.lit(None).cast("string").alias("reading_id"),
-            stripped(r["device_id"]).alias("device_id"),
-            F.timestamp_seconds(second).alias("reading_ts"),
-            stored_mass(kilograms).alias("ch4_kg"),
-            F.lit(DEFAULT_SOURCE).alias("source"),
-            kilograms.cast("string").alias("mass_text"),
-        )
-
-    def rules(pair: Column, at) -> Column:
-        raw, normal = pair["raw"], pair["normal"]
-        return _issues(
-            _issue(~fits(normal["device_id"], MAX_DEVICE_ID), at("device_id"),
-                   f"expected 1 to {MAX_DEVICE_ID} characters"),
-            _issue((raw["ts"] <= 0) | normal["reading_ts"].isNull(), at("ts"),
-                   "expected epoch seconds above 0"),
-            _issue((raw["ch4_g"] < 0) | normal["ch4_kg"].isNull(), at("ch4_g"),
-                   "expected grams of 0 or more that fit the table"),
-        )
-
-    staged = (
+    """FLT-6 and PRJ-1: legacy rules, then the current shape. No FLT-3 / FLT-4 here.
+
+    Grams become kilograms by a decimal product, which is exact; the table holds
+    four decimals of it.
+    """
+    mass = MASS.simpleString()
+    normal = f"""
+      CASE WHEN {_SIZED} THEN transform(readings, r -> named_struct(
+        'reading_id', CAST(NULL AS string),
+        'device_id', {stripped('r.device_id')},
+        'reading_ts', CASE WHEN r.ts <= {_LAST_SECOND_OF_9999} THEN timestamp_seconds(r.ts) END,
+        'ch4_kg', try_cast(round(r.ch4_g * 0.001BD, 4) AS {mass}),
+        'source', '{DEFAULT_SOURCE}',
+        'mass_text', CAST(r.ch4_g * 0.001BD AS string))) END"""
+    reading_issues = _issues(
+        _issue(f"NOT {fits('n.device_id', MAX_DEVICE_ID)}", _field("device_id"),
+               f"expected 1 to {MAX_DEVICE_ID} characters"),
+        _issue("readings[i].ts <= 0 OR n.reading_ts IS NULL", _field("ts"),
+               "expected epoch seconds above 0"),
+        _issue("readings[i].ch4_g < 0 OR n.ch4_kg IS NULL", _field("ch4_g"),
+               "expected grams of 0 or more that fit the table"),
+    )
+    envelope = _issues(
+        _uuid_issue("site_id", "site_id"), _uuid_issue("batch_id", "batch_id"), _size_issue()
+    )
+    judged = (
         _sequenced(arrivals)
-        .withColumn("sized", _size_ok(F.col("readings")))
-        .withColumn("normal", F.when(F.col("sized"), F.transform("readings", normalise)))
-    )
-    pairs = F.zip_with(
-        F.col("readings"), F.col("normal"),
-        lambda raw, normal: F.struct(raw.alias("raw"), normal.alias("normal")),
+        .withColumns({"normal": F.expr(normal), "idempotency_key": F.col("batch_id")})
+        .withColumn(
+            "details",
+            F.expr(f"concat({envelope}, coalesce(flatten(transform(normal, (n, i) -> "
+                   f"{reading_issues})), {_NONE}))"),
+        )
     )
-    judged = staged.withColumn(
-        "details",
-        F.concat(
-            _issues(
-                _issue(~F.col("site_id").rlike(UUID_TEXT), F.lit("site_id"), "expected a UUID"),
-                _issue(~F.col("batch_id").rlike(UUID_TEXT), F.lit("batch_id"), "expected a UUID"),
-                _size_issue(F.col("readings")),
-            ),
-            F.when(F.col("sized"), _per_reading(pairs, rules)).otherwise(_none()),
-        ),
-    ).withColumn("idempotency_key", F.col("batch_id"))
     return _checked(judged, F.lit("1"))
 
 
 def _checked(judged: DataFrame, version: Column) -> DataFrame:
-    valid = F.size("details") == 0
+    readings = (
+        "transform(normal, r -> named_struct('reading_id', r.reading_id, 'device_id', r.device_id, "
+        "'reading_ts', r.reading_ts, 'ch4_kg', r.ch4_kg, 'source', r.source))"
+    )
+    fingerprint = request_fingerprint("site_id", "normal")
     return judged.select(
         "arrival_seq",
         version.alias("api_version"),
         "idempotency_key",
         F.lower("site_id").alias("site_id"),
-        F.when(
-            valid,
-            F.transform(
-                "normal",
-                lambda r: F.struct(
-                    r["reading_id"].alias("reading_id"),
-                    r["device_id"].alias("device_id"),
-                    r["reading_ts"].alias("reading_ts"),
-                    r["ch4_kg"].alias("ch4_kg"),
-                    r["source"].alias("source"),
-                ),
-            ),
-        ).alias("readings"),
-        F.when(valid, request_fingerprint(F.col("site_id"), F.col("normal"))).alias("fingerprint"),
+        F.expr(f"CASE WHEN size(details) = 0 THEN {readings} END").alias("readings"),
+        F.expr(f"CASE WHEN size(details) = 0 THEN {fingerprint} END").alias("fingerprint"),
         "details",
     )
 
 
 def check_sites(feed: DataFrame) -> DataFrame:
     """FLT-7 on a site registration feed: id, name, limit, metadata, details."""
-    name = stripped(F.col("name"))
-    limit = F.when(F.col("emissionLimitKg").rlike(LIMIT_TEXT), F.col("emissionLimitKg").cast(LIMIT))
     metadata = F.coalesce(F.col("metadata"), F.lit("{}"))
-    is_object = F.schema_of_variant(F.try_parse_json(metadata)).startswith("OBJECT")
-    site_id = F.coalesce(
-        F.lower("id"), derived_uuid(name, F.coalesce(F.col("emissionLimitKg"), F.lit("")), metadata)
-    )
-    return feed.select(
-        site_id.alias("id"),
-        name.alias("name"),
-        limit.alias("emission_limit_kg"),
+    named = feed.select(
+        F.col("id"),
+        F.expr(stripped("name")).alias("name"),
+        F.expr(f"CASE WHEN emissionLimitKg RLIKE r'{LIMIT_TEXT}' "
+               f"THEN CAST(emissionLimitKg AS {LIMIT.simpleString()}) END").alias("emission_limit_kg"),
         metadata.alias("metadata"),
-        _issues(
-            _issue(~site_id.rlike(UUID_TEXT), F.lit("id"), "expected a UUID"),
-            _issue(~fits(name, MAX_SITE_NAME), F.lit("name"),
+    )
+    derived = derived_uuid(F.col("name"), F.col("emission_limit_kg"), F.col("metadata"))
+    return named.withColumn("id", F.coalesce(F.lower("id"), derived)).withColumn(
+        "details",
+        F.expr(_issues(
+            _uuid_issue("id", "id"),
+            _issue(f"NOT {fits('name', MAX_SITE_NAME)}", "'name'",
                    f"expected 1 to {MAX_SITE_NAME} characters"),
-            _issue(limit.isNull() | (limit <= 0), F.lit("emissionLimitKg"),
+            _issue("emission_limit_kg IS NULL OR emission_limit_kg <= 0", "'emissionLimitKg'",
                    "expected a decimal above 0 of up to 11 integer digits and 3 decimals"),
-            _issue(~is_object, F.lit("metadata"), "expected a JSON object"),
-        ).alias("details"),
+            _issue("NOT startswith(schema_of_variant(try_parse_json(metadata)), 'OBJECT')",
+                   "'metadata'", "expected a JSON object"),
+        )),
     )

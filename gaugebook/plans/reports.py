@@ -14,7 +14,7 @@ from gaugebook.functions.compliance import (
     utilization_band,
     utilization_pct,
 )
-from gaugebook.functions.values import iso_instant, mass_text
+from gaugebook.functions.values import mass_text
 from gaugebook.schemas import (
     DEFAULT_PAGE_SIZE,
     EXCEEDED_EVENT,
@@ -185,15 +185,12 @@ def response_text(rows: DataFrame) -> DataFrame:
                 F.col("total_kg").cast("string").alias("totalEmissionsToDateKg"),
                 F.col("compliance_status").alias("complianceStatus"),
                 F.col("idempotent_replay").alias("idempotentReplay"),
-                F.transform(
-                    "conflicts",
-                    lambda c: F.struct(
-                        c["reason"].alias("reason"),
-                        c["device_id"].alias("deviceId"),
-                        iso_instant(c["reading_ts"]).alias("readingTs"),
-                        c["submitted_kg"].cast("string").alias("submittedCh4Kg"),
-                        c["stored_kg"].cast("string").alias("storedCh4Kg"),
-                    ),
+                F.expr(
+                    "transform(conflicts, c -> named_struct('reason', c.reason, "
+                    "'deviceId', c.device_id, "
+                    "'readingTs', date_format(c.reading_ts, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\"), "
+                    "'submittedCh4Kg', CAST(c.submitted_kg AS string), "
+                    "'storedCh4Kg', CAST(c.stored_kg AS string)))"
                 ).alias("conflicts"),
             )
         ).alias("response"),
@@ -237,7 +234,7 @@ def duplicate_tally(results: DataFrame, rejects: DataFrame, ledger: DataFrame) -
     by instant; the rest of the gap between submitted and accepted are duplicates.
     """
     def conflicts_of(reason: str) -> Column:
-        return F.size(F.filter(F.col("response.conflicts"), lambda c: c["reason"] == reason))
+        return F.expr(f"size(filter(response.conflicts, c -> c.reason = '{reason}'))")
 
     gap = F.col("readings_submitted") - F.col("readings_accepted")
     per_batch = ledger.select(

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugebook.schemas import PARTITIONED_BY, TABLES
@@ -77,13 +78,14 @@ class Store:
         if stream:
             streams[stream[0]] = stream[1]
         summary_epoch = epoch if "site_summary" in wrote else head.summary_epoch
-        row = (summary_epoch, sorted(head.tables | set(wrote)), streams, at)
-        (
-            self.spark.createDataFrame([row], COMMIT)
-            .coalesce(1)
-            .write.mode("overwrite")
-            .parquet(f"{self.root}/commits/epoch={epoch}")
+        stream_map = F.create_map(*[F.lit(x) for pair in streams.items() for x in pair])
+        row = self.spark.range(0, 1, 1, 1).select(
+            F.lit(summary_epoch).cast("bigint").alias("summary_epoch"),
+            F.array(*[F.lit(t) for t in sorted(head.tables | set(wrote))]).alias("tables"),
+            stream_map.cast("map<string,bigint>").alias("streams"),
+            F.lit(at).alias("committed_at"),
         )
+        row.write.mode("overwrite").parquet(f"{self.root}/commits/epoch={epoch}")
         return epoch
 
     # ---- tables --------------------------------------------------------------
@@ -94,7 +96,9 @@ class Store:
         """SRC-4: committed rows of a table, with their `epoch`."""
         head = head or self.head()
         if table not in head.tables:
-            return self.spark.createDataFrame([], self._schema(table))
+            # Folded to an empty relation at planning time, so joins with it vanish.
+            none = [F.lit(None).cast(f.dataType).alias(f.name) for f in self._schema(table)]
+            return self.spark.range(1).filter(F.lit(False)).select(*none)
         rows = self.spark.read.schema(self._schema(table)).parquet(f"{self.root}/{table}")
         return rows.filter(rows["epoch"] <= head.epoch)
 
