@@ -41,6 +41,7 @@ from gaugebook.functions.values import (
 from gaugebook.operators.totals import advance_summary
 from gaugebook.operators.validate import check_current, check_legacy
 from gaugebook.plans.reports import site_view
+from gaugebook.session import stage
 
 
 @query("prj_1_legacy_normalised", f"""
@@ -52,7 +53,7 @@ SELECT {SITE_E} AS site_id, lpad(CAST(blk AS VARCHAR), 8, '0') || '-0000-4000-80
 FROM e""")
 def legacy_normalised(spark, sf_dir):
     return (
-        check_legacy(events_legacy(spark, sf_dir))
+        stage(check_legacy(events_legacy(spark, sf_dir)), "checked")
         .select("site_id", "idempotency_key", F.posexplode("readings").alias("pos", "r"))
         .select(
             "site_id", "idempotency_key", F.col("pos").cast("bigint").alias("pos"),
@@ -222,7 +223,7 @@ def defaults(spark, sf_dir):
                "'source', if(k % 3 = 0, 'satellite', null)))"),
     )
     return (
-        check_current(unsourced).select("site_id", F.explode("readings").alias("r"))
+        stage(check_current(unsourced), "checked").select("site_id", F.explode("readings").alias("r"))
         .groupBy("site_id", F.col("r.source").alias("source")).agg(F.count("*").alias("n"))
     )
 

@@ -134,7 +134,7 @@ def mixed_schemes(spark, sf_dir):
         "d -> d.path), ',')"
     )
     return (
-        check_current(events_current(spark, sf_dir, rid))
+        stage(check_current(events_current(spark, sf_dir, rid)), "checked")
         .select("arrival_seq", mixed.alias("paths")).filter("paths <> ''")
     )
 

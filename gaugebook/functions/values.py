@@ -55,7 +55,10 @@ def canonical_decimal(text: str) -> str:
 
 def parse_instant(text: str) -> str:
     """ISO-8601 text with a mandatory offset, cut to milliseconds; NULL if not one."""
-    with_seconds = rf"regexp_replace({text}, r'T(\d\d:\d\d)(?=[Z+-])', 'T$1:00')"
+    with_seconds = (
+        f"CASE WHEN substring({text}, 17, 1) = ':' THEN {text} "
+        f"ELSE concat(substring({text}, 1, 16), ':00', substring({text}, 17)) END"
+    )
     return (
         f"CASE WHEN {text} RLIKE r'{INSTANT_TEXT}' "
         f"THEN date_trunc('MILLISECOND', try_cast({with_seconds} AS timestamp)) END"
@@ -96,7 +99,7 @@ def mass_text(amount: Column) -> Column:
 
 def derived_uuid(*parts: Column) -> Column:
     """A name-based id (UUID version 8): stable when a task is run again."""
-    h = F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)
+    h = F.sha2(F.concat_ws("\u001f", *[p.cast("string") for p in parts]), 256)
     return F.concat(
         F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-8"),
         F.substring(h, 13, 3), F.lit("-a"), F.substring(h, 16, 3), F.lit("-"),

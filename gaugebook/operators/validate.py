@@ -1,7 +1,9 @@
 """Whole-batch validation: each function adds `details`, empty when a row is valid.
 
 All rules are array functions over the row's own readings (at most 100 of them
-once the size rule has passed), so validation never shuffles.
+once the size rule has passed), so validation never shuffles. Stage the result
+before filtering or exploding it: a pushed-down predicate would evaluate the rules
+again inside the filter.
 """
 
 from __future__ import annotations
@@ -54,8 +56,19 @@ def _issues(*found: str) -> str:
     return f"CAST(array_compact(array({', '.join(found)})) AS {_DETAILS})"
 
 
-def _field(name: str) -> str:
-    return f"concat('readings.', i, '.{name}')"
+def _reading_issues(rules: list[tuple[str, str, str]]) -> str:
+    """Issues of every reading in `normal`; a rule is (violated, field, message).
+
+    One boolean pass settles the usual case; details are built for bad batches only.
+    """
+    fine = " AND ".join(f"NOT coalesce({bad}, true)" for bad, _, _ in rules)
+    listed = _issues(
+        *(_issue(bad, f"concat('readings.', i, '.{field}')", text) for bad, field, text in rules)
+    )
+    return (
+        f"CASE WHEN normal IS NULL OR forall(normal, r -> {fine}) THEN {_NONE} "
+        f"ELSE flatten(transform(normal, (r, i) -> {listed})) END"
+    )
 
 
 def _size_issue() -> str:
@@ -96,10 +109,13 @@ ELSE {_NONE} END
 """
 
 # FLT-4: one identity scheme per (device, instant); the larger index is reported.
+# `tagged` is only set for batches that use both schemes.
+_NAMED_AT = "transform(filter(tagged, t -> t LIKE 'n%'), t -> substring(t, 2))"
+_ANONYMOUS_AT = "transform(filter(tagged, t -> t LIKE 'a%'), t -> substring(t, 2))"
 _MIXED = f"""
-CASE WHEN arrays_overlap(named_at, anonymous_at) THEN
+CASE WHEN tagged IS NOT NULL THEN
   transform(
-    array_intersect(named_at, anonymous_at),
+    array_intersect({_NAMED_AT}, {_ANONYMOUS_AT}),
     w -> named_struct(
       'path', concat('readings.', greatest(array_position(tagged, concat('n', w)),
                                            array_position(tagged, concat('a', w))) - 1),
@@ -119,52 +135,46 @@ def check_current(arrivals: DataFrame) -> DataFrame:
         'source', coalesce(r.source, '{DEFAULT_SOURCE}'),
         'mass_text', r.ch4Kg)) END"""
     sources = ", ".join(f"'{s}'" for s in SOURCES)
-    reading_issues = _issues(
-        _issue(f"r.reading_id IS NOT NULL AND NOT {fits('r.reading_id', MAX_READING_ID)}",
-               _field("readingId"), f"expected 1 to {MAX_READING_ID} characters"),
-        _issue(f"NOT {fits('r.device_id', MAX_DEVICE_ID)}", _field("deviceId"),
-               f"expected 1 to {MAX_DEVICE_ID} characters"),
-        _issue("r.reading_ts IS NULL", _field("readingTs"),
-               "expected an ISO-8601 instant with an offset"),
-        _issue("r.ch4_kg IS NULL", _field("ch4Kg"),
-               "expected a decimal of up to 10 integer digits and 4 decimals"),
-        _issue(f"NOT r.source IN ({sources})", _field("source"),
-               "expected one of " + ", ".join(SOURCES)),
-    )
+    rules = [
+        (f"r.reading_id IS NOT NULL AND NOT {fits('r.reading_id', MAX_READING_ID)}",
+         "readingId", f"expected 1 to {MAX_READING_ID} characters"),
+        (f"NOT {fits('r.device_id', MAX_DEVICE_ID)}",
+         "deviceId", f"expected 1 to {MAX_DEVICE_ID} characters"),
+        ("r.reading_ts IS NULL", "readingTs", "expected an ISO-8601 instant with an offset"),
+        ("r.ch4_kg IS NULL", "ch4Kg",
+         "expected a decimal of up to 10 integer digits and 4 decimals"),
+        (f"NOT r.source IN ({sources})", "source", "expected one of " + ", ".join(SOURCES)),
+    ]
     envelope = _issues(_uuid_issue("site_id", "siteId"), _size_issue())
     key_issue = _issues(
         _issue("coalesce(idempotency_key, '') = ''", "'Idempotency-Key'", "a key is required")
     )
+    both = (
+        "exists(normal, r -> r.reading_id IS NULL) "
+        "AND exists(normal, r -> r.reading_id IS NOT NULL)"
+    )
     # Cross-reading rules need every field to be readable first; a missing key is
-    # reported only for a body that is otherwise valid.
+    # reported only for a body that is otherwise valid. The arrays behind a rule are
+    # only built for batches the rule can apply to.
     judged = (
         _sequenced(arrivals)
         .withColumns(
             {"normal": F.expr(normal), "idempotency_key": F.expr(stripped("idempotency_key"))}
         )
-        .withColumn(
-            "field_issues",
-            F.expr(f"concat({envelope}, coalesce(flatten(transform(normal, (r, i) -> "
-                   f"{reading_issues})), {_NONE}))"),
-        )
-        .withColumn("clean", F.expr("CASE WHEN size(field_issues) = 0 THEN normal END"))
+        .withColumn("field_issues", F.expr(f"concat({envelope}, {_reading_issues(rules)})"))
         .withColumns(
             {
-                "keys": F.expr(f"transform(clean, r -> {identity_text('r')})"),
-                "named_at": F.expr(
-                    f"transform(filter(clean, r -> r.reading_id IS NOT NULL), "
-                    f"r -> {instant_text('r')})"),
-                "anonymous_at": F.expr(
-                    f"transform(filter(clean, r -> r.reading_id IS NULL), "
-                    f"r -> {instant_text('r')})"),
+                "keys": F.expr(
+                    f"CASE WHEN size(field_issues) = 0 AND size(normal) > 1 "
+                    f"THEN transform(normal, r -> {identity_text('r')}) END"),
                 "tagged": F.expr(
-                    f"transform(clean, r -> concat(if(r.reading_id IS NULL, 'a', 'n'), "
-                    f"{instant_text('r')}))"),
+                    f"CASE WHEN size(field_issues) = 0 AND {both} THEN transform(normal, r -> "
+                    f"concat(if(r.reading_id IS NULL, 'a', 'n'), {instant_text('r')})) END"),
             }
         )
         .withColumn(
             "body_issues",
-            F.expr(f"CASE WHEN clean IS NULL THEN field_issues "
+            F.expr(f"CASE WHEN size(field_issues) > 0 THEN field_issues "
                    f"ELSE concat({_REPEATED}, {_MIXED}) END"),
         )
         .withColumn(
@@ -189,26 +199,22 @@ def check_legacy(arrivals: DataFrame) -> DataFrame:
         'reading_ts', CASE WHEN r.ts <= {_LAST_SECOND_OF_9999} THEN timestamp_seconds(r.ts) END,
         'ch4_kg', try_cast(round(r.ch4_g * 0.001BD, 4) AS {mass}),
         'source', '{DEFAULT_SOURCE}',
-        'mass_text', CAST(r.ch4_g * 0.001BD AS string))) END"""
-    reading_issues = _issues(
-        _issue(f"NOT {fits('n.device_id', MAX_DEVICE_ID)}", _field("device_id"),
-               f"expected 1 to {MAX_DEVICE_ID} characters"),
-        _issue("readings[i].ts <= 0 OR n.reading_ts IS NULL", _field("ts"),
-               "expected epoch seconds above 0"),
-        _issue("readings[i].ch4_g < 0 OR n.ch4_kg IS NULL", _field("ch4_g"),
-               "expected grams of 0 or more that fit the table"),
-    )
+        'mass_text', CAST(r.ch4_g * 0.001BD AS string),
+        'raw_ts', r.ts, 'raw_g', r.ch4_g)) END"""
+    rules = [
+        (f"NOT {fits('r.device_id', MAX_DEVICE_ID)}",
+         "device_id", f"expected 1 to {MAX_DEVICE_ID} characters"),
+        ("r.reading_ts IS NULL OR r.raw_ts <= 0", "ts", "expected epoch seconds above 0"),
+        ("r.ch4_kg IS NULL OR r.ch4_kg < 0 OR r.raw_g < 0", "ch4_g",
+         "expected grams of 0 or more that fit the table"),
+    ]
     envelope = _issues(
         _uuid_issue("site_id", "site_id"), _uuid_issue("batch_id", "batch_id"), _size_issue()
     )
     judged = (
         _sequenced(arrivals)
         .withColumns({"normal": F.expr(normal), "idempotency_key": F.col("batch_id")})
-        .withColumn(
-            "details",
-            F.expr(f"concat({envelope}, coalesce(flatten(transform(normal, (n, i) -> "
-                   f"{reading_issues})), {_NONE}))"),
-        )
+        .withColumn("details", F.expr(f"concat({envelope}, {_reading_issues(rules)})"))
     )
     return _checked(judged, F.lit("1"))
 

@@ -98,8 +98,11 @@ def decide_epoch(
     limits = sites.select(
         F.col("id").alias("site_id"), F.col("name").alias("site_name"), "emission_limit_kg"
     )
+    largest = owned.groupBy("site_id").count().agg(F.max("count")).first()[0] or 0
     batches = totals_after(
-        owned.join(batch_deltas(verdicts), "arrival_seq").join(limits, "site_id"), opening
+        owned.join(batch_deltas(verdicts), "arrival_seq").join(limits, "site_id"),
+        opening,
+        largest,
     )
     return Epoch(claims, verdicts, stage(batches, "batches"))
 
@@ -131,22 +134,20 @@ def _stored_state(
 def measurement_rows(verdicts: DataFrame, as_of: Column) -> DataFrame:
     """FLT-12 / SNK-1: accepted readings as table rows."""
     rows = verdicts.filter(F.col("verdict") == ACCEPT).select(
-        derived_uuid(F.col("batch_id"), F.col("ord")).alias("id"),
-        "site_id",
-        "batch_id",
-        "reading_id",
-        "device_id",
-        "reading_ts",
-        "ch4_kg",
-        "source",
-        as_of.alias("created_at"),
+        "site_id", "batch_id", "reading_id", "device_id", "reading_ts", "ch4_kg", "source",
         F.col("ord").alias("arrival_ord"),
         month_of(F.col("reading_ts")).alias("month"),
     )
     # Whole months stay together and sorted by site, so files are few and their
     # row-group statistics prune; a hot month or site spreads over many ranges.
     order = ["month", "site_id", "reading_ts"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return (
+        rows.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumns(
+            {"id": derived_uuid(F.col("batch_id"), F.col("arrival_ord")), "created_at": as_of}
+        )
+    )
 
 
 def ledger_rows(batches: DataFrame, as_of: Column) -> DataFrame:
