@@ -1,6 +1,13 @@
 """Imports every module of queries, which registers them."""
 
-from gaugebook.catalog import expressions, filters, joins, sources_and_tables  # noqa: F401
+from gaugebook.catalog import (
+    aggregates,
+    expressions,
+    filters,
+    joins,
+    ordering,
+    sources_and_tables,
+)
 from gaugebook.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
