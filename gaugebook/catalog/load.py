@@ -6,7 +6,9 @@ from gaugebook.catalog import (
     filters,
     joins,
     ordering,
+    reports,
     sources_and_tables,
+    stateful,
 )
 from gaugebook.catalog.registry import ORACLES, QUERIES
 
