@@ -37,6 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table is one file and one task; large inputs split by themselves."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def site_uuid(number: Column) -> Column:
     return F.concat(
         F.lit("00000000-0000-4000-8000-"), F.lpad(number.cast("string"), 12, "0")
@@ -189,7 +195,7 @@ def lineitem_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed M: an id on even k only, so most instants see both schemes."""
     k = F.col("k")
-    return event_readings(spark, sf_dir).select(
+    return spread(event_readings(spark, sf_dir)).select(
         F.col("event_id").alias("arrival_seq"),
         F.lit("2").alias("api_version"),
         F.col("event_id").cast("string").alias("idempotency_key"),

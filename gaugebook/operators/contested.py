@@ -17,38 +17,50 @@ candidates are few is finished by one ordered pass over just those rows.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugebook.functions.identity import IDENTIFIED_KEY, INSTANT_KEY
 from gaugebook.session import stage
 
-# Most undecided rows of one device that are sorted and walked in one task.
+# Most undecided rows of one device that are walked in one task.
 ORDERED_PASS_ROWS = 100_000
 
 CANDIDATE = ["site_id", "device_id", "reading_id", "reading_ts", "ord", "ch4_kg"]
 
 
-def accepted_in_order(device: pd.DataFrame) -> pd.DataFrame:
-    """One device's candidates in arrival order; returns the accepted ones."""
+def accepted_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walks rows sorted by device and arrival; yields the accepted ones.
+
+    A partition holds many devices, so rows stream through in Arrow batches and only
+    the device at hand keeps state: its accepted ids and the instants it holds.
+    """
+    device = None
     ids: set = set()
     named_at: set = set()
     anonymous_at: set = set()
-    keep = []
-    ordered = device.sort_values("ord", kind="stable")
-    for reading_id, at in zip(ordered["reading_id"], ordered["reading_ts"]):
-        if reading_id is None:
-            ok = at not in named_at and at not in anonymous_at
-            if ok:
-                anonymous_at.add(at)
-        else:
-            ok = at not in anonymous_at and reading_id not in ids
-            if ok:
-                ids.add(reading_id)
-                named_at.add(at)
-        keep.append(ok)
-    return ordered[keep]
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("site_id", "device_id", "reading_id")]
+        instants = batch.column("reading_ts").cast(pa.int64()).to_pylist()
+        keep = []
+        for site, name, reading_id, at in zip(*columns, instants):
+            if (site, name) != device:
+                device = (site, name)
+                ids, named_at, anonymous_at = set(), set(), set()
+            if reading_id is None:
+                ok = at not in named_at and at not in anonymous_at
+                if ok:
+                    anonymous_at.add(at)
+            else:
+                ok = at not in anonymous_at and reading_id not in ids
+                if ok:
+                    ids.add(reading_id)
+                    named_at.add(at)
+            keep.append(ok)
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def one_round(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -109,7 +121,11 @@ def settle(candidates: DataFrame, ordered_pass_rows: int = ORDERED_PASS_ROWS) ->
         accepted = now if accepted is None else accepted.unionByName(now)
     if largest is None:
         return accepted if accepted is not None else candidates
-    last = open_.groupBy("site_id", "device_id").applyInPandas(
-        accepted_in_order, schema=candidates.select(*CANDIDATE).schema
+    device = ["site_id", "device_id"]
+    last = (
+        open_.select(*CANDIDATE)
+        .repartition(*device)
+        .sortWithinPartitions(*device, "ord")
+        .mapInArrow(accepted_in_order, candidates.select(*CANDIDATE).schema)
     )
     return last if accepted is None else accepted.unionByName(last)

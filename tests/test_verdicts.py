@@ -76,7 +76,7 @@ def test_hot_reading_and_hot_id(spark):
         assert verdicts(resolve(frame(spark, batches), ordered_pass_rows=limit)) == run(batches)
 
 
-@pytest.mark.parametrize("cuts", [[], [5], [2, 4, 8]])
+@pytest.mark.parametrize("cuts", [[5], [2, 8]])
 def test_any_split_into_epochs(spark, tmp_path, cuts):
     """The same log through the whole ingest, cut into epochs at any batch."""
     rng = random.Random(11)
