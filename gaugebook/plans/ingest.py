@@ -33,7 +33,7 @@ from gaugebook.operators.totals import (
 )
 from gaugebook.operators.validate import check_current, check_legacy, check_sites
 from gaugebook.schemas import VALIDATION_ERROR
-from gaugebook.session import stage
+from gaugebook.session import dropping_stages, stage
 from gaugebook.sources.store import Head, Store
 
 
@@ -210,7 +210,18 @@ def ingest(
     head = store.head()
     if stream and head.streams.get(stream[0], -1) >= stream[1]:
         return head.epoch
-    as_of = as_of or datetime.now(timezone.utc)
+    with dropping_stages(store.spark):
+        return _apply(store, head, current, legacy, as_of or datetime.now(timezone.utc), stream)
+
+
+def _apply(
+    store: Store,
+    head: Head,
+    current: DataFrame | None,
+    legacy: DataFrame | None,
+    as_of: datetime,
+    stream: tuple[str, int] | None,
+) -> int:
     now = F.lit(as_of)
     sites = store.read("sites", head)
     ledger = (
@@ -243,28 +254,26 @@ def ingest(
 def register_sites(
     store: Store, feed: DataFrame, *, as_of: datetime | None = None
 ) -> int:
-    """SRC-3: append valid new sites; invalid ones become rejects. The first
-    registration of an id stands, within the feed and against the table."""
+    """SRC-3: append valid new sites; invalid ones become rejects. A registered id
+    stands; within a feed one registration per id is taken."""
     head = store.head()
     as_of = as_of or datetime.now(timezone.utc)
-    checked = stage(check_sites(feed), "sites")
-    fresh = checked.filter(F.size("details") == 0).dropDuplicates(["id"])
-    if "sites" in head.tables:
-        fresh = fresh.join(store.read("sites", head).select("id"), "id", "left_anti")
-    invalid = checked.filter(F.size("details") > 0).select(
-        F.lit(None).cast("bigint").alias("arrival_seq"),
-        F.lit(None).cast("string").alias("api_version"),
-        F.col("id").alias("site_id"),
-        F.lit(None).cast("string").alias("idempotency_key"),
-        F.lit(VALIDATION_ERROR).alias("code"),
-        "details",
-    )
-    wrote = _write_all(
-        store,
-        {"sites": fresh.withColumn("created_at", F.lit(as_of)), "rejects": invalid},
-        head.epoch + 1,
-    )
-    return store.commit(head, wrote, as_of)
+    with dropping_stages(store.spark):
+        checked = stage(check_sites(feed), "sites")
+        fresh = checked.filter(F.size("details") == 0).dropDuplicates(["id"])
+        if "sites" in head.tables:
+            fresh = fresh.join(store.read("sites", head).select("id"), "id", "left_anti")
+        invalid = checked.filter(F.size("details") > 0).select(
+            F.lit(None).cast("bigint").alias("arrival_seq"),
+            F.lit(None).cast("string").alias("api_version"),
+            F.col("id").alias("site_id"),
+            F.lit(None).cast("string").alias("idempotency_key"),
+            F.lit(VALIDATION_ERROR).alias("code"),
+            "details",
+        )
+        tables = {"sites": fresh.withColumn("created_at", F.lit(as_of)), "rejects": invalid}
+        wrote = _write_all(store, tables, head.epoch + 1)
+        return store.commit(head, wrote, as_of)
 
 
 def log_delivery_attempts(

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_stages: ContextVar[list[str] | None] = ContextVar("gaugebook_stages", default=None)
+
 # Runtime settings only: cluster sizing (executors, memory, shuffle partitions)
 # stays with whoever submits the job.
 RUNTIME_CONF = {
@@ -67,5 +72,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    running = _stages.get()
+    if running is not None:
+        running.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def dropping_stages(spark: SparkSession) -> Iterator[None]:
+    """Remove what `stage` writes inside the block once the block is done."""
+    token = _stages.set([])
+    try:
+        yield
+    finally:
+        for path in _stages.get():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _stages.reset(token)

@@ -52,6 +52,19 @@ def test_crash_between_sinks_then_rerun(spark, store, add_sites, monkeypatch):
     assert findings(store).collect() == []
 
 
+def test_stages_are_dropped(spark, store, add_sites):
+    from pathlib import Path
+
+    from gaugebook.session import checkpoint_root
+
+    folder = Path(checkpoint_root(spark).removeprefix("file:")) / "gaugebook"
+    before = {p for p in folder.glob("*/*")}
+    add_sites(store, (1, "100"))
+    ingest(store, one(spark, 1), as_of=AS_OF)
+    assert {p for p in folder.glob("*/*")} == before
+    assert figures(store) == (("5.0000", 1), 1)
+
+
 def test_a_stream_batch_is_applied_once(spark, store, add_sites):
     add_sites(store, (1, "100"))
     first = ingest(store, one(spark, 1), as_of=AS_OF, stream=("s", 0))
