@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugebook.llm import fingerprint, jaccard, language, lines, neighbours, packing, quality, toxicity
+from gaugebook.llm import fingerprint, jaccard, language, lines, mixing, neighbours, packing, quality, toxicity
 from gaugebook.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(documents(spark, sf_dir)).select(
         "doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+@query("op2_source_mixing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), prefix="").select(
+        "doc_id", "tokens", "topic", "cell", "weight", "probability", "kept")

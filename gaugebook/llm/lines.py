@@ -353,15 +353,15 @@ def _removals(docs: DataFrame) -> DataFrame:
     return all_lines.where(drop).groupBy("doc_id").agg(F.sort_array(F.collect_set("number")).alias("_numbers"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """The documents with `text` cut, and n_lines and n_removed beside their columns."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+def dedup(docs: DataFrame, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+    """The documents with `text` cut, and two counts beside their columns (in place of columns of those names)."""
+    names = [c for c in docs.columns if c not in (n_lines, n_removed)]
     id_ = F.coalesce(docs["doc_id"].cast("long"), F.lit(FIRST))
     gone = stage(_removals(docs.select(id_.alias("doc_id"), docs["text"].cast("string").alias("text"))), "removals")
     rows = docs.select(*(docs[c] for c in names), id_.alias("_id")).join(
         gone.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
     schema = rows.drop("_numbers").withColumn("text", F.col("text").cast("string")).withColumns(
-        {"n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
+        {n_lines: F.lit(0).cast("long"), n_removed: F.lit(0).cast("long")}).schema
 
     def cut(batches):
         for batch in batches:
@@ -374,6 +374,6 @@ def dedup(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(
                 columns + [pa.array(counts, pa.int64()), pa.array([len(g or ()) for g in gone_of], pa.int64())],
-                names=names + ["n_lines", "n_removed"])
+                names=names + [n_lines, n_removed])
 
     return arrow_map(rows, cut, schema)
