@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugebook.llm import fingerprint, jaccard, language, lines, mixing, neighbours, packing, quality, toxicity
+from gaugebook.llm import (
+    fingerprint,
+    jaccard,
+    language,
+    lines,
+    mixing,
+    neighbours,
+    packing,
+    quality,
+    suffixes,
+    toxicity,
+)
 from gaugebook.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +96,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), prefix="").select(
         "doc_id", "tokens", "topic", "cell", "weight", "probability", "kept")
+
+
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", F.coalesce(F.aggregate(
+            "spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]), F.lit(0)).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
