@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugebook.functions.values import derived_uuid
 from gaugebook.schemas import IDEMPOTENCY_KEY_REUSED, SITE_NOT_FOUND, VALIDATION_ERROR
+from gaugebook.session import stage
 
 BATCH_KEY = ["site_id", "idempotency_key"]
 
@@ -23,6 +24,30 @@ def first_claims(arrivals: DataFrame) -> DataFrame:
     )
 
 
+def redelivered(checked: DataFrame) -> DataFrame:
+    """Arrivals with `again`: whether a copy of the arrival precedes it under its number.
+
+    At-least-once feeds repeat arrivals; a copy is answered as a replay. A number that
+    another valid arrival holds too is refused, except for one of them (and its copies).
+    `checked` must be staged: copies are told apart by a row number given here.
+    """
+    valid = F.size("details") == 0
+    told = F.when(valid, F.xxhash64("site_id", "idempotency_key", "fingerprint"))
+    numbered = stage(checked.withColumns({"_told": told, "_copy": F.monotonically_increasing_id()}), "numbered")
+    first = numbered.filter(valid).groupBy("arrival_seq").agg(
+        F.count("*").alias("_n"), F.min(F.struct("_told", "_copy")).alias("_first")
+    ).filter("_n > 1").drop("_n")
+    joined = numbered.join(first, "arrival_seq", "left")
+    repeated = valid & F.col("_first").isNotNull() & (F.col("_copy") != F.col("_first._copy"))
+    taken = repeated & (F.col("_told") != F.col("_first._told"))
+    issue = F.array(F.struct(
+        F.lit("arrival_seq").alias("path"), F.lit("another arrival has this position").alias("message")))
+    return joined.select(
+        *[F.when(taken, issue).otherwise(F.col(c)).alias(c) if c == "details" else F.col(c) for c in checked.columns],
+        (repeated & ~taken).alias("again"),
+    )
+
+
 def decide_claims(
     checked: DataFrame, site_ids: DataFrame, ledger: DataFrame | None = None
 ) -> DataFrame:
@@ -56,8 +81,10 @@ def decide_claims(
 
     claimed = gated.join(owners, BATCH_KEY, "left")
     mine = F.coalesce(F.col("owner_seq") == F.col("arrival_seq"), F.lit(False))
+    if "again" in checked.columns:
+        mine = mine & ~F.col("again")
     return claimed.select(
-        *checked.columns,
+        *[c for c in checked.columns if c != "again"],
         F.coalesce(
             F.col("code"),
             F.when(F.col("fingerprint") != F.col("claim_hash"), IDEMPOTENCY_KEY_REUSED),

@@ -8,7 +8,7 @@ again inside the filter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugebook.functions.identity import (
@@ -27,6 +27,7 @@ from gaugebook.functions.values import (
     stripped,
 )
 from gaugebook.schemas import (
+    CORRUPT,
     DEFAULT_SOURCE,
     DETAIL,
     LIMIT,
@@ -82,15 +83,22 @@ def _uuid_issue(column: str, path: str) -> str:
 
 
 def _sequenced(arrivals: DataFrame) -> DataFrame:
-    """Every ordering starts from arrival_seq, so a missing one must stop the job."""
+    """Every ordering starts from arrival_seq: one that is missing or out of range is
+    taken out, and `seq_issues` says so. A line of the feed that is no JSON object of the
+    expected shape comes with its text in CORRUPT."""
     seq = F.col("arrival_seq")
-    usable = seq.isNotNull() & seq.between(0, MAX_ARRIVAL_SEQ)
-    return arrivals.withColumn(
-        "arrival_seq",
-        F.when(usable, seq).otherwise(
-            F.raise_error(F.lit("arrival_seq must be set and within 0 .. 2^56-1")).cast("bigint")
-        ),
+    usable = F.coalesce(seq.between(0, MAX_ARRIVAL_SEQ), F.lit(False))
+    raw = F.col(CORRUPT) if CORRUPT in arrivals.columns else F.lit(None).cast("string")
+
+    def issue(path: str, message: Column) -> Column:
+        return F.array(F.struct(F.lit(path).alias("path"), message.alias("message")))
+
+    issues = (
+        F.when(raw.isNotNull(), issue("", F.concat(F.lit("unreadable record: "), raw)))
+        .when(~usable, issue("arrival_seq", F.lit("expected a position within 0 .. 2^56-1")))
+        .otherwise(F.expr(_NONE))
     )
+    return arrivals.withColumn("seq_issues", issues).withColumn("arrival_seq", F.when(usable, seq))
 
 
 # FLT-3: one reading per identity in a batch; the later index is reported. The
@@ -225,6 +233,9 @@ def _checked(judged: DataFrame, version: Column) -> DataFrame:
         "'reading_ts', r.reading_ts, 'ch4_kg', r.ch4_kg, 'source', r.source))"
     )
     fingerprint = request_fingerprint("site_id", "normal")
+    judged = judged.withColumn(
+        "details", F.when(F.size("seq_issues") > 0, F.col("seq_issues")).otherwise(F.col("details"))
+    )
     return judged.select(
         "arrival_seq",
         version.alias("api_version"),
@@ -246,8 +257,12 @@ def check_sites(feed: DataFrame) -> DataFrame:
                f"THEN CAST(emissionLimitKg AS {LIMIT.simpleString()}) END").alias("emission_limit_kg"),
         metadata.alias("metadata"),
     )
-    derived = derived_uuid(F.col("name"), F.col("emission_limit_kg"), F.col("metadata"))
-    return named.withColumn("id", F.coalesce(F.lower("id"), derived)).withColumn(
+    # Equal sites without an id are different sites: each copy in the feed has a number of its own.
+    alike = Window.partitionBy("id", "name", "emission_limit_kg", "metadata").orderBy(F.lit(1))
+    named = named.withColumn("copy", F.row_number().over(alike))
+    parts = [F.col("name"), F.col("emission_limit_kg"), F.col("metadata")]
+    derived = F.when(F.col("copy") > 1, derived_uuid(*parts, F.col("copy"))).otherwise(derived_uuid(*parts))
+    return named.withColumn("id", F.coalesce(F.lower("id"), derived)).drop("copy").withColumn(
         "details",
         F.expr(_issues(
             _uuid_issue("id", "id"),

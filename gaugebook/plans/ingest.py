@@ -11,18 +11,19 @@ one after the other.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugebook.functions.compliance import compliance_status
 from gaugebook.functions.identity import IDENTIFIED_KEY, INSTANT_KEY, arrival_ord
 from gaugebook.functions.values import derived_uuid, month_of
-from gaugebook.operators.claims import decide_claims
+from gaugebook.operators.claims import decide_claims, redelivered
 from gaugebook.operators.dedup import ACCEPT, resolve, stored_scheme
 from gaugebook.operators.events import emitted_events
 from gaugebook.operators.totals import (
@@ -34,7 +35,7 @@ from gaugebook.operators.totals import (
 from gaugebook.operators.validate import check_current, check_legacy, check_sites
 from gaugebook.schemas import VALIDATION_ERROR
 from gaugebook.session import dropping_stages, stage
-from gaugebook.sources.store import Head, Store
+from gaugebook.sources.store import CommitConflict, Head, Store, Written
 
 
 @dataclass
@@ -76,11 +77,12 @@ def exploded_readings(claims: DataFrame) -> DataFrame:
 def claim_epoch(checked: DataFrame, sites: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Claims of an epoch, staged: both the readings and the results read them.
 
-    The validated feed is staged too, because claiming reads it twice (once for
-    the first arrival of each key) and parsing is the expensive part.
+    The validated feed is staged too, numbered by row, because claiming reads it several
+    times (for copies of an arrival, for the first arrival of each key) and parsing is the
+    expensive part.
     """
     site_ids = sites.select(F.col("id").alias("site_id"))
-    return stage(decide_claims(stage(checked, "checked"), site_ids, ledger), "claims")
+    return stage(decide_claims(redelivered(checked), site_ids, ledger), "claims")
 
 
 def decide_epoch(
@@ -207,11 +209,27 @@ def ingest(
     `stream` names the query and micro-batch an epoch comes from: a batch that was
     committed before is skipped, so a restart after the commit changes nothing.
     """
-    head = store.head()
-    if stream and head.streams.get(stream[0], -1) >= stream[1]:
-        return head.epoch
-    with dropping_stages(store.spark):
-        return _apply(store, head, current, legacy, as_of or datetime.now(timezone.utc), stream)
+    def apply(head: Head) -> int:
+        if stream and head.streams.get(stream[0], -1) >= stream[1]:
+            return head.epoch
+        with dropping_stages(store.spark):
+            return _apply(store, head, current, legacy, as_of or datetime.now(timezone.utc), stream)
+
+    return _from_newest_head(store, apply)
+
+
+#: Times that a writer starts again because another one has committed.
+CONFLICT_RETRIES = 20
+
+
+def _from_newest_head(store: Store, apply: Callable[[Head], int]) -> int:
+    """Writers may overlap: who loses the race for an epoch decides again on the new state."""
+    for _ in range(CONFLICT_RETRIES):
+        try:
+            return apply(store.head())
+        except CommitConflict:
+            continue
+    return apply(store.head())
 
 
 def _apply(
@@ -254,38 +272,57 @@ def _apply(
 def register_sites(
     store: Store, feed: DataFrame, *, as_of: datetime | None = None
 ) -> int:
-    """SRC-3: append valid new sites; invalid ones become rejects. A registered id
-    stands; within a feed one registration per id is taken."""
-    head = store.head()
+    """SRC-3: append valid new sites; every other registration becomes a reject.
+
+    A registered id stands. Of several registrations of one id in a feed the one that
+    sorts first by name, limit and metadata is taken, so a rerun takes the same.
+    """
     as_of = as_of or datetime.now(timezone.utc)
-    with dropping_stages(store.spark):
-        checked = stage(check_sites(feed), "sites")
-        fresh = checked.filter(F.size("details") == 0).dropDuplicates(["id"])
-        if "sites" in head.tables:
-            fresh = fresh.join(store.read("sites", head).select("id"), "id", "left_anti")
-        invalid = checked.filter(F.size("details") > 0).select(
-            F.lit(None).cast("bigint").alias("arrival_seq"),
-            F.lit(None).cast("string").alias("api_version"),
-            F.col("id").alias("site_id"),
-            F.lit(None).cast("string").alias("idempotency_key"),
-            F.lit(VALIDATION_ERROR).alias("code"),
-            "details",
-        )
-        tables = {"sites": fresh.withColumn("created_at", F.lit(as_of)), "rejects": invalid}
-        wrote = _write_all(store, tables, head.epoch + 1)
-        return store.commit(head, wrote, as_of)
+
+    def apply(head: Head) -> int:
+        with dropping_stages(store.spark):
+            checked = stage(check_sites(feed), "sites")
+            order = Window.partitionBy("id").orderBy("name", "emission_limit_kg", "metadata")
+            valid = checked.filter(F.size("details") == 0).withColumn("nth", F.row_number().over(order))
+            known = store.read("sites", head).select("id").withColumn("known", F.lit(True))
+            valid = stage(valid.join(known, "id", "left"), "registrations")
+            fresh = valid.filter("nth = 1 AND known IS NULL")
+
+            def reject(rows: DataFrame, details: Column) -> DataFrame:
+                return rows.select(
+                    F.lit(None).cast("bigint").alias("arrival_seq"),
+                    F.lit(None).cast("string").alias("api_version"),
+                    F.col("id").alias("site_id"),
+                    F.lit(None).cast("string").alias("idempotency_key"),
+                    F.lit(VALIDATION_ERROR).alias("code"),
+                    details.alias("details"),
+                )
+
+            message = F.when(F.col("known"), "the id is registered").otherwise(
+                "the feed registers the id more than once")
+            taken = F.array(F.struct(F.lit("id").alias("path"), message.alias("message")))
+            rejects = reject(checked.filter(F.size("details") > 0), F.col("details")).unionByName(
+                reject(valid.filter("nth > 1 OR known"), taken))
+            tables = {"sites": fresh.withColumn("created_at", F.lit(as_of)), "rejects": rejects}
+            wrote = _write_all(store, tables, head.epoch + 1)
+            return store.commit(head, wrote, as_of)
+
+    return _from_newest_head(store, apply)
 
 
 def log_delivery_attempts(
     store: Store, attempts: DataFrame, *, as_of: datetime | None = None
 ) -> int:
     """Append outcomes reported by whatever delivers the events."""
-    head = store.head()
-    wrote = _write_all(store, {"delivery_attempts": attempts}, head.epoch + 1)
-    return store.commit(head, wrote, as_of or datetime.now(timezone.utc))
+
+    def apply(head: Head) -> int:
+        wrote = _write_all(store, {"delivery_attempts": attempts}, head.epoch + 1)
+        return store.commit(head, wrote, as_of or datetime.now(timezone.utc))
+
+    return _from_newest_head(store, apply)
 
 
-def _write_all(store: Store, tables: dict[str, DataFrame], epoch: int) -> list[str]:
+def _write_all(store: Store, tables: dict[str, DataFrame], epoch: int) -> list[Written]:
     """The tables do not depend on each other, so their jobs share the cluster."""
     with ThreadPoolExecutor(len(tables)) as pool:
         jobs = [

@@ -82,6 +82,8 @@ READING = _struct(
     ("ch4_kg", MASS),
     ("source", T.StringType()),
 )
+#: Text of a feed line that is no readable record.
+CORRUPT = "_corrupt_record"
 DETAIL = _struct(("path", T.StringType()), ("message", T.StringType()))
 CHECKED = _struct(
     ("arrival_seq", T.LongType()),

@@ -47,11 +47,14 @@ def build_session(app: str = "gaugebook", master: str | None = None, **conf: str
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; a temporary one only where none is set."""
+    """The shared folder for checkpoints. Only a local session may go without one: its
+    executor is the driver, so that a temporary folder is seen by both."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="gaugebook-checkpoint-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

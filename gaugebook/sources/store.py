@@ -1,91 +1,150 @@
-"""The table set: Parquet folders written epoch by epoch, visible by commit.
-
-Every table is `<root>/<table>/epoch=N/...`. An epoch writes all its folders first
-and the one-row folder `<root>/commits/epoch=N` last; readers only see epochs up
-to the newest commit. There is one writer, and epoch numbers are consecutive, so
-an unfinished epoch is always the next number: running it again overwrites its
-folders, and "committed" is the plain partition filter `epoch <= newest`.
+"""The table set: Parquet folders that a commit lists by name.
+
+A write goes to a folder of its own, `<root>/<table>/attempt=<unique>/epoch=N/...`,
+so that a crashed or slow writer never touches the files of another. A commit is
+one JSON file, `<root>/commits/<N>.json`, that lists for every table the folders that
+belong to it. It is created only if it does not exist: of two writers that started
+from the same head one commits and the other gets `CommitConflict`, and starts
+again from the new head. Readers open the newest commit and exactly the folders in
+it, so nothing uncommitted is ever visible, whatever is committed later.
+
+`compact` rewrites a table that has gathered many folders as one; `vacuum` removes
+folders that the newest commit does not list.
 """
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugebook.schemas import PARTITIONED_BY, TABLES
 
-COMMIT = T.StructType(
-    [
-        T.StructField("summary_epoch", T.LongType()),
-        T.StructField("tables", T.ArrayType(T.StringType())),
-        T.StructField("streams", T.MapType(T.StringType(), T.LongType())),
-        T.StructField("committed_at", T.TimestampType()),
-    ]
-)
+#: Tables of which an epoch writes the whole state: a commit keeps the newest folder only.
+SNAPSHOTS = frozenset({"site_summary"})
+
+
+class CommitConflict(Exception):
+    """Another writer has committed this epoch."""
 
 
 @dataclass(frozen=True)
 class Head:
-    """The newest commit. `streams` maps a stream to its last applied batch."""
+    """The newest commit. `streams` maps a stream to its last applied batch, `folders`
+    a table to its attempt folders."""
 
     epoch: int = 0
     summary_epoch: int = 0
-    tables: frozenset[str] = frozenset()
+    folders: dict[str, tuple[str, ...]] = field(default_factory=dict)
     streams: dict[str, int] = field(default_factory=dict)
 
+    @property
+    def tables(self) -> frozenset[str]:
+        return frozenset(t for t, folders in self.folders.items() if folders)
+
+
+@dataclass(frozen=True)
+class Written:
+    """A folder that waits for its commit."""
+
+    table: str
+    folder: str
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    # ---- commits -----------------------------------------------------------
-    def _names(self, path: str) -> list[str]:
-        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop_path):
-            return []
-        return [s.getPath().getName() for s in fs.listStatus(hadoop_path)]
-
+    # ---- files ---------------------------------------------------------------
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        path, fs = self._path(folder)
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _text(self, name: str) -> str:
+        path, fs = self._path(name)
+        stream = fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _create(self, name: str, text: str) -> bool:
+        """Create a file with this text; False if there is one."""
+        path, fs = self._path(name)
+        if fs.getScheme() == "file":  # its create() is not atomic
+            fs.mkdirs(path.getParent())
+            try:
+                with open(path.toUri().getPath(), "x") as file:
+                    file.write(text)
+            except FileExistsError:
+                return False
+            return True
+        try:
+            stream = fs.create(path, False)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in error.java_exception.getClass().getName():
+                return False
+            raise
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        return True
+
+    # ---- commits -------------------------------------------------------------
     def head(self) -> Head:
-        """Lists commit folders by name and reads only the newest finished one."""
-        folder = f"{self.root}/commits"
-        epochs = sorted(
-            (int(n.split("=")[1]) for n in self._names(folder) if n.startswith("epoch=")),
-            reverse=True,
-        )
-        for epoch in epochs:
-            path = f"{folder}/epoch={epoch}"
-            if any(n.startswith("part-") for n in self._names(path)):
-                row = self.spark.read.schema(COMMIT).parquet(path).first()
-                return Head(epoch, row.summary_epoch, frozenset(row.tables), dict(row.streams))
+        """The newest commit that is written to its end."""
+        for name in sorted((n for n in self._names("commits") if n.endswith(".json")), reverse=True):
+            try:
+                c = json.loads(self._text(f"commits/{name}"))
+            except json.JSONDecodeError:
+                continue  # its writer is about to finish, or was lost: the epoch before counts
+            return Head(int(c["epoch"]), c["summary_epoch"],
+                        {t: tuple(f) for t, f in c["folders"].items()}, c["streams"])
         return Head()
 
     def commit(
         self,
         head: Head,
-        wrote: list[str],
+        wrote: list[Written],
         at: datetime,
         stream: tuple[str, int] | None = None,
+        replaced: bool = False,
     ) -> int:
-        """Make epoch `head.epoch + 1` visible."""
+        """Make epoch `head.epoch + 1` visible, or raise CommitConflict.
+
+        With `replaced`, what was written stands for all earlier folders of its tables.
+        """
         epoch = head.epoch + 1
-        streams = dict(head.streams)
-        if stream:
-            streams[stream[0]] = stream[1]
-        summary_epoch = epoch if "site_summary" in wrote else head.summary_epoch
-        stream_map = F.create_map(*[F.lit(x) for pair in streams.items() for x in pair])
-        row = self.spark.range(0, 1, 1, 1).select(
-            F.lit(summary_epoch).cast("bigint").alias("summary_epoch"),
-            F.array(*[F.lit(t) for t in sorted(head.tables | set(wrote))]).alias("tables"),
-            stream_map.cast("map<string,bigint>").alias("streams"),
-            F.lit(at).alias("committed_at"),
-        )
-        row.write.mode("overwrite").parquet(f"{self.root}/commits/epoch={epoch}")
+        folders = dict(head.folders)
+        for w in wrote:
+            old = () if replaced or w.table in SNAPSHOTS else folders.get(w.table, ())
+            folders[w.table] = (*old, w.folder)
+        summary = any(w.table in SNAPSHOTS for w in wrote) and not replaced
+        text = json.dumps({
+            "epoch": epoch,
+            "summary_epoch": epoch if summary else head.summary_epoch,
+            "folders": folders,
+            "streams": {**head.streams, **({stream[0]: stream[1]} if stream else {})},
+            "committed_at": at.isoformat(),
+        })
+        if not self._create(f"commits/{epoch:012d}.json", text):
+            if self.head().epoch < epoch:
+                # A file without its end: its writer is lost. Its folders are listed nowhere.
+                path, fs = self._path(f"commits/{epoch:012d}.json")
+                if time.time() * 1000 - fs.getFileStatus(path).getModificationTime() > 600_000:
+                    fs.delete(path, False)
+            raise CommitConflict(f"epoch {epoch} is committed already")
         return epoch
 
     # ---- tables --------------------------------------------------------------
@@ -93,27 +152,58 @@ class Store:
         return T.StructType([*TABLES[table].fields, T.StructField("epoch", T.LongType())])
 
     def read(self, table: str, head: Head | None = None) -> DataFrame:
-        """SRC-4: committed rows of a table, with their `epoch`."""
+        """SRC-4: committed rows of a table, with their `epoch`. Lists the commit's folders only."""
         head = head or self.head()
         if table not in head.tables:
             # Folded to an empty relation at planning time, so joins with it vanish.
             none = [F.lit(None).cast(f.dataType).alias(f.name) for f in self._schema(table)]
             return self.spark.range(1).filter(F.lit(False)).select(*none)
-        rows = self.spark.read.schema(self._schema(table)).parquet(f"{self.root}/{table}")
-        return rows.filter(rows["epoch"] <= head.epoch)
+        schema = T.StructType([*self._schema(table).fields, T.StructField("attempt", T.StringType())])
+        paths = [f"{self.root}/{table}/{folder}" for folder in head.folders[table]]
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*paths)
+        return rows.drop("attempt")
 
     def summary(self, head: Head | None = None) -> DataFrame:
-        """The newest site snapshot: one partition, not the history of snapshots."""
-        head = head or self.head()
-        rows = self.read("site_summary", head)
-        return rows.filter(rows["epoch"] == head.summary_epoch)
-
-    def write(self, df: DataFrame, table: str, epoch: int) -> str:
-        """Replace this epoch's folder of a table."""
-        columns = TABLES[table].fieldNames()
-        writer = df.select(*columns).write.mode("overwrite")
-        levels = PARTITIONED_BY.get(table)
-        if levels:
-            writer = writer.partitionBy(*levels)
-        writer.parquet(f"{self.root}/{table}/epoch={epoch}")
-        return table
+        """The newest site snapshot."""
+        return self.read("site_summary", head)
+
+    def write(self, df: DataFrame, table: str, epoch: int) -> Written:
+        """Write rows of an epoch to a folder of their own, for a later commit."""
+        return self._written(df.select(*TABLES[table].fieldNames()).withColumn("epoch", F.lit(epoch)), table)
+
+    def _written(self, df: DataFrame, table: str) -> Written:
+        folder = f"attempt={uuid.uuid4().hex}"
+        writer = df.write.mode("errorifexists").partitionBy("epoch", *PARTITIONED_BY.get(table, []))
+        writer.parquet(f"{self.root}/{table}/{folder}")
+        return Written(table, folder)
+
+    # ---- upkeep --------------------------------------------------------------
+    def compact(self, tables: list[str] | None = None, folders: int = 32) -> int:
+        """Rewrite tables of more than `folders` folders as one folder, and commit that.
+
+        Rows, their epochs and order of arrival stay as they are; readers that opened an
+        earlier commit still find its folders until `vacuum`.
+        """
+        head = self.head()
+        due = [t for t in tables or sorted(head.tables) if len(head.folders.get(t, ())) > folders]
+        if not due:
+            return head.epoch
+        wrote = []
+        for table in due:
+            rows = self.read(table, head)
+            levels = ["epoch", *PARTITIONED_BY.get(table, [])]
+            rows = rows.repartitionByRange(*levels).sortWithinPartitions(*levels)
+            wrote.append(self._written(rows.select(*TABLES[table].fieldNames(), "epoch"), table))
+        return self.commit(head, wrote, datetime.now(timezone.utc), replaced=True)
+
+    def vacuum(self, older_than_seconds: float = 7 * 86400) -> int:
+        """Delete folders that the newest commit does not list and that are older than any
+        reader or writer that may still use them. Returns how many went."""
+        head, gone = self.head(), 0
+        for table in TABLES:
+            for folder in set(self._names(table)) - set(head.folders.get(table, ())):
+                path, fs = self._path(f"{table}/{folder}")
+                if time.time() * 1000 - fs.getFileStatus(path).getModificationTime() > older_than_seconds * 1000:
+                    fs.delete(path, True)
+                    gone += 1
+        return gone

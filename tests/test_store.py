@@ -4,7 +4,6 @@ from decimal import Decimal
 
 import pytest
 from conftest import AS_OF, site_uuid
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from gaugebook.plans import ingest as plan
@@ -116,27 +115,119 @@ def test_detail_paths_of_cross_reading_rules(spark, store, add_sites):
     assert got == {1: ["readings.2"], 2: ["readings.3", "readings.2"]}
 
 
-def test_arrival_seq_must_be_usable(spark, store, add_sites):
+def rejects(store):
+    return sorted((r.arrival_seq or -1, r.code, [d.path for d in r.details]) for r in store.read("rejects").collect())
+
+
+def test_unusable_positions_are_rejects(spark, store, add_sites):
     add_sites(store, (1, "100"))
-    for bad in (None, -1, 1 << 56):
-        with pytest.raises(PySparkException, match="arrival_seq"):
-            ingest(store, arrivals(spark, (bad, "k", [(None, "d", "2026-08-09T12:00:00Z", "1")])))
-    twice = arrivals(
+    t = "2026-08-09T12:00:0{}Z".format
+    feed = arrivals(spark, (None, "a", [(None, "d", t(0), "1")]), (-1, "b", [(None, "d", t(1), "1")]),
+                    (1 << 56, "c", [(None, "d", t(2), "1")]), (4, "d", [(None, "d", t(3), "5")]))
+    ingest(store, feed, as_of=AS_OF)
+    assert rejects(store) == [(-1, "VALIDATION_ERROR", ["arrival_seq"])] * 3
+    assert figures(store) == (("5.0000", 1), 1) and findings(store).collect() == []
+
+
+def test_one_position_for_two_arrivals(spark, store, add_sites):
+    """One of them counts, the other is refused; nothing stops."""
+    add_sites(store, (1, "100"))
+    ingest(store, arrivals(
         spark,
         (1, "k1", [(None, "d", "2026-08-09T12:00:00Z", "1")]),
         (1, "k2", [(None, "d", "2026-08-09T13:00:00Z", "1")]),
-    )
-    with pytest.raises(PySparkException, match="not unique"):
-        ingest(store, twice)
+        (2, "k3", [(None, "d", "2026-08-09T14:00:00Z", "1")]),
+    ), as_of=AS_OF)
+    assert rejects(store) == [(1, "VALIDATION_ERROR", ["arrival_seq"])]
+    assert figures(store) == (("2.0000", 2), 2) and findings(store).collect() == []
+
+
+def test_redelivery_in_one_epoch_is_a_replay(spark, store, add_sites):
+    add_sites(store, (1, "100"))
+    ingest(store, one(spark, 1).union(one(spark, 1)).union(one(spark, 1)).union(one(spark, 2)), as_of=AS_OF)
+    got = sorted((r.arrival_seq, r.idempotent_replay) for r in store.read("ingest_results").collect())
+    assert got == [(1, False), (1, True), (1, True), (2, False)]
+    assert figures(store) == (("10.0000", 2), 2) and rejects(store) == []
+
+
+def test_broken_lines_are_rejects(spark, store, add_sites, tmp_path):
+    from gaugebook.sources.feeds import read_arrivals
+
+    add_sites(store, (1, "100"))
+    good = one(spark, 1).toJSON().first()
+    (tmp_path / "feed.json").write_text(f'{good}\n{good[:40]}\nnot json\n[1]\n')
+    ingest(store, read_arrivals(spark, str(tmp_path / "feed.json")), as_of=AS_OF)
+    texts = [d.message for r in store.read("rejects").collect() for d in r.details]
+    assert len(texts) == 3 and any(m.endswith("not json") for m in texts)
+    assert figures(store) == (("5.0000", 1), 1)
 
 
-def test_sites_register_once(spark, store, add_sites):
+def test_a_crashed_epoch_stays_unseen_after_other_commits(spark, store, add_sites):
+    from gaugebook.plans.ingest import log_delivery_attempts
+    from gaugebook.schemas import DELIVERY_ATTEMPTS
+
+    add_sites(store, (1, "100"))
+    ingest(store, one(spark, 1), as_of=AS_OF)
+    head, before = store.head(), figures(store)
+    for table in ("measurements", "batch_ledger", "site_summary"):  # lost before its commit
+        store.write(store.read(table, head).drop("epoch"), table, head.epoch + 1)
+    add_sites(store, (2, "100"))
+    log_delivery_attempts(store, spark.createDataFrame([(2, AS_OF, True, None)], DELIVERY_ATTEMPTS), as_of=AS_OF)
+    assert figures(store) == before and findings(store).collect() == []
+    ingest(store, one(spark, 2), as_of=AS_OF)
+    assert figures(store) == (("10.0000", 2), 2) and findings(store).collect() == []
+    assert store.vacuum(older_than_seconds=-1) >= 3
+    assert figures(store) == (("10.0000", 2), 2)
+
+
+def test_two_writers(spark, store, add_sites, tmp_path):
+    """Both commit: who comes second decides again on the new state."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    add_sites(store, (1, "100"))
+    with ThreadPoolExecutor(2) as pool:
+        jobs = [pool.submit(ingest, store, one(spark, n), as_of=AS_OF) for n in (1, 2)]
+        assert sorted(j.result() for j in jobs) == [2, 3]
+    assert figures(store) == (("10.0000", 2), 2) and findings(store).collect() == []
+
+
+def test_a_stale_writer_never_replaces_a_commit(spark, store, add_sites):
+    from gaugebook.sources.store import CommitConflict
+
+    add_sites(store, (1, "100"))
+    stale = store.head()
+    ingest(store, one(spark, 1), as_of=AS_OF)
+    with pytest.raises(CommitConflict):
+        store.commit(stale, [], AS_OF)
+    assert figures(store) == (("5.0000", 1), 1)
+
+
+def test_compaction_changes_no_row(spark, store, add_sites):
+    add_sites(store, (1, "100"))
+    for n in (1, 2, 3):
+        ingest(store, one(spark, n), as_of=AS_OF)
+    tables = sorted(store.head().tables)
+    before = {t: sorted(map(str, store.read(t).collect())) for t in tables}
+    store.compact(folders=1)
+    assert {t: len(f) for t, f in store.head().folders.items()} == {t: 1 for t in tables}
+    assert {t: sorted(map(str, store.read(t).collect())) for t in tables} == before
+    assert store.vacuum(older_than_seconds=-1) > 0
+    ingest(store, one(spark, 4), as_of=AS_OF)
+    assert figures(store) == (("20.0000", 4), 4) and findings(store).collect() == []
+
+
+def test_registration_loses_nothing(spark, store, add_sites):
+    from gaugebook.plans.ingest import register_sites
+
     add_sites(store, (1, "100"), (2, "0"))
-    add_sites(store, (1, "999"), (3, "12.3456"), (4, "999999999999"))
-    sites = {r.id: r.emission_limit_kg for r in store.read("sites").collect()}
-    assert sites == {site_uuid(1): Decimal("100.000")}
-    codes = [r.code for r in store.read("rejects").collect()]
-    assert codes == ["VALIDATION_ERROR"] * 3
+    feed = [(site_uuid(1), "again", "999", None), (site_uuid(3), "Y", "20", None), (site_uuid(3), "X", "10", None),
+            (site_uuid(4), "Z", "12.3456", None), (None, "twin", "5", None), (None, "twin", "5", None)]
+    register_sites(store, spark.createDataFrame(feed, SITE_FEED).repartition(3), as_of=AS_OF)
+    sites = store.read("sites").collect()
+    assert {s.id: s.emission_limit_kg for s in sites if s.name != "twin"} == {
+        site_uuid(1): Decimal("100.000"), site_uuid(3): Decimal("10.000")}
+    assert len({s.id for s in sites if s.name == "twin"}) == 2
+    assert len(sites) + store.read("rejects").count() == len(feed) + 2
 
 
 def test_months_partition_and_odd_clocks(spark, store, add_sites):
