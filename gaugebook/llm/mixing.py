@@ -155,5 +155,6 @@ def mix(docs: DataFrame, share: float = SHARE, targets: dict[str, dict[str, floa
     out = rows.withColumn(name, cell(f"{prefix}topic")).join(F.broadcast(table), name, "left")  # bounded: see above
     uniform = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit(seed)), 11) / F.lit(float(1 << 53))
     finite = float(min(scale, 1e300))
+    out = out.select(*rows.columns, name, held)
     return out.withColumn(held, F.coalesce(held, F.lit(1.0))).withColumn(
         chance, F.least(F.lit(1.0), F.col(held) * F.lit(finite))).withColumn(kept, uniform < F.col(chance))
