@@ -199,7 +199,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAM
     for gram in grams[1:]:
         open_ = stage(open_, "open")
         _release(docs)
-        repeated, open_ = _refined(_finer_units(docs, open_, gram, length), "units")
+        # Written once: buckets and members both read them, and they are few.
+        finer = stage(_finer_units(docs, open_, gram, length), "finer")
+        repeated, open_ = _refined(finer, "units")
         found.append(repeated)
     out = found[0]
     for more in found[1:]:
