@@ -11,10 +11,14 @@
 4. Candidates of a class hang in a tree by their ordered sets; it is traversed with the
    class's own set, so shared beginnings are counted once, and a branch is left as soon
    as what remains can't reach the overlap.
-5. Links make components. Each class is first held against the neighbour it meets most
+5. Common shingles up to the smaller of two prefixes' last keys lie in both prefixes, so a
+   pair that meets c times overlaps in c plus what one set holds after its prefix, at most;
+   pairs that this bound rules out are never compared.
+6. Links make components. Each class is first held against the neighbour it meets most
    often, then against neighbours in other components, and at last against every class of
-   another component that it meets at any node: pairs inside a component need no test, so
-   groups of near copies cost links in proportion to their size.
+   another component that it meets often enough: pairs inside a component need no test, so
+   groups of near copies cost links in proportion to their size. Only the last step decides
+   what is complete; the first two make it small.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lowered; a text of
 fewer words than a shingle is one shingle; null texts and texts without words have size 0
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugebook.llm.components import components
+from gaugebook.llm.membership import thinned
 from gaugebook.llm.text import arrow_map, combine, flat, hash_spans, ids_and_text, mix, shuffle_partitions, slices, spans
 from gaugebook.session import stage
 
@@ -191,28 +196,30 @@ def meetings(rows: DataFrame) -> DataFrame:
             out, held = _shared(columns, held[4] if held is not None else None)
             yield out
         if held is not None and held[4] is not None:
-            yield _rows([h for h in held[:4]], np.array([held[4]]), np.array([True]))
+            yield _rows(held[:4], np.array([held[4][0]]), np.array([held[4][1]], np.int32), np.array([True]))
 
-    def _rows(columns, before, has):
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns] + [pa.array(before, pa.int64(), mask=~has)],
-                                          names=["token", "cls", "size", "pos", "before"])
+    def _rows(columns, before, before_size, has):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in columns] + [pa.array(before, pa.int64(), mask=~has),
+                                              pa.array(before_size, pa.int32(), mask=~has)],
+            names=["token", "cls", "size", "pos", "before", "before_size"])
 
     def _shared(columns, first_before):
         """All but the last row; `first_before` is the class before the first row, if it has its token."""
         token, cls, size, _ = columns
         same = np.zeros(len(token), bool)
         same[1:] = token[1:] == token[:-1]
-        before = np.concatenate([[0], cls[:-1]])
+        before, before_size = np.concatenate([[0], cls[:-1]]), np.concatenate([size[:1], size[:-1]])
         if first_before is not None:
-            same[0], before[0] = True, first_before
+            same[0], (before[0], before_size[0]) = True, first_before
         after = np.zeros(len(token), bool)
         after[:-1] = token[1:] == token[:-1]
         keep = same | after
         keep[-1] = False
-        last = [c[-1:] for c in columns] + [int(before[-1]) if same[-1] else None]
-        return _rows([c[keep] for c in columns], before[keep], same[keep]), last
+        last = [c[-1:] for c in columns] + [(int(before[-1]), int(before_size[-1])) if same[-1] else None]
+        return _rows([c[keep] for c in columns], before[keep], before_size[keep], same[keep]), last
 
-    return ordered.mapInArrow(shared, "token long, cls long, size int, pos int, before long")
+    return ordered.mapInArrow(shared, "token long, cls long, size int, pos int, before long, before_size int")
 
 
 def tree_links(own: np.ndarray, others: list[tuple[int, np.ndarray]], step: int = 128) -> list[int]:
@@ -247,8 +254,8 @@ def tree_links(own: np.ndarray, others: list[tuple[int, np.ndarray]], step: int
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) of classes that are links. `sets`: cls, keys (binary, ordered)."""
-    right = pairs.join(sets.select(F.col("cls").alias("v"), F.col("keys").alias("v_keys")), "v")
-    both = right.join(sets.select(F.col("cls").alias("u"), F.col("keys").alias("u_keys")), "u")
+    right = sets.select(F.col("cls").alias("v"), F.col("keys").alias("v_keys")).join(pairs.hint("merge"), "v")
+    both = right.join(sets.select(F.col("cls").alias("u"), F.col("keys").alias("u_keys")).hint("merge"), "u")
     both = both.select("u", "v", "u_keys", "v_keys")
     both.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
 
@@ -269,8 +276,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, order: Order, words: int) -> DataFrame:
-    """cls and ordered keys of the chosen documents (doc_id, cls)."""
-    rows = ids_and_text(docs).join(chosen, "doc_id")
+    """cls and ordered keys of the chosen documents (doc_id, cls); repeated rows give repeated sets."""
+    # A merge join at every size: the chosen documents grow with the corpus, and the Python steps
+    # before and after it run in stages of their own.
+    rows = thinned(ids_and_text(docs), "doc_id", chosen, "doc_id").join(chosen.hint("merge"), "doc_id")
 
     def build(batches):
         for part, data, offsets in slices(batches):
@@ -282,7 +291,7 @@ def _sets(docs: DataFrame, chosen: DataFrame, order: Order, words: int) -> DataF
                 [pa.array(cls[mine]), pa.array([keys[cuts[i]:cuts[i + 1]].tobytes() for i in mine], pa.binary())],
                 names=["cls", "keys"])
 
-    return arrow_map(rows, build, "cls long, keys binary").dropDuplicates(["cls"])
+    return arrow_map(rows, build, "cls long, keys binary")
 
 
 def _close(a: str, b: str):
@@ -290,6 +299,12 @@ def _close(a: str, b: str):
     return (F.col(a) * 4 >= F.col(b) * 3) & (F.col(b) * 4 >= F.col(a) * 3)
 
 
+def _often_enough(times: str, a: str, b: str):
+    """Whether sets of sizes a and b that meet so often in their prefixes can reach the overlap."""
+    after = F.greatest(F.ceil(F.col(a) * 3 / 4), F.ceil(F.col(b) * 3 / 4)) - 1
+    return 7 * (F.col(times) + after) >= 3 * (F.col(a) + F.col(b))
+
+
 def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     profile = stage(profiles(docs, words), "profiles")
@@ -298,47 +313,48 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     by_count = np.lexsort((top.column("cls").to_numpy(), top.column("n").to_numpy()))
     order = Order(top.column("cls").to_numpy()[by_count])
     per_doc = profile.where("kind = 0").drop("kind")
-
     met = stage(meetings(prefixes(docs, order, words)), "meetings")
-    sizes = met.select("cls", "size").distinct()
-    near = met.where(F.col("before").isNotNull())
-    counted = near.groupBy(F.col("cls").alias("u"), F.col("before").alias("v")).agg(F.count("*").alias("n"))
-    best = counted.groupBy("u").agg(F.max(F.struct("n", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
-    # The representatives of the classes that meet another one.
-    chosen = per_doc.join(sizes.select("cls"), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    sets = stage(_sets(docs, chosen, order, words), "sets")
-
-    links = stage(verified(best, sets), "links")
-    comp = components(links)
 
-    def placed(rows: DataFrame, of: DataFrame) -> DataFrame:
-        return rows.join(of.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs of classes that are links."""
+        pairs = stage(pairs, "pairs")
+        named = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
+        chosen = stage(per_doc.join(named, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "chosen")
+        return stage(verified(pairs, stage(_sets(docs, chosen, order, words), "sets")), "links")
+
+    def placed(comp: DataFrame) -> DataFrame:
+        return met.drop("before", "before_size").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
             "comp", F.coalesce("comp", "cls"))
 
-    # Neighbours in the order of a node that are still apart.
+    def promising(neighbours: DataFrame) -> DataFrame:
+        """Pairs (cls, v) that meet often enough as neighbours, one for each cls: the one met most often."""
+        counted = neighbours.where(_close("size", "v_size")).groupBy("cls", "v", "size", "v_size").agg(
+            F.count("*").alias("n")).where(_often_enough("n", "size", "v_size"))
+        return counted.groupBy(F.col("cls").alias("u")).agg(F.max(F.struct("n", "v")).alias("best")).select(
+            "u", F.col("best.v").alias("v"))
+
+    links = linked(promising(met.where("before IS NOT NULL").withColumnsRenamed({"before": "v", "before_size": "v_size"})))
+    comp = components(links)
+
     along = Window.partitionBy("token").orderBy("size", "cls")
-    now = placed(met.drop("before"), comp).withColumn("v", F.lag("cls").over(along)).withColumn(
-        "v_comp", F.lag("comp").over(along)).withColumn("v_size", F.lag("size").over(along))
-    apart = now.where((F.col("comp") != F.col("v_comp")) & _close("size", "v_size"))
-    links = stage(links.unionByName(verified(
-        apart.select(F.col("cls").alias("u"), "v").distinct().join(best, ["u", "v"], "left_anti"), sets)), "links")
+    now = placed(comp).withColumns({f"v_{c}" if c != "cls" else "v": F.lag(c).over(along) for c in ("cls", "comp", "size")})
+    links = links.unionByName(linked(promising(now.where(F.col("comp") != F.col("v_comp")))))
     comp = components(links)
 
-    # Whatever else meets at a node, in different components, and can reach the overlap.
-    placed_met = placed(met.drop("before"), comp)
-    a = placed_met.select("token", *(F.col(c).alias(f"a_{c}") for c in ("cls", "size", "pos", "comp")))
-    b = placed_met.select("token", *(F.col(c).alias(f"b_{c}") for c in ("cls", "size", "pos", "comp")))
-    bound = F.least("a_pos", "b_pos") + 1 + F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos")) - 1
+    here = placed(comp)
+    a = here.select("token", *(F.col(c).alias(f"a_{c}") for c in ("cls", "size", "pos", "comp")))
+    b = here.select("token", *(F.col(c).alias(f"b_{c}") for c in ("cls", "size", "pos", "comp")))
+    bound = F.least("a_pos", "b_pos") + F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
     rest = a.join(b, "token").where(
         (F.col("a_cls") < F.col("b_cls")) & (F.col("a_comp") != F.col("b_comp")) & _close("a_size", "b_size")
         & (7 * bound >= 3 * (F.col("a_size") + F.col("b_size"))))
-    links = links.unionByName(verified(
-        rest.select(F.col("a_cls").alias("u"), F.col("b_cls").alias("v")).distinct(), sets))
-    comp = components(stage(links, "links"))
+    often = rest.groupBy(F.col("a_cls").alias("u"), F.col("b_cls").alias("v"), "a_size", "b_size").agg(
+        F.count("*").alias("n")).where(_often_enough("n", "a_size", "b_size"))
+    comp = components(links.unionByName(linked(often.select("u", "v"))))
 
     full = per_doc.where("n > 0").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "comp", F.coalesce("comp", "cls"))
     heads = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    linked = full.join(heads, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = full.join(heads, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = per_doc.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(empty)
+    return named.unionByName(empty)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 BATCH_ROWS = 512
 #: Fixed seeds: hashes must agree between executors and runs.
 _RNG = np.random.default_rng(20240229)
@@ -42,7 +42,7 @@ def keep_memory() -> None:
         libc = ctypes.CDLL(None)
         if hasattr(libc, "mallopt"):
             libc.mallopt(-3, 64 << 20)  # M_MMAP_THRESHOLD
-            libc.mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
+            libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]],
@@ -63,6 +63,14 @@ def ids_and_text(docs: DataFrame, *more: str) -> DataFrame:
                        *(docs[c] for c in more))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, longer by underscores if a column is called so (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows, and the n + 1 offsets of the rows in them."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -121,13 +129,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class SpanHashes:
+    """64-bit hashes of byte ranges of one array: differences of one weighted running sum."""
+
+    def __init__(self, data: np.ndarray):
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(_BYTE[data] * _power(_MULT, len(data))[:len(data)], out=self.total[1:])
+        self.inverse = _power(_INV, len(data))
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.total[ends] - self.total[starts]) * self.inverse[starts]
+                       + (ends - starts).astype(np.uint64))
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range: differences of one weighted running sum."""
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _power(_MULT, len(data))[:len(data)], out=total[1:])
-        return mix((total[ends] - total[starts]) * _power(_INV, len(data))[starts]
-                   + (ends - starts).astype(np.uint64))
+    return SpanHashes(data)(starts, ends)
 
 
 def combine(parts: Iterable[np.ndarray]) -> np.ndarray:
