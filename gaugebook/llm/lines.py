@@ -11,7 +11,8 @@ order is by doc_id (null first), then by line number. Shorter lines always stay.
    multi-match windows leave.
 3. Lines that meet under a key are candidates. Where more than CROWD meet, the shared
    segment is cut out and what remains is partitioned again under the old key and the new,
-   LEVELS times at most; what still meets then is joined as it is.
+   up to level LEVELS; what still meets in crowds then is joined, for pairs whose counts of
+   characters (16 classes, modulo 16) are close enough for EDITS edits.
 4. Candidates are verified by a banded bit-parallel edit distance.
 
 Defined results: a null text stays null and has no lines; an empty text is one empty line;
@@ -27,13 +28,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugebook.llm.membership import thinned
-from gaugebook.llm.text import arrow_map, combine, flat, hash_spans, shuffle_partitions, slices
+from gaugebook.llm.text import (
+    SpanHashes,
+    arrow_map,
+    combine,
+    flat,
+    free_name,
+    gather,
+    hash_spans,
+    shuffle_partitions,
+    slices,
+)
 from gaugebook.session import stage
 
 EDITS = 2
 MIN_CHARS = 32
 CROWD = 48
-LEVELS = 4
+LEVELS = 2
+CLASSES = 16
 FIRST = -(1 << 63)  # stands for a null doc_id
 
 
@@ -69,20 +81,17 @@ def segments(n: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarray]
     return i * short + np.maximum(0, i - longer_from), short + (i >= longer_from)
 
 
-def keys(data: np.ndarray, begin: np.ndarray, n: np.ndarray, edits: int = EDITS, least: int = MIN_CHARS,
-         only: tuple[int, int] | None = None):
+def keys(data: np.ndarray, begin: np.ndarray, n: np.ndarray, edits: int = EDITS, least: int = MIN_CHARS):
     """(line, role, key, start, length) arrays. `begin`: first code point of each line, `n`: their number.
 
-    role 0 is an index entry, 1 + d a probe among lines that are d code points shorter. `only`
-    restricts to index entries, or to the probes of one d.
+    role 0 is an index entry, 1 + d a probe among lines that are d code points shorter.
     """
     first_byte = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    hashed = SpanHashes(data)
     out = []
     for shorter in range(-1, edits + 1):
         probe = shorter >= 0
         role = 1 + shorter if probe else 0
-        if only is not None and role != only[0]:
-            continue
         size = n - max(shorter, 0)
         usable = np.flatnonzero(size >= max(least, edits + 1))
         if not len(usable):
@@ -95,7 +104,7 @@ def keys(data: np.ndarray, begin: np.ndarray, n: np.ndarray, edits: int = EDITS,
                 ok = (start >= 0) & (start + length <= n[usable])
                 line, s, k = usable[ok], start[ok], length[ok]
                 a, b = first_byte[begin[line] + s], first_byte[begin[line] + s + k]
-                key = combine([hash_spans(data, a, b), size[line] * 8 + i])
+                key = combine([hashed(a, b), size[line] * 8 + i])
                 out.append((line, np.full(len(line), role), key, s, k))
     if not out:
         return [np.empty(0, np.int64)] * 2 + [np.empty(0, np.uint64)] + [np.empty(0, np.int64)] * 2
@@ -149,6 +158,27 @@ def within(x: str, y: str, edits: int) -> bool:
     return score <= edits
 
 
+def sketches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Counts of first bytes of code points by class, modulo 16, packed. An edit moves their sum of
+    differences by two at most."""
+    size = ends - starts
+    at = gather(starts, size)
+    head = (data[at] & 0xC0) != 0x80
+    line = np.repeat(np.arange(len(starts)), size)[head]
+    count = np.bincount(line * CLASSES + data[at[head]] % CLASSES, minlength=len(starts) * CLASSES)
+    packed = (count.reshape(-1, CLASSES).astype(np.uint64) & np.uint64(15)) << np.arange(0, 4 * CLASSES, 4, dtype=np.uint64)
+    return np.bitwise_or.reduce(packed, axis=1) if len(starts) else np.empty(0, np.uint64)
+
+
+def _alike(a: str, b: str):
+    """Whether two sketches allow EDITS edits."""
+    steps = [F.abs(F.shiftright(a, 4 * k).bitwiseAND(15) - F.shiftright(b, 4 * k).bitwiseAND(15)) for k in range(CLASSES)]
+    total = F.lit(0)
+    for step in steps:
+        total = total + F.least(step, 16 - step)
+    return total <= 2 * EDITS
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
     """Lines that take part: two hashes, where they stand, and their number of code points."""
     def emit(batches):
@@ -160,10 +190,11 @@ def _occurrences(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hash_spans(data, starts, ends).view(np.int64)),
                  pa.array(hash_spans(data ^ 0xA5, starts, ends).view(np.int64)),
-                 part.column("doc_id").take(pa.array(rows)), pa.array(number.astype(np.int32))],
-                names=["line", "check", "doc_id", "number"])
+                 part.column("doc_id").take(pa.array(rows)), pa.array(number.astype(np.int32)),
+                 pa.array(sketches(data, starts, ends).view(np.int64))],
+                names=["line", "check", "doc_id", "number", "sketch"])
 
-    return arrow_map(docs, emit, "line long, check long, doc_id long, number int")
+    return arrow_map(docs, emit, "line long, check long, doc_id long, number int, sketch long")
 
 
 def _key_rows(docs: DataFrame) -> DataFrame:
@@ -254,19 +285,20 @@ def _again(rows: DataFrame, first: bool) -> DataFrame:
     """
     def emit(batches):
         for batch in batches:
-            out = []
-            columns = [batch.column(c).to_pylist() for c in ("key", "line", "probe", "text")]
-            for old, line, probe, text in zip(*columns):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                least = MIN_CHARS if first else 1
-                n = np.array([len(text)])
-                which, role, key, start, length = keys(raw, np.zeros(1, np.int64), n, least=least)
-                tag = key.view(np.int64) if first else combine([np.full(len(key), old).view(np.uint64), key]).view(np.int64)
-                for r, t, s, k in zip(role.tolist(), tag.tolist(), start.tolist(), length.tolist()):
-                    if (r > 0) != bool(probe) or (first and t != old):
-                        continue
-                    out.append((old if first else t, line, probe, text[:s] + text[s + k:]))
-            c = list(zip(*out)) or [()] * 4
+            if not batch.num_rows:
+                continue
+            old, line, probe, text = (batch.column(c).to_pylist() for c in ("key", "line", "probe", "text"))
+            data, _ = flat(pa.array(text, pa.string()))
+            n = np.array([len(t) for t in text])
+            which, role, key, start, length = keys(data, np.cumsum(n) - n, n, least=MIN_CHARS if first else 1)
+            before = np.array(old, np.int64)[which]
+            fits = (role > 0) == (np.array(probe)[which] > 0)
+            if first:
+                fits &= key.view(np.int64) == before
+            else:
+                key = combine([before.view(np.uint64), key])
+            c = list(zip(*[(t, line[w], probe[w], text[w][:s] + text[w][s + k:]) for w, t, s, k in zip(
+                which[fits].tolist(), key[fits].view(np.int64).tolist(), start[fits].tolist(), length[fits].tolist())])) or [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int8()), pa.array(c[3], pa.string())],
                 names=["key", "line", "probe", "rest"])
@@ -277,7 +309,7 @@ def _again(rows: DataFrame, first: bool) -> DataFrame:
 def _texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """line, check and text of the given lines (line, check, doc_id, number)."""
     wanted = lines.groupBy("doc_id").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
-    rows = thinned(docs, "doc_id", wanted, "doc_id").join(wanted, "doc_id")
+    rows = thinned(docs, "doc_id", wanted, "doc_id").join(wanted.hint("merge"), "doc_id")
 
     def cut(batches):
         for batch in batches:
@@ -300,7 +332,8 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     `docs`: doc_id (no nulls) and text.
     """
     lines = stage(_occurrences(docs).groupBy("line", "check").agg(
-        F.min(F.struct("doc_id", "number")).alias("first")).select("line", "check", "first.doc_id", "first.number"), "lines")
+        F.min(F.struct("doc_id", "number")).alias("first"), F.min("sketch").alias("sketch")).select(
+        "line", "check", "first.doc_id", "first.number", "sketch"), "lines")
     met = stage(_meet(_key_rows(docs), False), "candidates")
     found, first = [met], True
     for level in range(LEVELS):
@@ -313,8 +346,10 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             crowd = _again(whole, True)  # what remains beside the shared substring
             first = False
         if level == LEVELS - 1:
-            a, b = crowd.where("probe = 0").select("key", F.col("line").alias("x")), crowd.where("probe = 1").select("key", F.col("line").alias("y"))
-            both = a.join(b, "key").where("x <> y")
+            placed = crowd.select("key", "line", "probe").distinct().join(lines.select("line", "sketch"), "line")
+            x = placed.where("probe = 0").select("key", F.col("line").alias("x"), F.col("sketch").alias("x_sketch"))
+            y = placed.where("probe = 1").select("key", F.col("line").alias("y"), F.col("sketch").alias("y_sketch"))
+            both = x.join(y, "key").where((F.col("x") != F.col("y")) & _alike("x_sketch", "y_sketch"))
             found.append(both.select("key", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")))
             break
         met = stage(_meet(_again(crowd.withColumnRenamed("rest", "text"), False), True), "candidates")
@@ -347,10 +382,10 @@ def _removals(docs: DataFrame) -> DataFrame:
     later = placed.select(F.when(F.col("u_at") > F.col("v_at"), F.struct(F.col("u").alias("line"), F.col("u_check").alias("check")))
                           .when(F.col("v_at") > F.col("u_at"), F.struct(F.col("v").alias("line"), F.col("v_check").alias("check"))).alias("x"))
     gone = later.where("x IS NOT NULL").select("x.*").distinct().withColumn("gone", F.lit(True))
-    state = lines.withColumnsRenamed({"doc_id": "first_doc", "number": "first_number"}).join(gone, ["line", "check"], "left")
-    all_lines = _occurrences(docs).join(state, ["line", "check"])
+    state = lines.drop("sketch").withColumnsRenamed({"doc_id": "first_doc", "number": "first_number"}).join(gone, ["line", "check"], "left")
+    all_lines = _occurrences(docs).drop("sketch").join(state, ["line", "check"])
     drop = F.col("gone").isNotNull() | (F.col("doc_id") != F.col("first_doc")) | (F.col("number") != F.col("first_number"))
-    return all_lines.where(drop).groupBy("doc_id").agg(F.sort_array(F.collect_set("number")).alias("_numbers"))
+    return all_lines.where(drop).groupBy("doc_id").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
 
 
 def dedup(docs: DataFrame, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
@@ -358,19 +393,21 @@ def dedup(docs: DataFrame, n_lines: str = "n_lines", n_removed: str = "n_removed
     names = [c for c in docs.columns if c not in (n_lines, n_removed)]
     id_ = F.coalesce(docs["doc_id"].cast("long"), F.lit(FIRST))
     gone = stage(_removals(docs.select(id_.alias("doc_id"), docs["text"].cast("string").alias("text"))), "removals")
-    rows = docs.select(*(docs[c] for c in names), id_.alias("_id")).join(
-        gone.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
-    schema = rows.drop("_numbers").withColumn("text", F.col("text").cast("string")).withColumns(
+    at, away = free_name(docs, "_at"), free_name(docs, "_numbers")
+    rows = docs.select(*(docs[c] for c in names), id_.alias(at)).join(
+        gone.select(F.col("doc_id").alias(at), F.col("numbers").alias(away)).hint("merge"), at, "left").drop(at)
+    # A merge join at every size: the list of removals grows with the corpus, so it is no side to broadcast.
+    schema = rows.drop(away).withColumn("text", F.col("text").cast("string")).withColumns(
         {n_lines: F.lit(0).cast("long"), n_removed: F.lit(0).cast("long")}).schema
 
     def cut(batches):
         for batch in batches:
-            texts, gone_of = batch.column("text").cast(pa.string()).to_pylist(), batch.column("_numbers").to_pylist()
+            texts, gone_of = batch.column("text").cast(pa.string()).to_pylist(), batch.column(away).to_pylist()
             counts = [0 if t is None else t.count("\n") + 1 for t in texts]
             for i, gone_lines in enumerate(gone_of):
                 if gone_lines and texts[i] is not None:
-                    away = set(gone_lines)
-                    texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in away)
+                    drop = set(gone_lines)
+                    texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in drop)
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(
                 columns + [pa.array(counts, pa.int64()), pa.array([len(g or ()) for g in gone_of], pa.int64())],
