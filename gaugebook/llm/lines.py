@@ -2,7 +2,8 @@
 
 A line takes part if it has MIN_CHARS code points or more. It is removed if an equal line,
 or one within EDITS edits (insert, delete, replace of a code point), stands before it; the
-order is by doc_id (null first), then by line number. Shorter lines always stay.
+order is by doc_id (null first), then by a hash of id and text, then by line number.
+Shorter lines always stay.
 
 1. Equal lines fold to their first occurrence.
 2. A line of n code points is cut into EDITS + 1 segments; a line within EDITS edits holds
@@ -16,8 +17,9 @@ order is by doc_id (null first), then by line number. Shorter lines always stay.
 4. Candidates are verified by a banded bit-parallel edit distance.
 
 Defined results: a null text stays null and has no lines; an empty text is one empty line;
-rows of equal doc_id are one document in the order, so that they never remove each other's
-lines at equal line numbers; an empty table gives no rows; other columns pass through.
+rows of equal doc_id and equal text are one document in the order, so that they never remove
+each other's lines at equal line numbers; rows of one doc_id, or without one, that differ in
+text are documents of their own; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ CROWD = 48
 LEVELS = 2
 CLASSES = 16
 FIRST = -(1 << 63)  # stands for a null doc_id
+#: A document: its id, and a hash of id and text that tells apart texts of one id.
+ID = ["doc_id", "mark"]
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray):
@@ -190,11 +194,11 @@ def _occurrences(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hash_spans(data, starts, ends).view(np.int64)),
                  pa.array(hash_spans(data ^ 0xA5, starts, ends).view(np.int64)),
-                 part.column("doc_id").take(pa.array(rows)), pa.array(number.astype(np.int32)),
+                 *(part.column(c).take(pa.array(rows)) for c in ID), pa.array(number.astype(np.int32)),
                  pa.array(sketches(data, starts, ends).view(np.int64))],
-                names=["line", "check", "doc_id", "number", "sketch"])
+                names=["line", "check", *ID, "number", "sketch"])
 
-    return arrow_map(docs, emit, "line long, check long, doc_id long, number int, sketch long")
+    return arrow_map(docs, emit, "line long, check long, doc_id long, mark long, number int, sketch long")
 
 
 def _key_rows(docs: DataFrame) -> DataFrame:
@@ -307,9 +311,9 @@ def _again(rows: DataFrame, first: bool) -> DataFrame:
 
 
 def _texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """line, check and text of the given lines (line, check, doc_id, number)."""
-    wanted = lines.groupBy("doc_id").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
-    rows = thinned(docs, "doc_id", wanted, "doc_id").join(wanted.hint("merge"), "doc_id")
+    """line, check and text of the given lines (line, check, doc_id, mark, number)."""
+    wanted = lines.groupBy(*ID).agg(F.sort_array(F.collect_set("number")).alias("numbers"))
+    rows = thinned(docs, "mark", wanted, "mark").join(wanted.hint("merge"), ID)
 
     def cut(batches):
         for batch in batches:
@@ -327,13 +331,13 @@ def _texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct lines (line, check, first: doc_id and number), and the pairs of them within EDITS edits.
+    """Distinct lines (line, check, first: doc_id, mark and number), and the pairs of them within EDITS edits.
 
-    `docs`: doc_id (no nulls) and text.
+    `docs`: doc_id (no nulls), mark and text.
     """
     lines = stage(_occurrences(docs).groupBy("line", "check").agg(
-        F.min(F.struct("doc_id", "number")).alias("first"), F.min("sketch").alias("sketch")).select(
-        "line", "check", "first.doc_id", "first.number", "sketch"), "lines")
+        F.min(F.struct(*ID, "number")).alias("first"), F.min("sketch").alias("sketch")).select(
+        "line", "check", "first.doc_id", "first.mark", "first.number", "sketch"), "lines")
     met = stage(_meet(_key_rows(docs), False), "candidates")
     found, first = [met], True
     for level in range(LEVELS):
@@ -373,29 +377,33 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _removals(docs: DataFrame) -> DataFrame:
-    """doc_id and the numbers of the lines that go, for documents that lose any."""
+    """doc_id, mark and the numbers of the lines that go, for documents that lose any."""
     lines, near = near_lines(docs)
-    spot = F.struct("doc_id", "number")
+    spot = F.struct(*ID, "number")
     at_u = lines.select(F.col("line").alias("u"), F.col("check").alias("u_check"), spot.alias("u_at"))
     at_v = lines.select(F.col("line").alias("v"), F.col("check").alias("v_check"), spot.alias("v_at"))
     placed = near.join(at_u, ["u", "u_check"]).join(at_v, ["v", "v_check"])
     later = placed.select(F.when(F.col("u_at") > F.col("v_at"), F.struct(F.col("u").alias("line"), F.col("u_check").alias("check")))
                           .when(F.col("v_at") > F.col("u_at"), F.struct(F.col("v").alias("line"), F.col("v_check").alias("check"))).alias("x"))
     gone = later.where("x IS NOT NULL").select("x.*").distinct().withColumn("gone", F.lit(True))
-    state = lines.drop("sketch").withColumnsRenamed({"doc_id": "first_doc", "number": "first_number"}).join(gone, ["line", "check"], "left")
+    state = lines.drop("sketch").withColumnsRenamed({c: f"first_{c}" for c in (*ID, "number")}).join(gone, ["line", "check"], "left")
     all_lines = _occurrences(docs).drop("sketch").join(state, ["line", "check"])
-    drop = F.col("gone").isNotNull() | (F.col("doc_id") != F.col("first_doc")) | (F.col("number") != F.col("first_number"))
-    return all_lines.where(drop).groupBy("doc_id").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
+    drop = F.col("gone").isNotNull()
+    for c in (*ID, "number"):
+        drop = drop | (F.col(c) != F.col(f"first_{c}"))
+    return all_lines.where(drop).groupBy(*ID).agg(F.sort_array(F.collect_set("number")).alias("numbers"))
 
 
 def dedup(docs: DataFrame, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
     """The documents with `text` cut, and two counts beside their columns (in place of columns of those names)."""
     names = [c for c in docs.columns if c not in (n_lines, n_removed)]
-    id_ = F.coalesce(docs["doc_id"].cast("long"), F.lit(FIRST))
-    gone = stage(_removals(docs.select(id_.alias("doc_id"), docs["text"].cast("string").alias("text"))), "removals")
-    at, away = free_name(docs, "_at"), free_name(docs, "_numbers")
-    rows = docs.select(*(docs[c] for c in names), id_.alias(at)).join(
-        gone.select(F.col("doc_id").alias(at), F.col("numbers").alias(away)).hint("merge"), at, "left").drop(at)
+    id_, text = F.coalesce(docs["doc_id"].cast("long"), F.lit(FIRST)), docs["text"].cast("string")
+    mark = F.xxhash64(docs["doc_id"].cast("long"), text)
+    gone = stage(_removals(docs.select(id_.alias("doc_id"), mark.alias("mark"), text.alias("text"))), "removals")
+    at, which, away = (free_name(docs, c) for c in ("_at", "_mark", "_numbers"))
+    rows = docs.select(*(docs[c] for c in names), id_.alias(at), mark.alias(which)).join(
+        gone.select(F.col("doc_id").alias(at), F.col("mark").alias(which), F.col("numbers").alias(away)).hint("merge"),
+        [at, which], "left").drop(at, which)
     # A merge join at every size: the list of removals grows with the corpus, so it is no side to broadcast.
     schema = rows.drop(away).withColumn("text", F.col("text").cast("string")).withColumns(
         {n_lines: F.lit(0).cast("long"), n_removed: F.lit(0).cast("long")}).schema

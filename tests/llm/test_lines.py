@@ -95,3 +95,15 @@ def test_empty_and_null_id(make_docs):
     line = "this line is long enough to take part"
     assert lines.dedup(make_docs([])).count() == 0
     assert texts_of(lines.dedup(make_docs([(1, line), (None, line)]))) == {None: line, 1: ""}
+
+
+def test_texts_of_one_id_or_none_lose_only_their_own_lines(make_docs):
+    common = "this line stands in many of the documents here"
+    own = ["the first of all the lines that stand alone", "quite another one 0123456789 abcdefghijk", "short", "ZYXWVUTSRQPONMLKJIHGFEDCBA 9876543210"]
+    rows = [(1, common), (2, f"{common}\n{own[0]}"), (2, f"{own[1]}\n{common}"), (2, f"{own[2]}\n{own[3]}")]
+    got = [(r["text"], r["n_removed"]) for r in lines.dedup(make_docs(rows)).collect()]
+    assert sorted(got) == sorted([(common, 0), (own[0], 1), (own[1], 1), (f"{own[2]}\n{own[3]}", 0)])
+    # Without an id, too; the common line stays once.
+    got = [(r["text"], r["n_removed"]) for r in lines.dedup(make_docs([(None, t) for _, t in rows[1:]])).collect()]
+    assert sorted(n for _, n in got) == [0, 0, 1]
+    assert sorted(x for t, _ in got for x in t.split("\n")) == sorted([common, *own])
