@@ -28,8 +28,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stood before; those that lose every line go."""
-    cut = lines.dedup(docs, "_lines", "_removed")
+    """Documents without lines that stood before; those that lose every line go. Short lines stay."""
+    cut = lines.dedup(docs, "_lines", "_removed", least=lines.MIN_CHARS)
     left = cut.where(F.col("_removed") < F.greatest(F.lit(1), F.col("_lines")))
     length = F.when(F.col("_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))
     return left.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(docs.columns)

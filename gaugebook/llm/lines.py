@@ -1,12 +1,13 @@
 """Line dedup by a segment-partition edit join.
 
-A line takes part if it has MIN_CHARS code points or more. It is removed if an equal line,
-or one within EDITS edits (insert, delete, replace of a code point), stands before it; the
-order is by doc_id (null first), then by a hash of id and text, then by line number.
-Shorter lines always stay.
+Every non-empty line takes part. It is removed if an equal line, or one within the edits
+(insert, delete, replace of a code point) that the shorter of the two allows, stands before
+it; the order is by doc_id (null first), then by a hash of id and text, then by line number.
+A line allows EDITS edits from MIN_CHARS code points on and proportionally fewer below:
+one from half of that, none under half. A caller can set a floor; shorter lines then stay.
 
 1. Equal lines fold to their first occurrence.
-2. A line of n code points is cut into EDITS + 1 segments; a line within EDITS edits holds
+2. A line of n code points that allows e edits is cut into e + 1 segments; a line within e edits holds
    one of them unchanged, near its place. Segments are index entries under (n, number of the
    segment, text); for lengths n, n - 1, .. each line probes the substrings that the
    multi-match windows leave.
@@ -85,19 +86,25 @@ def segments(n: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarray]
     return i * short + np.maximum(0, i - longer_from), short + (i >= longer_from)
 
 
-def keys(data: np.ndarray, begin: np.ndarray, n: np.ndarray, edits: int = EDITS, least: int = MIN_CHARS):
+def allowed(n):
+    """Edits that a line of n code points allows."""
+    return np.minimum(EDITS, n * EDITS // MIN_CHARS)
+
+
+def keys(data: np.ndarray, begin: np.ndarray, n: np.ndarray, least: int = 1, given: np.ndarray | None = None):
     """(line, role, key, start, length) arrays. `begin`: first code point of each line, `n`: their number.
 
-    role 0 is an index entry, 1 + d a probe among lines that are d code points shorter.
+    role 0 is an index entry, 1 + d a probe among lines that are d code points shorter. Lines under
+    `least` code points have no keys. The length joined decides the edits, unless each line is `given` its own.
     """
     first_byte = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
     hashed = SpanHashes(data)
     out = []
-    for shorter in range(-1, edits + 1):
+    for edits, shorter in ((e, d) for e in range(1, EDITS + 1) for d in range(-1, e + 1)):
         probe = shorter >= 0
         role = 1 + shorter if probe else 0
         size = n - max(shorter, 0)
-        usable = np.flatnonzero(size >= max(least, edits + 1))
+        usable = np.flatnonzero((size >= max(least, edits + 1)) & ((allowed(size) if given is None else given) == edits))
         if not len(usable):
             continue
         for i in range(edits + 1):
@@ -183,13 +190,13 @@ def _alike(a: str, b: str):
     return total <= 2 * EDITS
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
+def _occurrences(docs: DataFrame, least: int) -> DataFrame:
     """Lines that take part: two hashes, where they stand, and their number of code points."""
     def emit(batches):
         for part, data, offsets in slices(batches):
             rows, number, starts, ends, head = line_spans(data, offsets)
             n = head[ends] - head[starts]
-            take = n >= MIN_CHARS
+            take = n >= max(least, 1)
             rows, number, starts, ends = rows[take], number[take], starts[take], ends[take]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hash_spans(data, starts, ends).view(np.int64)),
@@ -201,13 +208,14 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, emit, "line long, check long, doc_id long, mark long, number int, sketch long")
 
 
-def _key_rows(docs: DataFrame) -> DataFrame:
-    """key and line of all index entries and probes; the lowest bit of `entry` marks a probe."""
+def _key_rows(docs: DataFrame, least: int) -> DataFrame:
+    """key and line of all index entries and probes; the lowest bit of `entry` marks a probe, the others are the edits."""
     def emit(batches):
         known: set[int] = set()
         for _, data, offsets in slices(batches, limit=1 << 19):
             rows, _, starts, ends, head = line_spans(data, offsets)
-            take = head[ends] - head[starts] >= MIN_CHARS
+            n = head[ends] - head[starts]
+            take = (n >= least) & (allowed(n) > 0)
             starts, ends = starts[take], ends[take]
             if not len(starts):
                 continue
@@ -217,23 +225,25 @@ def _key_rows(docs: DataFrame) -> DataFrame:
             if len(known) > 200_000:
                 known.clear()
             at, line = at[new], line[new]
-            which, role, key, _, _ = keys(data, head[starts[at]], head[ends[at]] - head[starts[at]])
+            n = head[ends[at]] - head[starts[at]]
+            which, role, key, _, _ = keys(data, head[starts[at]], n, least)
+            entry = allowed(n[which] - np.maximum(role - 1, 0)) * 2 + (role > 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(line[which]), pa.array((role > 0).astype(np.int8))],
-                names=["key", "line", "probe"])
+                [pa.array(key.view(np.int64)), pa.array(line[which]), pa.array(entry.astype(np.int8))],
+                names=["key", "line", "entry"])
 
-    return arrow_map(docs, emit, "key long, line long, probe byte")
+    return arrow_map(docs, emit, "key long, line long, entry byte")
 
 
 def _meet(rows: DataFrame, rest: bool) -> DataFrame:
     """Candidate pairs (u, v) of a key; members of a crowd come back as (key, u) with v null."""
-    columns = ["key", "line", "probe"] + (["rest"] if rest else [])
-    ordered = rows.select(*columns).repartition(shuffle_partitions(rows), "key").sortWithinPartitions("key", "line", "probe")
+    columns = ["key", "line", "entry"] + (["rest"] if rest else [])
+    ordered = rows.select(*columns).repartition(shuffle_partitions(rows), "key").sortWithinPartitions("key", "line", "entry")
     ordered.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
 
     def pairs(members):
-        index = sorted({m[0] for m in members if not m[1]})
-        probes = sorted({m[0] for m in members if m[1]})
+        index = sorted({m[0] for m in members if not m[1] & 1})
+        probes = sorted({m[0] for m in members if m[1] & 1})
         return [(min(a, b), max(a, b)) for a in index for b in probes if a != b]
 
     def close(key, members, crowd, out):
@@ -249,10 +259,10 @@ def _meet(rows: DataFrame, rest: bool) -> DataFrame:
             alone = np.zeros(len(key), bool)
             alone[1:-1] = (key[1:-1] != key[:-2]) & (key[1:-1] != key[2:])
             at = np.flatnonzero(~alone)
-            probe = batch.column("probe").to_numpy()
+            entry = batch.column("entry").to_numpy()
             text = batch.column("rest") if rest else None
             out: list = []
-            for i, k, u, p in zip(at.tolist(), key[at].tolist(), line[at].tolist(), probe[at].tolist()):
+            for i, k, u, p in zip(at.tolist(), key[at].tolist(), line[at].tolist(), entry[at].tolist()):
                 if k != current:
                     close(current, held, crowd, out)
                     current, held, crowd = k, [], False
@@ -276,13 +286,13 @@ def _meet(rows: DataFrame, rest: bool) -> DataFrame:
         c = list(zip(*out)) or [()] * 5
         return pa.RecordBatch.from_arrays(
             [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()),
-             pa.array(c[3], pa.int8()), pa.array(c[4], pa.string())], names=["key", "u", "v", "probe", "rest"])
+             pa.array(c[3], pa.int8()), pa.array(c[4], pa.string())], names=["key", "u", "v", "entry", "rest"])
 
-    return ordered.mapInArrow(scan, "key long, u long, v long, probe byte, rest string")
+    return ordered.mapInArrow(scan, "key long, u long, v long, entry byte, rest string")
 
 
 def _again(rows: DataFrame, first: bool) -> DataFrame:
-    """Crowd members (key, line, probe, text, rest) under their old key and the keys of what remains.
+    """Crowd members (key, line, entry, text, rest) under their old key and the keys of what remains.
 
     At the first level the text is the whole line, and the key shows which substring was
     shared; later the rest has lost that substring already.
@@ -291,23 +301,24 @@ def _again(rows: DataFrame, first: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            old, line, probe, text = (batch.column(c).to_pylist() for c in ("key", "line", "probe", "text"))
+            old, line, entry, text = (batch.column(c).to_pylist() for c in ("key", "line", "entry", "text"))
             data, _ = flat(pa.array(text, pa.string()))
             n = np.array([len(t) for t in text])
-            which, role, key, start, length = keys(data, np.cumsum(n) - n, n, least=MIN_CHARS if first else 1)
+            of = np.array(entry)
+            which, role, key, start, length = keys(data, np.cumsum(n) - n, n, given=None if first else of >> 1)
             before = np.array(old, np.int64)[which]
-            fits = (role > 0) == (np.array(probe)[which] > 0)
+            fits = (role > 0) == (of[which] & 1 > 0)
             if first:
                 fits &= key.view(np.int64) == before
             else:
                 key = combine([before.view(np.uint64), key])
-            c = list(zip(*[(t, line[w], probe[w], text[w][:s] + text[w][s + k:]) for w, t, s, k in zip(
+            c = list(zip(*[(t, line[w], entry[w], text[w][:s] + text[w][s + k:]) for w, t, s, k in zip(
                 which[fits].tolist(), key[fits].view(np.int64).tolist(), start[fits].tolist(), length[fits].tolist())])) or [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int8()), pa.array(c[3], pa.string())],
-                names=["key", "line", "probe", "rest"])
+                names=["key", "line", "entry", "rest"])
 
-    return arrow_map(rows, emit, "key long, line long, probe byte, rest string")
+    return arrow_map(rows, emit, "key long, line long, entry byte, rest string")
 
 
 def _texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -330,18 +341,18 @@ def _texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return found.join(lines.select("line", "check"), ["line", "check"], "left_semi").dropDuplicates(["line", "check"])
 
 
-def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct lines (line, check, first: doc_id, mark and number), and the pairs of them within EDITS edits.
+def near_lines(docs: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Distinct lines (line, check, first: doc_id, mark and number), and the pairs of them within the allowed edits.
 
     `docs`: doc_id (no nulls), mark and text.
     """
-    lines = stage(_occurrences(docs).groupBy("line", "check").agg(
+    lines = stage(_occurrences(docs, least).groupBy("line", "check").agg(
         F.min(F.struct(*ID, "number")).alias("first"), F.min("sketch").alias("sketch")).select(
         "line", "check", "first.doc_id", "first.mark", "first.number", "sketch"), "lines")
-    met = stage(_meet(_key_rows(docs), False), "candidates")
+    met = stage(_meet(_key_rows(docs, least), False), "candidates")
     found, first = [met], True
     for level in range(LEVELS):
-        crowd = met.where("v IS NULL").select("key", F.col("u").alias("line"), "probe", "rest")
+        crowd = met.where("v IS NULL").select("key", F.col("u").alias("line"), "entry", "rest")
         if crowd.isEmpty():
             break
         if first:
@@ -350,9 +361,9 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             crowd = _again(whole, True)  # what remains beside the shared substring
             first = False
         if level == LEVELS - 1:
-            placed = crowd.select("key", "line", "probe").distinct().join(lines.select("line", "sketch"), "line")
-            x = placed.where("probe = 0").select("key", F.col("line").alias("x"), F.col("sketch").alias("x_sketch"))
-            y = placed.where("probe = 1").select("key", F.col("line").alias("y"), F.col("sketch").alias("y_sketch"))
+            placed = crowd.select("key", "line", "entry").distinct().join(lines.select("line", "sketch"), "line")
+            x = placed.where("entry & 1 = 0").select("key", F.col("line").alias("x"), F.col("sketch").alias("x_sketch"))
+            y = placed.where("entry & 1 = 1").select("key", F.col("line").alias("y"), F.col("sketch").alias("y_sketch"))
             both = x.join(y, "key").where((F.col("x") != F.col("y")) & _alike("x_sketch", "y_sketch"))
             found.append(both.select("key", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")))
             break
@@ -369,16 +380,16 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def verify(batches):
         for batch in batches:
-            ok = [within(a, b, EDITS) for a, b in zip(batch.column("u_text").to_pylist(), batch.column("v_text").to_pylist())]
+            ok = [within(a, b, int(allowed(min(len(a), len(b))))) for a, b in zip(batch.column("u_text").to_pylist(), batch.column("v_text").to_pylist())]
             yield batch.filter(pa.array(ok, pa.bool_())).select(["u", "u_check", "v", "v_check"])
 
     near = arrow_map(both, verify, "u long, u_check long, v long, v_check long")
     return lines, near
 
 
-def _removals(docs: DataFrame) -> DataFrame:
+def _removals(docs: DataFrame, least: int) -> DataFrame:
     """doc_id, mark and the numbers of the lines that go, for documents that lose any."""
-    lines, near = near_lines(docs)
+    lines, near = near_lines(docs, least)
     spot = F.struct(*ID, "number")
     at_u = lines.select(F.col("line").alias("u"), F.col("check").alias("u_check"), spot.alias("u_at"))
     at_v = lines.select(F.col("line").alias("v"), F.col("check").alias("v_check"), spot.alias("v_at"))
@@ -387,19 +398,22 @@ def _removals(docs: DataFrame) -> DataFrame:
                           .when(F.col("v_at") > F.col("u_at"), F.struct(F.col("v").alias("line"), F.col("v_check").alias("check"))).alias("x"))
     gone = later.where("x IS NOT NULL").select("x.*").distinct().withColumn("gone", F.lit(True))
     state = lines.drop("sketch").withColumnsRenamed({c: f"first_{c}" for c in (*ID, "number")}).join(gone, ["line", "check"], "left")
-    all_lines = _occurrences(docs).drop("sketch").join(state, ["line", "check"])
+    all_lines = _occurrences(docs, least).drop("sketch").join(state, ["line", "check"])
     drop = F.col("gone").isNotNull()
     for c in (*ID, "number"):
         drop = drop | (F.col(c) != F.col(f"first_{c}"))
     return all_lines.where(drop).groupBy(*ID).agg(F.sort_array(F.collect_set("number")).alias("numbers"))
 
 
-def dedup(docs: DataFrame, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
-    """The documents with `text` cut, and two counts beside their columns (in place of columns of those names)."""
+def dedup(docs: DataFrame, n_lines: str = "n_lines", n_removed: str = "n_removed", least: int = 1) -> DataFrame:
+    """The documents with `text` cut, and two counts beside their columns (in place of columns of those names).
+
+    Lines under `least` code points stay.
+    """
     names = [c for c in docs.columns if c not in (n_lines, n_removed)]
     id_, text = F.coalesce(docs["doc_id"].cast("long"), F.lit(FIRST)), docs["text"].cast("string")
     mark = F.xxhash64(docs["doc_id"].cast("long"), text)
-    gone = stage(_removals(docs.select(id_.alias("doc_id"), mark.alias("mark"), text.alias("text"))), "removals")
+    gone = stage(_removals(docs.select(id_.alias("doc_id"), mark.alias("mark"), text.alias("text")), least), "removals")
     at, which, away = (free_name(docs, c) for c in ("_at", "_mark", "_numbers"))
     rows = docs.select(*(docs[c] for c in names), id_.alias(at), mark.alias(which)).join(
         gone.select(F.col("doc_id").alias(at), F.col("mark").alias(which), F.col("numbers").alias(away)).hint("merge"),

@@ -107,3 +107,34 @@ def test_texts_of_one_id_or_none_lose_only_their_own_lines(make_docs):
     got = [(r["text"], r["n_removed"]) for r in lines.dedup(make_docs([(None, t) for _, t in rows[1:]])).collect()]
     assert sorted(n for _, n in got) == [0, 0, 1]
     assert sorted(x for t, _ in got for x in t.split("\n")) == sorted([common, *own])
+
+
+def test_short_lines(make_docs):
+    """Equal ones go at any length; near ones by the edits that the shorter one allows."""
+    rng = random.Random(6)
+    stock = ["".join(rng.choice("abcdef é") for _ in range(n)) for n in (1, 2, 5, 15, 16, 17, 20, 24, 31, 32, 33)]
+    rows = []
+    for i in range(70):
+        text = []
+        for _ in range(rng.randint(1, 5)):
+            line = list(rng.choice(stock))
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+                k = rng.randrange(len(line) + 1)
+                line[k:k + rng.randint(0, 1)] = rng.choice(["", "x", "y"])
+            text.append("".join(line))
+        rows.append((i, "\n".join(text)))
+    spots = [(d, i, x) for d, t in rows for i, x in enumerate(t.split("\n")) if x]
+    first = {}
+    for d, i, x in spots:
+        first.setdefault(x, (d, i))
+    names = list(first)
+    gone = {max(x, y, key=first.get) for k, x in enumerate(names) for y in names[:k]
+            if brute.distance(x, y) <= min(2, min(len(x), len(y)) // 16)}
+    assert any(16 <= len(x) < 32 for x in gone)
+    expected = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if not x or first[x] == (d, i) and x not in gone)
+                for d, t in rows}
+    for crowd in (48, 1):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(lines, "CROWD", crowd)
+            assert texts_of(lines.dedup(make_docs(rows))) == expected
+    assert texts_of(lines.dedup(make_docs(rows), least=32)) == brute.kept_lines(rows)
