@@ -6,10 +6,9 @@ of a cell. A document is kept with probability min(1, scale * weight of its cell
 the scale is chosen so that the expected tokens are the wanted share of all tokens; a hash
 of doc_id and a seed decides, so a rerun keeps the same documents.
 
-Margins have few categories whatever the corpus: sources with at least `LEAST_SHARE` of
-the tokens keep their name (1 / LEAST_SHARE at most), all others are pooled, likewise
-languages; topics are TOPICS hashed word classes. So the table of cells that is raked on
-the driver is bounded by (1 / LEAST_SHARE + 1)^2 * TOPICS rows.
+Every source and every language is a category of its own; topics are TOPICS hashed word
+classes. Up to DRIVER_CELLS cells are raked on the driver; more by rounds of Spark
+aggregations over the table of cells, to the same margins and tolerance.
 
 Tokens are words (runs of bytes that are no white space). The topic of a document is the
 class that most of its longer words hash to, the smaller one in a tie.
@@ -28,19 +27,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugebook.llm.jaccard import _LOWER, _WORD
-from gaugebook.llm.text import arrow_map, hash_spans, slices, spans
+from gaugebook.llm.text import arrow_map, free_name, hash_spans, slices, spans
 from gaugebook.session import stage
 
 TOPICS = 8
 #: Bytes of a word that votes for a topic, at least.
 TOPIC_WORD = 6
-LEAST_SHARE = 0.005
-POOLED, NONE = "(other)", "(none)"
+#: Cells that the driver rakes and broadcasts, at most.
+DRIVER_CELLS = 50_000
+NONE = "(none)"
 #: Targets temper the actual shares: share^TEMPER, made to sum to 1.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 SHARE = 0.8
 SEED = 17
 ROUNDS = 200
+TOLERANCE = 1e-9
 
 
 def tokens_and_topic(docs: DataFrame, prefix: str = "mix_") -> DataFrame:
@@ -66,7 +67,7 @@ def tokens_and_topic(docs: DataFrame, prefix: str = "mix_") -> DataFrame:
 
 
 def rake(mass: np.ndarray, margins: list[tuple[np.ndarray, np.ndarray]], rounds: int = ROUNDS,
-         tolerance: float = 1e-9) -> np.ndarray:
+         tolerance: float = TOLERANCE) -> np.ndarray:
     """Cell masses whose margins meet the targets. margins: (category of each cell, target mass of each category)."""
     out = mass.astype(float).copy()
     for _ in range(rounds):
@@ -101,58 +102,104 @@ def _tempered(mass: np.ndarray, temper: float) -> np.ndarray:
     return share / share.sum() * mass.sum()
 
 
-def _named(rows: DataFrame, column: str, total: float, least: float) -> DataFrame:
-    """Categories with their share of the tokens or more; at most 1 / least of them."""
-    sums = rows.groupBy(F.coalesce(F.col(column), F.lit(NONE)).alias("_name")).agg(F.sum("mass").alias("_mass"))
-    return sums.where(F.col("_mass") >= least * total).select("_name")
+CELL = ["source", "lang", "topic"]
+
+
+def _raked_here(cells: DataFrame, targets: dict[str, dict[str, float]], share: float) -> tuple[DataFrame, float]:
+    """CELL and weight of every cell, and the scale, computed on the driver."""
+    rows = cells.orderBy(*CELL).collect()
+    mass = np.array([c["mass"] for c in rows], float)
+    margins = []
+    for margin in CELL:
+        names, category = np.unique([c[margin] for c in rows], return_inverse=True)
+        if margin in targets:
+            wanted = np.array([float(targets[margin].get(n, 0.0)) for n in names])
+            if wanted.sum() <= 0:
+                raise ValueError(f"no target of {margin} is a category of the corpus")
+            wanted = wanted / wanted.sum() * mass.sum()
+        else:
+            wanted = _tempered(np.bincount(category, weights=mass), TEMPER[margin])
+        margins.append((category, wanted))
+    ratio = rake(mass, margins) / mass
+    table = cells.sparkSession.createDataFrame(
+        [(*(c[m] for m in CELL), float(w)) for c, w in zip(rows, ratio)], "source string, lang string, topic string, weight double")
+    return F.broadcast(table), calibrate(mass, ratio, share * mass.sum())  # DRIVER_CELLS rows at most
+
+
+def _wanted(cells: DataFrame, margin: str, targets: dict[str, dict[str, float]], total: float) -> DataFrame:
+    """The target mass of every category of a margin."""
+    now = cells.groupBy(margin).agg(F.sum("mass").alias("mass"))
+    if margin in targets:
+        given = cells.sparkSession.createDataFrame(
+            [(k, float(v)) for k, v in targets[margin].items()], f"{margin} string, wanted double")
+        now = now.join(given, margin, "left").select(margin, F.coalesce("wanted", F.lit(0.0)).alias("wanted"))
+    else:
+        now = now.select(margin, F.pow(F.col("mass") / total, F.lit(TEMPER[margin])).alias("wanted"))
+    now = stage(now, "wanted")
+    whole = now.agg(F.sum("wanted")).first()[0]
+    if whole <= 0:
+        raise ValueError(f"no target of {margin} is a category of the corpus")
+    return now.withColumn("wanted", F.col("wanted") / whole * total)
+
+
+def _raked_wide(cells: DataFrame, targets: dict[str, dict[str, float]], share: float, total: float) -> tuple[DataFrame, float]:
+    """What `_raked_here` returns, by aggregations: a round is one sum and one join for each margin."""
+    wanted = {m: stage(_wanted(cells, m, targets, total), "targets") for m in CELL}
+    raked = cells.withColumn("raked", F.col("mass").cast("double"))
+    for _ in range(ROUNDS):
+        worst = 0.0
+        for margin in CELL:
+            factors = stage(raked.groupBy(margin).agg(F.sum("raked").alias("now")).join(wanted[margin], margin).select(
+                margin, F.when(F.col("now") > 0, F.col("wanted") / F.col("now")).otherwise(1.0).alias("factor")), "factors")
+            worst = max(worst, factors.agg(F.max(F.abs(F.col("factor") - 1))).first()[0])
+            raked = stage(raked.join(factors, margin).select(
+                *CELL, "mass", (F.col("raked") * F.col("factor")).alias("raked")), "raked")
+        if worst < TOLERANCE:
+            break
+    table = stage(raked.select(*CELL, "mass", (F.col("raked") / F.col("mass")).alias("weight")), "weights")
+    # From below: cells kept whole only become more, so the scale rises to the wanted one.
+    scale, whole = 0.0, -1
+    while True:
+        full = F.col("weight") * F.lit(scale) >= 1
+        count, kept, rest = table.agg(
+            F.count(F.when(full, 1)), F.coalesce(F.sum(F.when(full, F.col("mass"))), F.lit(0)),
+            F.coalesce(F.sum(F.when(~full, F.col("mass") * F.col("weight"))), F.lit(0.0))).first()
+        if count == whole:
+            break
+        if rest <= 0:
+            scale = np.inf
+            break
+        whole, scale = count, max(scale, (share * total - float(kept)) / rest)
+    return table.drop("mass"), scale
 
 
 def mix(docs: DataFrame, share: float = SHARE, targets: dict[str, dict[str, float]] | None = None,
-        least: float = LEAST_SHARE, seed: int = SEED, prefix: str = "mix_") -> DataFrame:
+        seed: int = SEED, prefix: str = "mix_") -> DataFrame:
     """The documents with tokens, topic, cell, weight, probability and kept beside their columns, each
     under `prefix` and in place of a column of that name.
 
     `targets`: for `source`, `lang` or `topic` the wanted shares by category, made to sum to
-    1 over the categories that occur; a margin without targets is tempered by TEMPER.
+    1 over the categories that occur, of any size; a category left out gets none. A margin
+    without targets is tempered by TEMPER.
     """
     rows = tokens_and_topic(docs.drop(*(prefix + c for c in ("cell", "weight", "probability", "kept"))), prefix)
-    by = rows.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
-                     F.col(f"{prefix}topic").alias("topic"), F.col(f"{prefix}tokens").alias("mass"))
-    # One row per source, language and topic leaves the scan; sources may be many, so pooling is a join.
-    sums = stage(by.groupBy("source", "lang", "topic").agg(F.sum("mass").alias("mass")), "mass")
-    total = float(sums.agg(F.sum("mass")).first()[0] or 0)
-    named = {c: [r["_name"] for r in _named(sums, c, total, least).orderBy("_name").collect()] for c in ("source", "lang")}
-
-    def pooled(column: str):
-        name = F.coalesce(F.col(column).cast("string"), F.lit(NONE))
-        return F.when(name.isin(named[column]), name).otherwise(F.lit(POOLED)) if named[column] else F.lit(POOLED)
-
-    def cell(topic: str):
-        return F.concat_ws("|", pooled("source"), pooled("lang"), F.col(topic).cast("string"))
-
-    cells = sums.groupBy(pooled("source").alias("s"), pooled("lang").alias("l"), F.col("topic").alias("t"), cell("topic").alias("cell")).agg(
-        F.sum("mass").alias("mass")).where("mass > 0").orderBy("cell").collect()
-    weight, scale = {}, 1.0
-    if cells:
-        mass = np.array([c["mass"] for c in cells], float)
-        margins = []
-        for margin, key in (("source", "s"), ("lang", "l"), ("topic", "t")):
-            names, category = np.unique([str(c[key]) for c in cells], return_inverse=True)
-            now = np.bincount(category, weights=mass)
-            if targets and margin in targets:
-                wanted = np.array([float(targets[margin].get(n, 0.0)) for n in names])
-                if wanted.sum() <= 0:
-                    raise ValueError(f"no target of {margin} is a category of the corpus")
-                wanted = wanted / wanted.sum() * mass.sum()
-            else:
-                wanted = _tempered(now, TEMPER[margin])
-            margins.append((category, wanted))
-        ratio = rake(mass, margins) / mass
-        scale = calibrate(mass, ratio, share * mass.sum())
-        weight = {c["cell"]: float(w) for c, w in zip(cells, ratio)}
+    names = {"source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)),
+             "lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)), "topic": F.col(f"{prefix}topic").cast("string")}
+    # One row per source, language and topic leaves the scan.
+    cells = stage(rows.select(*(names[c].alias(c) for c in CELL), F.col(f"{prefix}tokens").alias("mass")).groupBy(*CELL).agg(
+        F.sum("mass").alias("mass")).where("mass > 0"), "mass")
+    count, total = cells.agg(F.count("*"), F.sum("mass")).first()
     name, held, chance, kept = (prefix + c for c in ("cell", "weight", "probability", "kept"))
-    table = docs.sparkSession.createDataFrame(list(weight.items()) or [("", 1.0)], f"{name} string, {held} double")
-    out = rows.withColumn(name, cell(f"{prefix}topic")).join(F.broadcast(table), name, "left")  # bounded: see above
+    out, scale = rows.withColumn(name, F.concat_ws("|", *names.values())), 1.0
+    if count:
+        table, scale = _raked_here(cells, targets or {}, share) if count <= DRIVER_CELLS else _raked_wide(
+            cells, targets or {}, share, float(total))
+        at = {c: free_name(rows, f"_{c}_at") for c in CELL}
+        weight = free_name(out, "_weight_of")
+        table = table.withColumnsRenamed({**at, "weight": weight})
+        out = out.withColumns({at[c]: names[c] for c in CELL}).join(table, list(at.values()), "left").withColumn(held, F.col(weight))
+    else:
+        out = out.withColumn(held, F.lit(1.0))
     uniform = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit(seed)), 11) / F.lit(float(1 << 53))
     finite = float(min(scale, 1e300))
     out = out.select(*rows.columns, name, held)

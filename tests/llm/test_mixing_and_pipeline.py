@@ -69,3 +69,24 @@ def test_stages_one_by_one(spark, make_docs, odd_rows, random_rows, tmp_path):
     assert whole.agg(F.countDistinct("doc_id")).first()[0] > 0
     empty = make_docs([])
     assert all(stages[n](spark, empty, str(tmp_path)).count() == 0 for n in stages)
+
+
+@pytest.mark.parametrize("cells", [50_000, 0])
+def test_rare_sources_have_margins_of_their_own(make_docs, monkeypatch, cells):
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", cells)  # 0: raked by aggregations
+    rows = [(i, "hot words in here " * 300, "en", "hot") for i in range(20)]
+    rows += [(100 + i, "some tail words " * (i % 3 + 2), "en", f"tail{i % 5}") for i in range(15)]
+    docs = make_docs(rows)
+
+    def weighed(got):
+        return brute.shares([{"source": r["source"], "w": r["mix_tokens"] * r["mix_weight"]} for r in got], "source", "w")
+
+    got = mixing.mix(docs).collect()
+    actual = brute.shares([{"source": r["source"], "w": r["mix_tokens"]} for r in got], "source", "w")
+    assert max(v for k, v in actual.items() if k != "hot") < 0.005
+    tempered = {k: v ** mixing.TEMPER["source"] for k, v in actual.items()}
+    assert weighed(got) == pytest.approx({k: v / sum(tempered.values()) for k, v in tempered.items()}, rel=1e-6)
+    assert sum(r["mix_tokens"] * r["mix_probability"] for r in got) == pytest.approx(0.8 * sum(r["mix_tokens"] for r in got))
+    given = {"hot": 0.5, **{f"tail{k}": 0.1 for k in range(5)}}
+    got = mixing.mix(docs, targets={"source": given}).collect()
+    assert weighed(got) == pytest.approx(given, rel=1e-6) and all(r["mix_probability"] > 0 for r in got)
