@@ -36,10 +36,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every group of near duplicates."""
-    found = jaccard.groups(docs)
-    first = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+    """The document with the smallest doc_id (null last) of every group of near duplicates."""
+    first = jaccard.heads(docs).withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
+    kept = docs.join(first, (jaccard.row_mark(docs) == first["_mark"]) & docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])
 
 

@@ -22,8 +22,9 @@
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lowered; a text of
 fewer words than a shingle is one shingle; null texts and texts without words have size 0
-and are linked with nothing; repeated rows are linked to each other; extra columns are
-ignored.
+and are linked with nothing; repeated rows are linked to each other; rows without doc_id take
+part like any other, but name a component (by null) only where no row of it has an id; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,8 +90,18 @@ def set_hashes(shingles: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         return mix(total[cuts[1:]] - total[cuts[:-1]] + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def row_mark(docs: DataFrame):
+    """A hash of doc_id and text: the key of a row, never null; only copies share it."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    rows = ids_and_text(docs)
+    return rows.select("*", row_mark(rows).alias("mark"))
+
+
 def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """kind 0: doc_id, n, cls of a document. kind 1: a recurring shingle (cls) and its count (n) in a window."""
+    """kind 0: doc_id, n, cls, mark of a document. kind 1: a recurring shingle (cls) and its count (n) in a window."""
     def profile(batches):
         held, known, size = [], set(), 0
 
@@ -98,7 +109,7 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
             token, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64),) * 2
             token, count = token[count > 1], count[count > 1]
             zero = np.zeros(len(token), np.int64)
-            return _batch([zero, count.astype(np.int64), token.view(np.int64), zero + 1])
+            return _batch([zero, count.astype(np.int64), token.view(np.int64), zero, zero + 1])
 
         for part, data, offsets in slices(batches):
             shingles, cuts = shingle_sets(data, offsets, words)
@@ -108,18 +119,18 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     known.add(c)
                     held.append(shingles[cuts[i]:cuts[i + 1]])
             size += len(shingles)
-            yield _batch([part.column("doc_id"), np.diff(cuts), cls, np.zeros(len(cls), np.int64)])
+            yield _batch([part.column("doc_id"), np.diff(cuts), cls, part.column("mark"), np.zeros(len(cls), np.int64)])
             if size > COUNT_WINDOW:
                 yield recurring()
                 held, known, size = [], set(), 0
         yield recurring()
 
     def _batch(columns):
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:3]]
-                                          + [pa.array(columns[3], pa.int64()).cast(pa.int32())],
-                                          names=["doc_id", "n", "cls", "kind"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:4]]
+                                          + [pa.array(columns[4], pa.int64()).cast(pa.int32())],
+                                          names=["doc_id", "n", "cls", "mark", "kind"])
 
-    return arrow_map(ids_and_text(docs), profile, "doc_id long, n long, cls long, kind int")
+    return arrow_map(_marked(docs), profile, "doc_id long, n long, cls long, mark long, kind int")
 
 
 class Order:
@@ -276,10 +287,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, order: Order, words: int) -> DataFrame:
-    """cls and ordered keys of the chosen documents (doc_id, cls); repeated rows give repeated sets."""
+    """cls and ordered keys of the chosen documents (mark, cls); repeated rows give repeated sets."""
     # A merge join at every size: the chosen documents grow with the corpus, and the Python steps
     # before and after it run in stages of their own.
-    rows = thinned(ids_and_text(docs), "doc_id", chosen, "doc_id").join(chosen.hint("merge"), "doc_id")
+    rows = thinned(_marked(docs), "mark", chosen, "mark").join(chosen.hint("merge"), "mark")
 
     def build(batches):
         for part, data, offsets in slices(batches):
@@ -307,6 +318,21 @@ def _often_enough(times: str, a: str, b: str):
 
 def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
+    full, empty = _members(docs, words)
+    heads = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    named = full.join(heads, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return named.unionByName(empty.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def heads(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id and mark of one row of each component, by the smallest doc_id (null last), then mark; rows without words all."""
+    full, empty = _members(docs, words)
+    first = full.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("first"))
+    return first.select("first.doc_id", "first.mark").unionByName(empty.select("doc_id", "mark").distinct())
+
+
+def _members(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """Documents with their component (comp), and documents that have no words."""
     profile = stage(profiles(docs, words), "profiles")
     recurring = profile.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= RECURS)
     top = recurring.orderBy(F.desc("n"), "cls").limit(FREQUENT).select("cls", "n").toArrow()
@@ -319,7 +345,7 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
         """Those of the pairs of classes that are links."""
         pairs = stage(pairs, "pairs")
         named = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
-        chosen = stage(per_doc.join(named, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "chosen")
+        chosen = stage(per_doc.join(named, "cls").groupBy("cls").agg(F.min("mark").alias("mark")), "chosen")
         return stage(verified(pairs, stage(_sets(docs, chosen, order, words), "sets")), "links")
 
     def placed(comp: DataFrame) -> DataFrame:
@@ -354,7 +380,4 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     full = per_doc.where("n > 0").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "comp", F.coalesce("comp", "cls"))
-    heads = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = full.join(heads, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = per_doc.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return named.unionByName(empty)
+    return full, per_doc.where("n = 0")

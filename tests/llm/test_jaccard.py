@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from tests.llm import brute
 from gaugebook.llm import components, jaccard
 from gaugebook.llm.text import flat
@@ -50,3 +51,15 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(12)] + [(100, 101), (101, 102), (100, 102), (7, 7)]
     got = {tuple(r) for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {(i, 0) for i in range(13)} | {(i, 100) for i in (100, 101, 102)}
+
+
+def test_rows_without_id_are_linked(spark, make_docs):
+    base = " ".join(f"word{k}" for k in range(60))
+    other = " ".join(f"other{k}" for k in range(60))
+    rows = [(None, base), (None, base + " tail"), (None, other), (5, other + " end"), (None, "quite alone in here"), (6, "so is this one")]
+    got = jaccard.groups(make_docs(rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in got) == [
+        (0, 1, 0), (0, 56, 0), (0, 56, 5), (0, 57, 0), (5, 57, 5), (6, 1, 6)]
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, make_docs(rows), "").collect()]
+    assert (5, other + " end") in kept and (None, other) not in kept
+    assert sum(t.startswith(base) for _, t in kept) == 1 and len(kept) == 4
