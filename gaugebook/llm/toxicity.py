@@ -21,6 +21,7 @@ import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,19 +51,23 @@ LOOKALIKES = {
 }
 
 
+#: Code points up to here are folded by a table, the few above one by one.
+TABLE = 1 << 16
+
+
+@cache
+def _folded(code: int) -> int:
+    if 0xD800 <= code < 0xE000:
+        return 32
+    c = unicodedata.normalize("NFKD", chr(code))[:1].lower()[:1] or " "
+    c = LOOKALIKES.get(c, c)
+    if c.isalpha():
+        return ord(c)
+    return 0 if unicodedata.category(chr(code)) in ("Mn", "Cf") else 32  # combining marks and invisible characters vanish
+
+
 def _fold_table() -> np.ndarray:
-    table = np.full(1 << 16, 32, np.uint32)
-    for code in range(1 << 16):
-        c = chr(code)
-        if 0xD800 <= code < 0xE000:
-            continue
-        c = unicodedata.normalize("NFKD", c)[:1].lower()[:1] or " "
-        c = LOOKALIKES.get(c, c)
-        if c.isalpha():
-            table[code] = ord(c)
-        elif unicodedata.category(chr(code)) in ("Mn", "Cf"):
-            table[code] = 0  # combining marks and invisible characters vanish
-    return table
+    return np.array([_folded.__wrapped__(code) for code in range(TABLE)], np.uint32)
 
 
 _FOLD: list[np.ndarray] = []
@@ -73,7 +78,11 @@ def fold(text: str) -> str:
     if not _FOLD:
         _FOLD.append(_fold_table())
     code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    folded = np.where(code < 1 << 16, _FOLD[0][np.minimum(code, (1 << 16) - 1)], code)
+    folded = _FOLD[0][np.minimum(code, TABLE - 1)]
+    high = np.flatnonzero(code >= TABLE)
+    if len(high):
+        distinct, at = np.unique(code[high], return_inverse=True)
+        folded[high] = np.array([_folded(c) for c in distinct.tolist()], np.uint32)[at]
     return f" {folded[folded > 0].astype('<u4').tobytes().decode('utf-32-le')} "
 
 

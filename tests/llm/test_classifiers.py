@@ -102,3 +102,11 @@ def test_languages_of_odd_rows(make_docs, odd_rows):
     nothing = language.identify(make_docs([(1, "some text", None)])).collect()
     assert [(r["lang_pred"], r["score"]) for r in nothing] == [("und", 0.0)]
     assert language.identify(make_docs([])).count() == 0
+
+
+def test_letters_of_higher_planes_are_folded():
+    bold, script, double, square = (lambda w, at=at: "".join(chr(at + ord(c) - 97) for c in w) for at in (0x1D41A, 0x1D4EA, 0x1D552, 0x1F130))
+    assert [toxicity.fold(f(w)) for f, w in ((bold, "rotten"), (script, "rotten"), (double, "rotten"), (square, "rotten"))] == [" rotten "] * 4
+    assert toxicity.fold("a\U0001f600b\U000e0061c \U00020000") == " a bc \U00020000 "
+    lexicon = toxicity.Lexicon({" rotten ": 2.0})
+    assert lexicon.sums(lexicon.automaton(), toxicity.fold(f"so {bold('Rotten'.lower())} it is"))[0] == 2.0
