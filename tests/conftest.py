@@ -1,5 +1,4 @@
 import sys
-from datetime import datetime, timezone
 from pathlib import Path
 
 import pytest
@@ -10,8 +9,7 @@ from gaugebook import build_session  # noqa: E402
 from gaugebook.plans.ingest import register_sites  # noqa: E402
 from gaugebook.sources.store import Store  # noqa: E402
 from gaugebook.schemas import SITE_FEED  # noqa: E402
-
-AS_OF = datetime(2026, 8, 10, tzinfo=timezone.utc)
+from support import AS_OF, site_uuid  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -31,10 +29,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def site_uuid(n: int) -> str:
-    return f"00000000-0000-4000-8000-{n:012d}"
-
-
 @pytest.fixture
 def store(spark, tmp_path):
     return Store(spark, str(tmp_path / "store"))

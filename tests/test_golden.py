@@ -4,7 +4,7 @@ from collections import Counter
 from decimal import Decimal
 
 import pytest
-from conftest import AS_OF, site_uuid
+from support import AS_OF, site_uuid
 from golden import CASES
 from pyspark.sql import functions as F
 

@@ -4,7 +4,7 @@ from datetime import date, datetime, timedelta, timezone
 from decimal import Decimal
 
 import pytest
-from conftest import AS_OF, site_uuid
+from support import AS_OF, site_uuid
 from pyspark.sql import functions as F
 
 from gaugebook.operators.events import backlog, delivery_state, eligible, next_deliveries

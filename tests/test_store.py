@@ -3,7 +3,7 @@
 from decimal import Decimal
 
 import pytest
-from conftest import AS_OF, site_uuid
+from support import AS_OF, site_uuid
 from pyspark.sql import functions as F
 
 from gaugebook.plans import ingest as plan

@@ -4,7 +4,7 @@ import json
 from pathlib import Path
 
 import pytest
-from conftest import site_uuid
+from support import site_uuid
 
 from gaugebook.plans import ingest as plan
 from gaugebook.plans.reconcile import findings

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
 import pytest
-from conftest import AS_OF, site_uuid
+from support import AS_OF, site_uuid
 from pyspark.sql import functions as F
 from serial_model import history, run
 
