@@ -11,6 +11,7 @@ from gaugebook.llm import (
     fingerprint,
     jaccard,
     language,
+    licenses,
     lines,
     mixing,
     neighbours,
@@ -104,3 +105,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", F.coalesce(F.aggregate(
             "spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]), F.lit(0)).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+@query("op13_license_scan", sql=licenses.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
