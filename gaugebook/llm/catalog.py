@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugebook.llm import (
+    conversations,
     fingerprint,
     jaccard,
     language,
@@ -107,6 +108,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 @query("op13_license_scan", sql=licenses.oracle())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
