@@ -51,7 +51,7 @@ def texts():
     return out
 
 
-EDGES = ["MIT License", "mit\nlicense mit license", "mit licenses", "the-mit-license!", "MİT License", "the apache licenKse apache", "ccby cc by",
+EDGES = ["MIT License", "mit\nlicense mit license", "mit licenses", "the-mit-license!", "MİT License", "the apache licenKse apache", "released under K worK is", "ccby cc by",
          "GNU general PUBLIC\tlicense", " ".join(["w"] * (CELL - 1)) + " mit license", " ".join(["w"] * (2 * CELL - 1)) + " mit license",
          " ".join(["w"] * (3 * CELL)) + " apache license", "cc by " * 200, "É" + "x" * 50 + " cc by É"]
 
