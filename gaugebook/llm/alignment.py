@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -40,12 +41,12 @@ from pyspark.sql import functions as F
 from gaugebook.llm.text import arrow_map, gather, ids_and_text, slices
 from gaugebook.session import stage
 
-#: Pairs whose counts every task holds: 12 bytes each.
+#: Pairs whose counts every task holds: 16 bytes each.
 FREQUENT = 1 << 20
 #: Units a worker remembers before it starts afresh.
-CACHE_UNITS = 1_000_000
-#: Pair counts a task holds before it hands them on.
-HELD_PAIRS = 1 << 20
+CACHE_UNITS = 800_000
+#: Units of at most SHORT characters are divided JOINED at a time.
+SHORT, JOINED = 64, 4096
 #: Ids of B are below 2^B_BITS: a pair is one number.
 B_BITS = 24
 #: Code points that A's splitting pattern takes as white space.
@@ -89,6 +90,42 @@ def cuts(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return found
 
 
+def all_cuts(a: np.ndarray, b: np.ndarray, upto_a: np.ndarray, upto_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`cuts` of many texts at once: `a` and `b` are the ends of all tokens in one byte count,
+    `upto_a` and `upto_b` the number of tokens up to the end of each text.
+
+    All intervals of one depth are searched together, at one more step from their middles a
+    round, and those without a cut are closed.
+    """
+    i, j = np.concatenate([[0], upto_a[:-1]]), upto_a
+    k, n = np.concatenate([[0], upto_b[:-1]]), upto_b
+    leaves = []
+    while len(i):
+        middle = (i + j - 1) // 2
+        at = np.full(len(i), -1)
+        place = np.full(len(i), -1)
+        open_ = np.flatnonzero((j - i > 1) & (n - k > 1))
+        step = 0
+        while len(open_):
+            for side in (middle[open_] - step, middle[open_] + step) if step else (middle[open_],):
+                inside = (side >= i[open_]) & (side < j[open_] - 1) & (at[open_] < 0)
+                probe = open_[inside]
+                end = a[side[inside]]
+                spot = np.searchsorted(b, end)
+                hit = (spot < n[probe] - 1) & (b[spot] == end)
+                at[probe[hit]] = side[inside][hit]
+                place[probe[hit]] = spot[hit]
+            step += 1
+            open_ = open_[(at[open_] < 0) & ((middle[open_] - step >= i[open_]) | (middle[open_] + step < j[open_] - 1))]
+        leaf = at < 0
+        leaves.append(np.stack([j[leaf], n[leaf]]))
+        at, place = at[~leaf] + 1, place[~leaf] + 1
+        i, j = np.concatenate([i[~leaf], at]), np.concatenate([at, j[~leaf]])
+        k, n = np.concatenate([k[~leaf], place]), np.concatenate([place, n[~leaf]])
+    ends = np.concatenate(leaves, axis=1)
+    return tuple(ends[:, np.argsort(ends[0])])
+
+
 def default_vocabularies() -> tuple[str, str]:
     import public_tokenizers
 
@@ -122,69 +159,134 @@ class Aligner:
         self.unit = re.compile(f"\n(?![{WHITE}])|[{WHITE}]*[^{WHITE}]+{more}|[{WHITE}]+")
         self._forget()
 
+        self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.flat_a, self.flat_b = _Pieces(self.bytes_a), _Pieces(self.bytes_b)
+        # Decimal ids with what may follow them in the digest.
+        most = max(len(self.bytes_a), len(self.bytes_b))
+        self.shown = _Pieces([b"%d%c" % (i, sign) for sign in b",|;" for i in range(most)])
+        self.most = most
+        self.plain = re.compile(f" [^{WHITE}]+")
+        self._forget()
+
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.text: list[str] = []  # a1,a2|b1;...
+        self.text: list[bytes] = []  # a1,a2|b1;...
         self.sizes = np.empty((0, 4), np.int64)  # tokens of A, of B, groups, links
         self.good = np.empty(0, bool)
         self.pair_start = np.zeros(1, np.int64)
-        self.pairs = np.empty(0, np.int64)  # (a << B_BITS) + b, distinct in a unit
+        self.pair = np.empty(0, np.int64)  # numbers of the distinct pairs of each unit
         self.times = np.empty(0, np.int64)
+        self.pair_number: dict[int, int] = {}
+        self.pairs = np.empty(0, np.int64)  # (a << B_BITS) + b of each number
         self.generation = getattr(self, "generation", -1) + 1
 
     def units(self, text: str) -> list[str]:
         return self.unit.findall(" " + text) if self.divisible else [" " + text]
 
+    def _add(self, units, text, sizes, good, counts, pairs, times) -> None:
+        self.number.update(zip(units, range(len(self.text), len(self.text) + len(units))))
+        self.text.extend(text)
+        distinct, back = np.unique(np.asarray(pairs, np.int64), return_inverse=True)
+        fresh = [p for p in distinct.tolist() if p not in self.pair_number]
+        self.pair_number.update(zip(fresh, range(len(self.pairs), len(self.pairs) + len(fresh))))
+        self.pairs = np.concatenate([self.pairs, np.array(fresh, np.int64)])
+        numbers = np.array([self.pair_number[p] for p in distinct.tolist()], np.int64)
+        self.pair = np.concatenate([self.pair, numbers[back] if len(distinct) else back])
+        self.sizes = np.concatenate([self.sizes, np.asarray(sizes, np.int64).reshape(-1, 4)])
+        self.good = np.concatenate([self.good, np.asarray(good, bool)])
+        self.pair_start = np.concatenate([self.pair_start, self.pair_start[-1] + np.cumsum(counts, dtype=np.int64)])
+        self.times = np.concatenate([self.times, np.asarray(times, np.int64)])
+
     def _learn(self, new: list[str]) -> None:
+        whole = [u for u in new if self.divisible and len(u) <= SHORT and self.plain.fullmatch(u)]
+        others = set(new).difference(whole)
+        for start in range(0, len(whole), JOINED):
+            part = whole[start:start + JOINED]
+            if not self._learn_joined(part):
+                others.update(part)
+        if others:
+            self._learn_each([u for u in new if u in others])
+
+    def _learn_joined(self, units: list[str]) -> bool:
+        """Short words with a space ahead, encoded as one text and divided by arrays, all units at once."""
+        text = "".join(units)
+        ia = np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        ib = np.array(self.b.encode(text[1:]), np.int64)
+        raw = text.encode()
+        if self.flat_a.joined(ia) != raw or self.flat_b.joined(ib) != raw:
+            return False
+        ends = np.cumsum([len(u.encode()) for u in units])
+        ea, eb = np.cumsum(self.length_a[ia]), np.cumsum(self.length_b[ib])
+        upto_a, upto_b = (np.searchsorted(e, ends, side="right") for e in (ea, eb))
+        if (ea[upto_a - 1] != ends).any() or (eb[upto_b - 1] != ends).any():
+            return False
+        unit_a, unit_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
+        to_a, to_b = all_cuts(ea, eb, upto_a, upto_b)
+        group_a, group_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        unit_of = np.searchsorted(upto_a, to_a)  # of each group
+        n_groups = np.bincount(unit_of, minlength=len(units))
+        n_links = np.bincount(unit_of, group_a * group_b, len(units)).astype(np.int64)
+        # The tokens in the order of the digest: those of A, then those of B, group by group.
+        place_a = np.arange(len(ia)) + np.repeat(to_b - group_b, group_a)
+        place_b = np.arange(len(ib)) + np.repeat(to_a, group_b)
+        order = np.empty(len(ia) + len(ib), np.int64)
+        order[place_a], order[place_b] = ia, ib
+        order[place_a[to_a - 1]] += self.most
+        order[place_b[to_b - 1]] += 2 * self.most
+        shown = self.shown.joined(order)
+        at = np.cumsum(self.shown.length[order])[place_b[upto_b - 1]].tolist()
+        text_of = [shown[x:y - 1] for x, y in zip([0, *at], at)]
+        # Links: each token of A with all of B's in its group.
+        span = np.repeat(group_b, group_a)
+        left = np.repeat(ia, span)
+        right = ib[gather(np.repeat(to_b - group_b, group_a), span)]
+        unit = np.repeat(np.repeat(np.arange(len(units)), unit_a), span)
+        link = (left << B_BITS) + right
+        links = np.lexsort((link, unit))
+        link, unit = link[links], unit[links]
+        first = np.flatnonzero(np.concatenate([[True], (link[1:] != link[:-1]) | (unit[1:] != unit[:-1])]))
+        times = np.diff(np.append(first, len(link)))
+        self._add(units, text_of, np.stack([unit_a, unit_b, n_groups, n_links], 1), np.ones(len(units), bool),
+                  np.bincount(unit[first], minlength=len(units)), link[first], times)
+        return True
+
+    def _learn_each(self, new: list[str]) -> None:
         ids_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
         # B puts a space ahead of what it gets, if that is anything; behind a line feed, which is a token by itself, nothing is put.
         led = [u[0] == " " and len(u) > 1 for u in new]
         ids_b = self.b.encode([u[1:] if s else "\n" + u for u, s in zip(new, led)], num_threads=1)
-        sizes, good, pairs, times, counts = [], [], [], [], []
+        text, sizes, good, pairs, times, counts = [], [], [], [], [], []
         bytes_a, bytes_b = self.bytes_a, self.bytes_b
         for unit, ia, ib, s in zip(new, ids_a, ids_b, led):
             if not s:
                 ib = ib[2:]
-            self.number[unit] = len(self.text)
             parts_a, parts_b = [bytes_a[i] for i in ia], [bytes_b[i] for i in ib]
             raw = unit.encode()
             if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
                 good.append(False)
-                self.text.append("")
+                text.append(b"")
                 sizes.append((0, 0, 0, 0))
                 counts.append(0)
                 continue
             good.append(True)
-            if len(ia) == 1 or len(ib) == 1:
-                groups = [(len(ia), len(ib))]
-            else:
-                groups = cuts(_ends(parts_a), _ends(parts_b))
             held: dict[int, int] = {}
             shown, i, k, links = [], 0, 0, 0
+            groups = cuts(_ends(parts_a), _ends(parts_b))
             for j, n in groups:
                 ga, gb = ia[i:j], ib[k:n]
                 i, k = j, n
                 shown.append(f"{','.join(map(str, ga))}|{','.join(map(str, gb))}")
                 links += len(ga) * len(gb)
-                if len(ga) * len(gb) > 64:  # long groups repeat ids: count each id once
-                    ga, gb = _counted(ga), _counted(gb)
-                    for x, p in ga.items():
-                        for y, q in gb.items():
-                            held[(x << B_BITS) + y] = held.get((x << B_BITS) + y, 0) + p * q
-                    continue
-                for x in ga:
-                    for y in gb:
-                        held[(x << B_BITS) + y] = held.get((x << B_BITS) + y, 0) + 1
-            self.text.append(";".join(shown))
+                ga, gb = Counter(ga), Counter(gb)  # long groups repeat ids
+                for x, p in ga.items():
+                    for y, q in gb.items():
+                        held[(x << B_BITS) + y] = held.get((x << B_BITS) + y, 0) + p * q
+            text.append(";".join(shown).encode())
             sizes.append((len(ia), len(ib), len(groups), links))
             pairs.extend(held)
             times.extend(held.values())
             counts.append(len(held))
-        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64).reshape(-1, 4)])
-        self.good = np.concatenate([self.good, np.array(good, bool)])
-        self.pair_start = np.concatenate([self.pair_start, self.pair_start[-1] + np.cumsum(counts, dtype=np.int64)])
-        self.pairs = np.concatenate([self.pairs, np.array(pairs, np.int64)])
-        self.times = np.concatenate([self.times, np.array(times, np.int64)])
+        self._add(new, text, sizes, good, counts, pairs, times)
 
     def rows(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
         """For each text the numbers of its units in order (none where it has no tokens), and which have any."""
@@ -217,11 +319,16 @@ def _ends(parts: list[bytes]) -> list[int]:
     return out
 
 
-def _counted(ids: list[int]) -> dict[int, int]:
-    out: dict[int, int] = {}
-    for i in ids:
-        out[i] = out.get(i, 0) + 1
-    return out
+class _Pieces:
+    """Byte strings by number, joined by index arithmetic."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.length = np.array([len(p) for p in pieces], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def joined(self, numbers: np.ndarray) -> bytes:
+        return self.data[gather(self.start[numbers], self.length[numbers])].tobytes()
 
 
 @lru_cache(maxsize=1)
@@ -242,37 +349,27 @@ def pair_counts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         known = aligner(*paths)
-        held, times = np.empty(0, np.int64), np.empty(0, np.int64)
-        parts = []
+        sums, generation = np.zeros(0, np.int64), known.generation
+        pairs = known.pairs
 
-        def folded():
-            keys, at = np.unique(np.concatenate([held, *[p for p, _ in parts]]), return_inverse=True)
-            sums = np.bincount(at, np.concatenate([times, *[n for _, n in parts]]), len(keys)).astype(np.int64)
-            return keys, sums
+        def told():
+            held = np.flatnonzero(sums)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[held]), pa.array(sums[held])], names=["pair", "n"])
 
-        size = 0
         for rows, _, _ in slices(batches):
             out, _ = known.rows(rows.column("text").to_pylist())
+            if generation != known.generation:  # pairs are numbered anew
+                yield told()
+                sums, generation = sums[:0], known.generation
+            pairs, n = known.pairs, max(len(known.pairs), 1)
             doc, unit, _ = _document_units(out, max(len(known.text), 1))
-            if not len(doc):
-                continue
             lengths = known.pair_start[unit + 1] - known.pair_start[unit]
-            pair = known.pairs[gather(known.pair_start[unit], lengths)]
-            row = np.repeat(doc, lengths)
-            order = np.lexsort((pair, row))
-            pair, row = pair[order], row[order]
-            new = np.ones(len(pair), bool)
-            new[1:] = (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])
-            parts.append(np.unique(pair[new], return_counts=True))
-            size += len(parts[-1][0])
-            if size > HELD_PAIRS:
-                held, times = folded()
-                parts, size = [], 0
-                if len(held) > HELD_PAIRS:
-                    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(times)], names=["pair", "n"])
-                    held, times = held[:0], times[:0]
-        held, times = folded()
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(times)], names=["pair", "n"])
+            key = np.sort(np.repeat(doc * n, lengths) + known.pair[gather(known.pair_start[unit], lengths)])
+            key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+            met = np.bincount(key % n, minlength=len(pairs))
+            met[:len(sums)] += sums
+            sums = met
+        yield told()
 
     return arrow_map(ids_and_text(docs), count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
@@ -297,50 +394,49 @@ def align(docs: DataFrame, paths: tuple[str, str] | None = None, frequent: int =
     order = np.argsort(top.column("pair").to_numpy())
     pairs = top.column("pair").to_numpy()[order]
     # The sign tells a best count.
-    value = (top.column("n").to_numpy() * np.where(top.column("best").to_numpy() == 1, -1, 1))[order]
-    if len(pairs) and np.abs(value).max() < 1 << 31:
-        value = value.astype(np.int32)
+    counts_of = (top.column("n").to_numpy() * np.where(top.column("best").to_numpy() == 1, -1, 1))[order]
 
     def digest(batches) -> Iterator[pa.RecordBatch]:
         known = aligner(*paths)
-        sums = np.zeros((0, 2), np.int64)  # per unit: links with a best count, sum of counts
         generation, n = known.generation, 0
-        rare = np.zeros(0, bool)
+        value, sums, rare = np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros(0, bool)
+
+        def more() -> None:
+            """Counts of pairs (0: not among the frequent), and sums of units, that this task has not met."""
+            nonlocal value, sums, rare
+            asked = known.pairs[len(value):]
+            place = np.minimum(np.searchsorted(pairs, asked), max(len(pairs) - 1, 0))
+            got = np.where(pairs[place] == asked, counts_of[place], 0) if len(pairs) else np.zeros(len(asked), np.int64)
+            value = np.concatenate([value, got.astype(np.int64)])
+            since, units = len(sums), len(known.text)
+            first = known.pair_start[since]
+            number, times = known.pair[first:], known.times[first:]
+            unit = np.repeat(np.arange(units - since), np.diff(known.pair_start[since:]))
+            count = value[number]
+            added = [np.bincount(unit, w, units - since).astype(np.int64) for w in (times * (count < 0), times * np.abs(count))]
+            sums = np.concatenate([sums, np.stack(added, 1)])
+            rare = np.concatenate([rare, np.bincount(unit, count == 0, units - since) > 0])
+
         for rows, _, _ in slices(batches):
-            texts = rows.column("text").to_pylist()
-            out, full = known.rows(texts)
+            out, full = known.rows(rows.column("text").to_pylist())
             if generation != known.generation:
-                generation, sums, rare = known.generation, sums[:0], rare[:0]
-            if len(sums) < len(known.text):  # units that this task has not met
-                since = len(sums)
-                first, last = known.pair_start[since], known.pair_start[-1]
-                pair, times = known.pairs[first:last], known.times[first:last]
-                unit = np.repeat(np.arange(len(known.text) - since), np.diff(known.pair_start[since:]))
-                place = np.minimum(np.searchsorted(pairs, pair), max(len(pairs) - 1, 0))
-                hit = pairs[place] == pair if len(pairs) else np.zeros(len(pair), bool)
-                count = np.where(hit, value[place], 0).astype(np.int64) if len(pairs) else np.zeros(len(pair), np.int64)
-                added = np.zeros((len(known.text) - since, 2), np.int64)
-                np.add.at(added[:, 0], unit, np.where(count < 0, times, 0))
-                np.add.at(added[:, 1], unit, np.abs(count) * times)
-                missed = np.zeros(len(added), bool)
-                missed[unit[~hit]] = True
-                sums, rare = np.concatenate([sums, added]), np.concatenate([rare, missed])
-            totals = np.array([np.concatenate([known.sizes[o].sum(0), sums[o].sum(0)]) for o in out]).reshape(len(out), 6)
+                generation, value, sums, rare = known.generation, value[:0], sums[:0], rare[:0]
+            if len(sums) < len(known.text):
+                more()
+            totals = np.zeros((len(out), 6), np.int64)
+            if full.any():
+                flat = np.concatenate(out)
+                starts = np.cumsum([0, *[len(o) for o in out]])[:-1][full]
+                totals[full] = np.add.reduceat(np.concatenate([known.sizes[flat], sums[flat]], 1), starts)
             shown = known.text
-            shas = [hashlib.sha256(";".join([shown[u] for u in o.tolist()]).encode()).hexdigest() if len(o) else "" for o in out]
+            shas = [hashlib.sha256(b";".join([shown[u] for u in o.tolist()])).hexdigest() if len(o) else "" for o in out]
             left = []
             for o in out:
                 o = o[rare[o]]
-                if not len(o):
-                    left.append([])
-                    continue
-                lengths = known.pair_start[o + 1] - known.pair_start[o]
-                at = gather(known.pair_start[o], lengths)
-                pair, times = known.pairs[at], known.times[at]
-                place = np.minimum(np.searchsorted(pairs, pair), max(len(pairs) - 1, 0))
-                out_of = pairs[place] != pair if len(pairs) else np.ones(len(pair), bool)
-                keys, back = np.unique(pair[out_of], return_inverse=True)
-                times = np.bincount(back, times[out_of], len(keys)).astype(np.int64)
+                at = gather(known.pair_start[o], known.pair_start[o + 1] - known.pair_start[o])
+                at = at[value[known.pair[at]] == 0]
+                keys, back = np.unique(known.pairs[known.pair[at]], return_inverse=True)
+                times = np.bincount(back, known.times[at], len(keys)).astype(np.int64)
                 left.append([{"pair": p, "times": t} for p, t in zip(keys.tolist(), times.tolist())])
             row = (TaskContext.get().partitionId() << 33) + n + np.arange(len(out))
             n += len(out)

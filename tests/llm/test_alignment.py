@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from gaugebook.llm import alignment
@@ -63,6 +64,22 @@ def test_cuts_are_the_shared_ends():
         assert alignment.cuts(a, b) == [(a.index(c) + 1, b.index(c) + 1) for c in shared]
 
 
+def test_all_cuts_are_the_cuts_of_each():
+    rng = np.random.default_rng(3)
+    a, b, upto_a, upto_b, expected, start = [], [], [], [], [], 0
+    for _ in range(300):
+        n = int(rng.integers(1, 25))
+        ends = [sorted({*rng.integers(1, n + 1, rng.integers(0, n + 1)).tolist(), n}) for _ in range(2)]
+        expected += [(len(a) + x, len(b) + y) for x, y in alignment.cuts(*ends)]
+        a += [start + e for e in ends[0]]
+        b += [start + e for e in ends[1]]
+        start += n
+        upto_a.append(len(a))
+        upto_b.append(len(b))
+    got = alignment.all_cuts(*(np.array(x) for x in (a, b, upto_a, upto_b)))
+    assert list(zip(*(g.tolist() for g in got))) == expected
+
+
 def test_units_are_encoded_as_in_the_text(known, random_rows):
     """Tokens of units, joined, are the tokens of the text, whatever its white space."""
     rng = random.Random(2)
@@ -72,7 +89,7 @@ def test_units_are_encoded_as_in_the_text(known, random_rows):
     for text in texts:
         groups = whole(known, text)
         (units,), _ = known.rows([text])
-        got = ";".join(known.text[u] for u in units)
+        got = b";".join(known.text[u] for u in units).decode()
         assert got == ";".join(f"{','.join(map(str, ga))}|{','.join(map(str, gb))}" for ga, gb in groups or []), repr(text)
 
 
