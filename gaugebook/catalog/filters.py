@@ -12,6 +12,8 @@ from gaugebook.catalog.feeds import (
     event_sites,
     events_current,
     events_store,
+    new_events_store,
+    once,
     lineitem_arrivals,
     site_uuid,
     table,
@@ -32,6 +34,7 @@ from gaugebook.functions.identity import arrival_ord
 from gaugebook.operators.dedup import resolve
 from gaugebook.operators.events import delivery_state, eligible
 from gaugebook.operators.validate import check_current, check_legacy, check_sites
+from gaugebook.plans.ingest import log_delivery_attempts, requeue
 from gaugebook.plans.reconcile import quality_report
 from gaugebook.plans.reports import page_rows, recent_mass, site_view
 from gaugebook.session import stage
@@ -262,23 +265,46 @@ def attempts_of(events):
     return failures.unionByName(successes).unionByName(claims)
 
 
+# A requeue puts back what failed ten times and more; a claim it finds no longer holds.
 EVENT_IDS = E_BATCHES + """,
 i AS (SELECT seq * 2 AS id, 'measurements.ingested' AS event_type FROM t
       UNION ALL SELECT seq * 2 + 1, 'site.limit_exceeded' FROM t
       WHERE total > lim AND total - kg <= lim),
-st AS (SELECT id, event_type, id % 12 AS attempts, id % 3 = 0 AS published, id % 5 = 0 AS held FROM i)"""
+st AS (SELECT id, event_type, id % 12 AS failures, id % 3 = 0 AS published,
+         CASE WHEN id % 12 >= 10 AND id % 7 = 0 THEN 0 ELSE id % 12 END AS attempts,
+         id % 5 = 0 AND NOT (id % 12 >= 10 AND id % 7 = 0) AS held FROM i)"""
+
+
+def delivery_store(spark, sf_dir):
+    """Feed E with reported deliveries in two commits, and a requeue after them."""
+
+    def build():
+        store = new_events_store(spark, sf_dir)
+        log = attempts_of(store.read("events_out"))
+        log_delivery_attempts(store, log.filter("ok IS NOT NULL"), as_of=AS_OF)
+        log_delivery_attempts(store, log.filter("ok IS NULL"), as_of=AS_OF)
+        requeue(store, store.read("events_out").filter("id % 12 >= 10 AND id % 7 = 0"), as_of=AS_OF)
+        return store
+
+    return once(spark, sf_dir, "delivery_store", build)
 
 
 def events_state(spark, sf_dir):
-    events = events_store(spark, sf_dir).read("events_out")
-    return delivery_state(events, attempts_of(events))
+    """Every event ever, from the whole log."""
+    store = delivery_store(spark, sf_dir)
+    return delivery_state(store.read("events_out").drop("epoch"), store.read("delivery_attempts"))
+
+
+def pending_events(spark, sf_dir):
+    """Undelivered events, from the table that commits keep of them."""
+    return delivery_store(spark, sf_dir).pending()
 
 
 @query("flt_11_eligible_events", f"""
 WITH {EVENT_IDS}
 SELECT id, event_type, attempts FROM st WHERE NOT published AND attempts < 10 AND NOT held""")
 def eligible_events(spark, sf_dir):
-    return eligible(events_state(spark, sf_dir), F.lit(AS_OF)).select(
+    return eligible(pending_events(spark, sf_dir), F.lit(AS_OF)).select(
         "id", "event_type", F.col("attempts").cast("bigint").alias("attempts")
     )
 

@@ -18,7 +18,7 @@ from gaugebook.catalog.feeds import (
     site_uuid,
     table,
 )
-from gaugebook.catalog.filters import EVENT_IDS, events_state
+from gaugebook.catalog.filters import EVENT_IDS, pending_events
 from gaugebook.catalog.registry import (
     E_BATCHES,
     E_READINGS,
@@ -195,7 +195,7 @@ WITH {EVENT_IDS}
 SELECT id, event_type FROM st WHERE NOT published AND attempts < 10 AND NOT held
 ORDER BY id LIMIT 50""")
 def deliveries(spark, sf_dir):
-    return next_deliveries(events_state(spark, sf_dir), F.lit(AS_OF)).select("id", "event_type")
+    return next_deliveries(pending_events(spark, sf_dir), F.lit(AS_OF)).select("id", "event_type")
 
 
 @query("ord_4_latest_batches", f"""

@@ -54,29 +54,61 @@ def emitted_events(batches: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def delivery_state(events: DataFrame, attempts: DataFrame) -> DataFrame:
-    """STR-7: fold the attempt log into published_at / attempts / last_error / claimed_at.
+def folded_attempts(attempts: DataFrame) -> DataFrame:
+    """The attempt log by event: published_at, claimed_at, failures, last_error, requeued.
 
-    An attempt that has not reported yet has `ok` NULL and only stamps the claim.
+    An attempt that has not reported yet has `ok` NULL and only stamps the claim. What was
+    put back (`requeued`) starts afresh: earlier failures and claims no longer count. The
+    order is that of the commits, and of time inside a commit.
     """
-    failed = F.col("ok") == F.lit(False)
-    folded = attempts.groupBy(F.col("event_id").alias("id")).agg(
+    if "requeued" not in attempts.columns:
+        attempts = attempts.withColumn("requeued", F.lit(None).cast("boolean"))
+    commit = F.col("epoch") if "epoch" in attempts.columns else F.lit(0).cast("long")
+    log = attempts.select(F.col("event_id").alias("id"), F.struct(commit.alias("commit"), "attempted_at").alias("at"),
+                          "attempted_at", "ok", "error", F.coalesce("requeued", F.lit(False)).alias("requeued"))
+    back = log.filter("requeued").groupBy("id").agg(F.max("at").alias("back"))
+    log = log.join(back, "id", "left")
+    counts = ~F.col("requeued") & (F.col("back").isNull() | (F.col("at") > F.col("back")))
+    failed = counts & (F.col("ok") == F.lit(False))
+    return log.groupBy("id").agg(
         F.min(F.when(F.col("ok"), F.col("attempted_at"))).alias("published_at"),
-        F.max("attempted_at").alias("claimed_at"),
+        F.max(F.when(counts, F.col("attempted_at"))).alias("claimed_at"),
         F.count_if(failed).cast("int").alias("attempts"),
-        F.max_by(
-            F.substring("error", 1, LAST_ERROR_CHARS), F.when(failed, F.col("attempted_at"))
-        ).alias("last_error"),
+        F.max_by(F.substring("error", 1, LAST_ERROR_CHARS), F.when(F.col("ok") == F.lit(False), F.col("at"))).alias("last_error"),
+        F.max("requeued").alias("requeued"),
     )
+
+
+def delivery_state(events: DataFrame, attempts: DataFrame) -> DataFrame:
+    """STR-7: published_at / claimed_at / attempts / last_error of every event, from the whole log."""
     return (
-        events.join(folded, "id", "left")
+        events.join(folded_attempts(attempts).drop("requeued"), "id", "left")
         .withColumn("attempts", F.coalesce("attempts", F.lit(0)))
         .select(*events.columns, "published_at", "claimed_at", "attempts", "last_error")
     )
 
 
+def newly_pending(events: DataFrame) -> DataFrame:
+    """Events as they enter the pending table."""
+    none = lambda kind: F.lit(None).cast(kind)
+    return events.withColumns({"claimed_at": none("timestamp"), "attempts": F.lit(0), "last_error": none("string")})
+
+
+def advance_pending(pending: DataFrame, attempts: DataFrame) -> DataFrame:
+    """The pending events after new attempts: delivered ones go, failures add up."""
+    new = folded_attempts(attempts).select("id", *[
+        F.col(c).alias(f"n_{c}") for c in ("published_at", "claimed_at", "attempts", "last_error", "requeued")])
+    kept = F.coalesce(~F.col("n_requeued"), F.lit(True))
+    return pending.join(new, "id", "left").filter("n_published_at IS NULL").withColumns({
+        "claimed_at": F.greatest(F.when(kept, F.col("claimed_at")), F.col("n_claimed_at")),
+        "attempts": (F.when(kept, F.col("attempts")).otherwise(0) + F.coalesce("n_attempts", F.lit(0))).cast("int"),
+        "last_error": F.coalesce("n_last_error", "last_error"),
+    }).select(*pending.columns)
+
+
 def eligible(state: DataFrame, as_of: Column) -> DataFrame:
-    """FLT-11: not delivered, not set aside, not held by a live claim."""
+    """FLT-11: not delivered, not set aside, not held by a live claim. `state` may hold all
+    events or the pending ones only."""
     lapsed = F.col("claimed_at") < as_of - F.expr(f"INTERVAL {DELIVERY_LEASE_SECONDS} SECONDS")
     return state.filter(
         F.col("published_at").isNull()

@@ -25,7 +25,7 @@ from gaugebook.functions.identity import IDENTIFIED_KEY, INSTANT_KEY, arrival_or
 from gaugebook.functions.values import derived_uuid, month_of
 from gaugebook.operators.claims import decide_claims, redelivered
 from gaugebook.operators.dedup import ACCEPT, resolve, stored_scheme
-from gaugebook.operators.events import emitted_events
+from gaugebook.operators.events import advance_pending, emitted_events, newly_pending
 from gaugebook.operators.totals import (
     advance_summary,
     batch_deltas,
@@ -33,9 +33,10 @@ from gaugebook.operators.totals import (
     totals_after,
 )
 from gaugebook.operators.validate import check_current, check_legacy, check_sites
-from gaugebook.schemas import VALIDATION_ERROR
+from gaugebook.plans.reconcile import recomputed
+from gaugebook.schemas import ATTEMPT_LOG, VALIDATION_ERROR
 from gaugebook.session import dropping_stages, stage
-from gaugebook.sources.store import CommitConflict, Head, Store, Written
+from gaugebook.sources.store import CommitConflict, Head, Keys, Store, Written
 
 
 @dataclass
@@ -74,15 +75,23 @@ def exploded_readings(claims: DataFrame) -> DataFrame:
     )
 
 
-def claim_epoch(checked: DataFrame, sites: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """Claims of an epoch, staged: both the readings and the results read them.
+def claim_epoch(
+    checked: DataFrame,
+    sites: DataFrame,
+    ledger: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Claims of an epoch, staged: both the readings and the results read them. `ledger` may
+    be a function that gives the part of the ledger that can hold the keys of the arrivals.
 
     The validated feed is staged too, numbered by row, because claiming reads it several
     times (for copies of an arrival, for the first arrival of each key) and parsing is the
     expensive part.
     """
     site_ids = sites.select(F.col("id").alias("site_id"))
-    return stage(decide_claims(redelivered(checked), site_ids, ledger), "claims")
+    numbered = redelivered(checked)
+    if callable(ledger):
+        ledger = ledger(numbered)
+    return stage(decide_claims(numbered, site_ids, ledger), "claims")
 
 
 def decide_epoch(
@@ -125,8 +134,9 @@ def _stored_state(
         )
     if "reading_identities" in head.tables:
         named = readings.filter("reading_id IS NOT NULL").select(*IDENTIFIED_KEY).distinct()
+        keys = store.keys(named, "reading_identities", head)
         ids = (
-            store.read("reading_identities", head)
+            store.read("reading_identities", head, keys)
             .join(named, IDENTIFIED_KEY, "left_semi")
             .select(*IDENTIFIED_KEY, F.col("ch4_kg").alias("s_kg"))
         )
@@ -242,30 +252,38 @@ def _apply(
 ) -> int:
     now = F.lit(as_of)
     sites = store.read("sites", head)
-    ledger = (
-        store.read("batch_ledger", head).select("site_id", "idempotency_key", "request_hash")
-        if "batch_ledger" in head.tables
-        else None
-    )
-    claims = claim_epoch(checked_arrivals(current, legacy), sites, ledger)
+
+    def ledger_of(arrivals: DataFrame) -> DataFrame:
+        keys = store.keys(arrivals.filter(F.size("details") == 0), "batch_ledger", head)
+        return store.read("batch_ledger", head, keys).select("site_id", "idempotency_key", "request_hash")
+
+    claims = claim_epoch(
+        checked_arrivals(current, legacy), sites, ledger_of if "batch_ledger" in head.tables else None)
     stored_instants, stored_ids = _stored_state(store, head, claims)
-    opening = store.summary(head)
+    # Sites of the epoch; the snapshot is read and written in their buckets only.
+    touched = store.keys(claims.filter("owns"), "site_summary", head)
+    opening = store.summary(head, touched)
     epoch = decide_epoch(claims, sites, stored_instants, stored_ids, opening)
 
     number = head.epoch + 1
     identities = epoch.verdicts.filter(
         (F.col("verdict") == ACCEPT) & F.col("reading_id").isNotNull()
     ).select(*IDENTIFIED_KEY, F.col("reading_ts").alias("first_ts"), "ch4_kg", "batch_id")
+    events = emitted_events(epoch.batches, now)
+    # The snapshot's buckets are those it was read in, without the folders' ranges: a site of
+    # the same bucket outside the range of the epoch's sites is carried over too.
+    previous = store.summary(head, Keys(touched.buckets)).drop("epoch")
     tables = {
         "measurements": measurement_rows(epoch.verdicts, now),
         "reading_identities": identities,
         "batch_ledger": ledger_rows(epoch.batches, now),
-        "site_summary": advance_summary(opening.drop("epoch"), site_deltas(epoch.batches), now),
-        "events_out": emitted_events(epoch.batches, now),
+        "site_summary": advance_summary(previous, site_deltas(epoch.batches), now),
+        "events_out": events,
+        "events_pending": newly_pending(events),
         "ingest_results": result_rows(claims),
         "rejects": reject_rows(claims),
     }
-    wrote = _write_all(store, tables, number)
+    wrote = _write_all(store, head, tables, number, {"site_summary": touched.buckets})
     return store.commit(head, wrote, as_of, stream)
 
 
@@ -304,29 +322,68 @@ def register_sites(
             rejects = reject(checked.filter(F.size("details") > 0), F.col("details")).unionByName(
                 reject(valid.filter("nth > 1 OR known"), taken))
             tables = {"sites": fresh.withColumn("created_at", F.lit(as_of)), "rejects": rejects}
-            wrote = _write_all(store, tables, head.epoch + 1)
+            wrote = _write_all(store, head, tables, head.epoch + 1)
             return store.commit(head, wrote, as_of)
 
     return _from_newest_head(store, apply)
 
 
+def backfill_spans(store: Store, *, as_of: datetime | None = None) -> int:
+    """JN-12: first and last reading of every site, from its own readings, as a new snapshot."""
+
+    def apply(head: Head) -> int:
+        snapshot = store.summary(head).drop("epoch")
+        spans = recomputed(store.read("measurements", head)).select("site_id", "first_at", "last_at")
+        filled = snapshot.join(spans, "site_id", "left").withColumns(
+            {"first_reading_at": F.col("first_at"), "last_reading_at": F.col("last_at")})
+        every = tuple(range(store.buckets(head)))
+        wrote = _write_all(store, head, {"site_summary": filled}, head.epoch + 1, {"site_summary": every})
+        return store.commit(head, wrote, as_of or datetime.now(timezone.utc))
+
+    return _from_newest_head(store, apply)
+
+
 def log_delivery_attempts(
     store: Store, attempts: DataFrame, *, as_of: datetime | None = None
 ) -> int:
-    """Append outcomes reported by whatever delivers the events."""
+    """Append outcomes reported by whatever delivers the events, and advance the pending ones.
+
+    Only the buckets of the events named are read and written.
+    """
+    log = attempts if "requeued" in attempts.columns else attempts.withColumn("requeued", F.lit(None).cast("boolean"))
 
     def apply(head: Head) -> int:
-        wrote = _write_all(store, {"delivery_attempts": attempts}, head.epoch + 1)
-        return store.commit(head, wrote, as_of or datetime.now(timezone.utc))
+        with dropping_stages(store.spark):
+            new = stage(log.select(*ATTEMPT_LOG.fieldNames()), "attempts")
+            touched = store.keys(new.select(F.col("event_id").alias("id")), "events_pending", head)
+            tables = {"delivery_attempts": new}
+            if touched.buckets:
+                pending = store.read("events_pending", head, touched).drop("epoch")
+                tables["events_pending"] = advance_pending(pending, new)
+            wrote = _write_all(store, head, tables, head.epoch + 1, {"events_pending": touched.buckets})
+            return store.commit(head, wrote, as_of or datetime.now(timezone.utc))
 
     return _from_newest_head(store, apply)
 
 
-def _write_all(store: Store, tables: dict[str, DataFrame], epoch: int) -> list[Written]:
+def requeue(store: Store, events: DataFrame, *, as_of: datetime | None = None) -> int:
+    """Put events (`id`) back for delivery: their failures and claims so far no longer count.
+    Delivered events stay delivered."""
+    as_of = as_of or datetime.now(timezone.utc)
+    entries = events.select(
+        F.col("id").alias("event_id"), F.lit(as_of).alias("attempted_at"), F.lit(None).cast("boolean").alias("ok"),
+        F.lit(None).cast("string").alias("error"), F.lit(True).alias("requeued"))
+    return log_delivery_attempts(store, entries, as_of=as_of)
+
+
+def _write_all(
+    store: Store, head: Head, tables: dict[str, DataFrame], epoch: int, replaces: dict[str, tuple[int, ...]] | None = None
+) -> list[Written]:
     """The tables do not depend on each other, so their jobs share the cluster."""
+    replaces = replaces or {}
     with ThreadPoolExecutor(len(tables)) as pool:
         jobs = [
-            pool.submit(inheritable_thread_target(store.spark)(store.write), df, name, epoch)
+            pool.submit(inheritable_thread_target(store.spark)(store.write), df, name, epoch, head, replaces.get(name, ()))
             for name, df in tables.items()
         ]
         return [job.result() for job in jobs]

@@ -195,6 +195,13 @@ DELIVERY_ATTEMPTS = _struct(
     ("ok", T.BooleanType()),
     ("error", T.StringType()),
 )
+# The log keeps, next to reported outcomes, the events that were put back by hand.
+ATTEMPT_LOG = T.StructType([*DELIVERY_ATTEMPTS.fields, T.StructField("requeued", T.BooleanType())])
+EVENTS_PENDING = T.StructType([*EVENTS_OUT.fields, *_struct(
+    ("claimed_at", T.TimestampType()),
+    ("attempts", T.IntegerType()),
+    ("last_error", T.StringType()),
+).fields])
 TABLES = {
     "sites": SITES,
     "measurements": MEASUREMENTS,
@@ -204,7 +211,15 @@ TABLES = {
     "events_out": EVENTS_OUT,
     "rejects": REJECTS,
     "ingest_results": INGEST_RESULTS,
-    "delivery_attempts": DELIVERY_ATTEMPTS,
+    "delivery_attempts": ATTEMPT_LOG,
+    "events_pending": EVENTS_PENDING,
+}
+# Tables that are looked up by key lie in buckets of the hash of these columns.
+BUCKETED_BY = {
+    "batch_ledger": ["site_id", "idempotency_key"],
+    "reading_identities": ["site_id", "device_id"],
+    "site_summary": ["site_id"],
+    "events_pending": ["id"],
 }
 # Directory levels below epoch=N.
-PARTITIONED_BY = {"measurements": ["month"]}
+PARTITIONED_BY = {"measurements": ["month"], **{table: ["bucket"] for table in BUCKETED_BY}}

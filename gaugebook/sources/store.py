@@ -8,6 +8,12 @@ from the same head one commits and the other gets `CommitConflict`, and starts
 again from the new head. Readers open the newest commit and exactly the folders in
 it, so nothing uncommitted is ever visible, whatever is committed later.
 
+Tables that are looked up by key lie in buckets by the hash of the key (`bucket=K` below
+`epoch=N`). A commit keeps, for each folder, the buckets it holds and the range of its
+keys; a lookup with the `Keys` of an epoch opens only folders that may hold them, and its
+bucket filter prunes the rest. Snapshots (`SNAPSHOTS`) are written bucket by bucket: a
+commit replaces the buckets it has written and goes on listing the others where they are.
+
 `compact` rewrites a table that has gathered many folders as one; `vacuum` removes
 folders that the newest commit does not list.
 """
@@ -21,14 +27,16 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugebook.schemas import PARTITIONED_BY, TABLES
+from gaugebook.schemas import BUCKETED_BY, PARTITIONED_BY, TABLES
 
-#: Tables of which an epoch writes the whole state: a commit keeps the newest folder only.
-SNAPSHOTS = frozenset({"site_summary"})
+#: Tables of which a write replaces the buckets it names.
+SNAPSHOTS = frozenset({"site_summary", "events_pending"})
+#: Buckets of a new store; more of them for larger ones. A store keeps its number.
+BUCKETS = 32
 
 
 class CommitConflict(Exception):
@@ -41,27 +49,54 @@ class Head:
     a table to its attempt folders."""
 
     epoch: int = 0
-    summary_epoch: int = 0
     folders: dict[str, tuple[str, ...]] = field(default_factory=dict)
     streams: dict[str, int] = field(default_factory=dict)
+    #: Per folder of a bucketed table: `buckets` that count, `written` ones, `low` and `high` key.
+    holds: dict[str, dict] = field(default_factory=dict)
+    buckets: int | None = None
 
     @property
     def tables(self) -> frozenset[str]:
         return frozenset(t for t, folders in self.folders.items() if folders)
 
 
+@dataclass(frozen=True)
+class Keys:
+    """Where the keys of an epoch lie in a table: their buckets, and the range of their texts."""
+
+    buckets: tuple[int, ...]
+    low: str | None = None
+    high: str | None = None
+
+    def may_be_in(self, holds: dict) -> bool:
+        if not set(self.buckets) & set(holds["buckets"]):
+            return False
+        if self.low is None or holds["low"] is None:
+            return True
+        return holds["low"] <= self.high and self.low <= holds["high"]
+
+
 @dataclass(frozen=True)
 class Written:
-    """A folder that waits for its commit."""
+    """A folder that waits for its commit. `replaces`: the buckets of its table it stands for."""
 
     table: str
     folder: str
+    holds: dict | None = None
+    replaces: tuple[int, ...] = ()
+
+
+def key_text(table: str) -> Column | None:
+    """The text that ranges of keys are kept of; numbers have none, since texts sort otherwise."""
+    columns = BUCKETED_BY[table]
+    return None if columns == ["id"] else F.concat_ws("/", *columns)
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._buckets = buckets
 
     # ---- files ---------------------------------------------------------------
     def _path(self, name: str):
@@ -109,8 +144,8 @@ class Store:
                 c = json.loads(self._text(f"commits/{name}"))
             except json.JSONDecodeError:
                 continue  # its writer is about to finish, or was lost: the epoch before counts
-            return Head(int(c["epoch"]), c["summary_epoch"],
-                        {t: tuple(f) for t, f in c["folders"].items()}, c["streams"])
+            return Head(int(c["epoch"]), {t: tuple(f) for t, f in c["folders"].items()}, c["streams"],
+                        c["holds"], c["buckets"])
         return Head()
 
     def commit(
@@ -126,15 +161,25 @@ class Store:
         With `replaced`, what was written stands for all earlier folders of its tables.
         """
         epoch = head.epoch + 1
-        folders = dict(head.folders)
+        folders, holds = dict(head.folders), dict(head.holds)
         for w in wrote:
-            old = () if replaced or w.table in SNAPSHOTS else folders.get(w.table, ())
+            old = []
+            for folder in () if replaced else folders.get(w.table, ()):
+                if w.replaces and folder in holds:
+                    left = [b for b in holds[folder]["buckets"] if b not in w.replaces]
+                    holds[folder] = {**holds[folder], "buckets": left}
+                    if not left:
+                        continue
+                old.append(folder)
             folders[w.table] = (*old, w.folder)
-        summary = any(w.table in SNAPSHOTS for w in wrote) and not replaced
+            if w.holds is not None:
+                holds[w.folder] = w.holds
+        listed = {folder for names in folders.values() for folder in names}
         text = json.dumps({
             "epoch": epoch,
-            "summary_epoch": epoch if summary else head.summary_epoch,
             "folders": folders,
+            "holds": {folder: h for folder, h in holds.items() if folder in listed},
+            "buckets": self.buckets(head),
             "streams": {**head.streams, **({stream[0]: stream[1]} if stream else {})},
             "committed_at": at.isoformat(),
         })
@@ -148,34 +193,91 @@ class Store:
         return epoch
 
     # ---- tables --------------------------------------------------------------
+    def buckets(self, head: Head) -> int:
+        return head.buckets or self._buckets
+
+    def bucket_of(self, table: str, head: Head) -> Column:
+        return F.pmod(F.xxhash64(*BUCKETED_BY[table]), F.lit(self.buckets(head))).cast("int")
+
+    def keys(self, rows: DataFrame, table: str, head: Head) -> Keys:
+        """Where the keys of `rows` (with the columns of BUCKETED_BY) lie. One aggregation; what
+        comes to the driver is at most a number per bucket and two keys."""
+        text = key_text(table)
+        ends = [F.min(text), F.max(text)] if text is not None else [F.lit(None), F.lit(None)]
+        found, low, high = rows.agg(F.collect_set(self.bucket_of(table, head)), *ends).first()
+        return Keys(tuple(sorted(found)), low, high)
+
     def _schema(self, table: str) -> T.StructType:
         return T.StructType([*TABLES[table].fields, T.StructField("epoch", T.LongType())])
 
-    def read(self, table: str, head: Head | None = None) -> DataFrame:
-        """SRC-4: committed rows of a table, with their `epoch`. Lists the commit's folders only."""
+    def _paths(self, table: str, head: Head, keys: Keys | None) -> list[str]:
+        paths = []
+        for folder in head.folders.get(table, ()):
+            path, holds = f"{self.root}/{table}/{folder}", head.holds.get(folder)
+            if holds is None:
+                paths.append(path)
+            elif keys is None or keys.may_be_in(holds):
+                whole = holds["buckets"] == holds["written"]
+                # Buckets that a later commit has replaced are left out.
+                some = ",".join(map(str, holds["buckets"]))
+                paths.append(path if whole else f"{path}/epoch=*/bucket={{{some}}}")
+        return paths
+
+    def read(self, table: str, head: Head | None = None, keys: Keys | None = None) -> DataFrame:
+        """SRC-4: committed rows of a table, with their `epoch`. Lists the commit's folders only;
+        with `keys`, at least all rows of those keys, from the folders and buckets that may hold them."""
         head = head or self.head()
-        if table not in head.tables:
+        paths = self._paths(table, head, keys)
+        if not paths:
             # Folded to an empty relation at planning time, so joins with it vanish.
             none = [F.lit(None).cast(f.dataType).alias(f.name) for f in self._schema(table)]
             return self.spark.range(1).filter(F.lit(False)).select(*none)
-        schema = T.StructType([*self._schema(table).fields, T.StructField("attempt", T.StringType())])
-        paths = [f"{self.root}/{table}/{folder}" for folder in head.folders[table]]
+        levels = [T.StructField("attempt", T.StringType())]
+        if table in BUCKETED_BY:
+            levels.append(T.StructField("bucket", T.IntegerType()))
+        schema = T.StructType([*self._schema(table).fields, *levels])
         rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*paths)
-        return rows.drop("attempt")
+        if keys is not None:
+            rows = rows.filter(F.col("bucket").isin(*keys.buckets))
+        return rows.drop("attempt", "bucket")
 
-    def summary(self, head: Head | None = None) -> DataFrame:
+    def summary(self, head: Head | None = None, keys: Keys | None = None) -> DataFrame:
         """The newest site snapshot."""
-        return self.read("site_summary", head)
+        return self.read("site_summary", head, keys)
 
-    def write(self, df: DataFrame, table: str, epoch: int) -> Written:
-        """Write rows of an epoch to a folder of their own, for a later commit."""
-        return self._written(df.select(*TABLES[table].fieldNames()).withColumn("epoch", F.lit(epoch)), table)
+    def pending(self, head: Head | None = None) -> DataFrame:
+        """Events that are not delivered, with the state of their delivery."""
+        return self.read("events_pending", head).drop("epoch").withColumn("published_at", F.lit(None).cast("timestamp"))
+
+    def write(self, df: DataFrame, table: str, epoch: int, head: Head | None = None, replaces: tuple[int, ...] = ()) -> Written:
+        """Write rows of an epoch to a folder of their own, for a later commit.
+
+        `replaces`: the buckets of a snapshot that the rows are the new state of.
+        """
+        rows = df.select(*TABLES[table].fieldNames()).withColumn("epoch", F.lit(epoch))
+        return self._written(rows, table, head or self.head(), replaces)
 
-    def _written(self, df: DataFrame, table: str) -> Written:
+    def _written(self, df: DataFrame, table: str, head: Head, replaces: tuple[int, ...] = ()) -> Written:
         folder = f"attempt={uuid.uuid4().hex}"
+        text = key_text(table) if table in BUCKETED_BY else None
+        seen = None
+        if text is not None:  # known from the write itself, without another pass
+            seen = Observation()
+            df = df.observe(seen, F.min(text).alias("low"), F.max(text).alias("high"))
+        if table in BUCKETED_BY:
+            # One writer a bucket, and four for a bucket that a hot site or device fills.
+            order = ["bucket", *BUCKETED_BY[table]]
+            spread = F.pmod(F.xxhash64(F.struct(*TABLES[table].fieldNames()[:4])), F.lit(4))
+            df = df.withColumn("bucket", self.bucket_of(table, head)).repartition("bucket", spread).sortWithinPartitions(*order)
         writer = df.write.mode("errorifexists").partitionBy("epoch", *PARTITIONED_BY.get(table, []))
         writer.parquet(f"{self.root}/{table}/{folder}")
-        return Written(table, folder)
+        if table not in BUCKETED_BY:
+            return Written(table, folder)
+        names = [n for e in self._names(f"{table}/{folder}") if e.startswith("epoch=") for n in self._names(f"{table}/{folder}/{e}")]
+        buckets = sorted({int(n.partition("=")[2]) for n in names if n.startswith("bucket=")})
+        ends = seen.get if seen is not None and buckets else {}  # a plan known to be empty reports nothing
+        holds = {"buckets": buckets, "written": buckets, "low": ends.get("low"), "high": ends.get("high")}
+        return Written(table, folder, holds, replaces)
 
     # ---- upkeep --------------------------------------------------------------
     def compact(self, tables: list[str] | None = None, folders: int = 32) -> int:
@@ -191,9 +293,10 @@ class Store:
         wrote = []
         for table in due:
             rows = self.read(table, head)
-            levels = ["epoch", *PARTITIONED_BY.get(table, [])]
-            rows = rows.repartitionByRange(*levels).sortWithinPartitions(*levels)
-            wrote.append(self._written(rows.select(*TABLES[table].fieldNames(), "epoch"), table))
+            levels = ["epoch", *(["month"] if table == "measurements" else [])]
+            if table not in BUCKETED_BY:
+                rows = rows.repartitionByRange(*levels).sortWithinPartitions(*levels)
+            wrote.append(self._written(rows.select(*TABLES[table].fieldNames(), "epoch"), table, head))
         return self.commit(head, wrote, datetime.now(timezone.utc), replaced=True)
 
     def vacuum(self, older_than_seconds: float = 7 * 86400) -> int:

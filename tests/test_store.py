@@ -34,7 +34,7 @@ def test_crash_between_sinks_then_rerun(spark, store, add_sites, monkeypatch):
     ingest(store, one(spark, 1), as_of=AS_OF)
     before = figures(store)
 
-    def half(store_, tables, epoch):
+    def half(store_, head, tables, epoch, replaces):
         for name in ("measurements", "site_summary"):
             store_.write(tables[name], name, epoch)
         raise RuntimeError("lost")
