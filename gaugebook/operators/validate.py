@@ -248,7 +248,14 @@ def _checked(judged: DataFrame, version: Column) -> DataFrame:
 
 
 def check_sites(feed: DataFrame) -> DataFrame:
-    """FLT-7 on a site registration feed: id, name, limit, metadata, details."""
+    """FLT-7 on a site registration feed: id, name, limit, metadata, details. A line that can't
+    be read has its text in the details, and takes no part in the numbering below."""
+    if CORRUPT in feed.columns:
+        told = F.concat(F.lit("unreadable record: "), F.col(CORRUPT))
+        bad = feed.filter(F.col(CORRUPT).isNotNull()).select(
+            "id", "name", F.lit(None).cast(LIMIT).alias("emission_limit_kg"), "metadata",
+            F.array(F.struct(F.lit("").alias("path"), told.alias("message"))).alias("details"))
+        return check_sites(feed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)).unionByName(bad)
     metadata = F.coalesce(F.col("metadata"), F.lit("{}"))
     named = feed.select(
         F.col("id"),

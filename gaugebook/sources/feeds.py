@@ -27,7 +27,7 @@ def read_legacy_arrivals(spark: SparkSession, path: str) -> DataFrame:
 
 def read_site_feed(spark: SparkSession, path: str) -> DataFrame:
     """SRC-3: site registrations; `metadata` is the JSON text of the object sent."""
-    return spark.read.schema(SITE_FEED).json(path)
+    return spark.read.schema(_keeping_bad_lines(SITE_FEED)).option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
 def stream_arrivals(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:

@@ -230,6 +230,18 @@ def test_registration_loses_nothing(spark, store, add_sites):
     assert len(sites) + store.read("rejects").count() == len(feed) + 2
 
 
+def test_broken_registrations_keep_their_text(spark, store, tmp_path):
+    from gaugebook.plans.ingest import register_sites
+    from gaugebook.sources.feeds import read_site_feed
+
+    good = '{"id": "%s", "name": "A", "emissionLimitKg": "10", "metadata": "{}"}' % site_uuid(1)
+    (tmp_path / "sites.json").write_text(f"{good}\n{good[:30]}\nnot json\nnot json\n")
+    register_sites(store, read_site_feed(spark, str(tmp_path / "sites.json")), as_of=AS_OF)
+    assert [s.id for s in store.read("sites").collect()] == [site_uuid(1)]
+    texts = sorted(d.message for r in store.read("rejects").collect() for d in r.details)
+    assert len(texts) == 3 and texts[0] == texts[1] == "unreadable record: not json" and good[:30] in texts[2]
+
+
 def test_months_partition_and_odd_clocks(spark, store, add_sites):
     """A wrong clock never fails an epoch; its month is just another folder."""
     add_sites(store, (1, "100"))

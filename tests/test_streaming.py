@@ -8,7 +8,7 @@ from support import site_uuid
 
 from gaugebook.plans import ingest as plan
 from gaugebook.plans.reconcile import findings
-from gaugebook.sources.feeds import stream_arrivals
+from gaugebook.sources.feeds import stream_arrivals, stream_legacy_arrivals
 from gaugebook.sources.store import Store
 from gaugebook.streaming.ingest_stream import start_ingest
 
@@ -41,7 +41,7 @@ def test_stream(spark, store, add_sites, tmp_path, monkeypatch):
     drop(tmp_path / "in", "b", (3, "k1", [reading(1)]), (4, "k4", [reading(0)]))
 
     # Lost after some sinks, before the commit: the same micro-batch runs again.
-    def lost(store_, tables, epoch):
+    def lost(store_, head, tables, epoch, replaces):
         store_.write(tables["measurements"], "measurements", epoch)
         raise RuntimeError("executor gone")
 
@@ -80,3 +80,32 @@ def test_stream(spark, store, add_sites, tmp_path, monkeypatch):
     assert (again.total_kg, again.measurement_count, again.version) == (
         row.total_kg, row.measurement_count, row.version)
     assert findings(store).collect() == []
+
+
+def test_one_stream_of_both_formats(spark, store, add_sites, tmp_path):
+    """Both formats share an epoch, its order and its identities."""
+    add_sites(store, (1, "100"))
+    drop(tmp_path / "in", "a", (1, "k1", [reading(1)]), (4, "k4", [reading(3, "2")]))
+    (tmp_path / "old").mkdir()
+
+    def legacy(name, *rows):
+        lines = [json.dumps({"arrival_seq": s, "site_id": site_uuid(1), "batch_id": b, "readings": rs}) for s, b, rs in rows]
+        (tmp_path / "old" / f"{name}.json").write_text("\n".join([*lines, "broken"]))
+
+    # 12:01 again with the same mass, 12:03 ahead of the current batch, 12:04 alone.
+    at = lambda minute, grams: {"device_id": "d", "ts": 1786276800 + 60 * minute, "ch4_g": grams}
+    legacy("a", (2, "00000000-0000-4000-8000-0000000000b2", [at(1, 5000)]), (3, "00000000-0000-4000-8000-0000000000b3", [at(3, 3000), at(4, 1000)]))
+
+    def run_both():
+        start_ingest(store, stream_arrivals(spark, str(tmp_path / "in")), str(tmp_path / "checkpoint"),
+                     legacy=stream_legacy_arrivals(spark, str(tmp_path / "old"))).awaitTermination()
+
+    run_both()
+    assert store.head().epoch == 2
+    row = store.summary().first()
+    assert (str(row.total_kg), row.measurement_count, row.version) == ("9.0000", 3, 4)
+    assert store.read("ingest_results").groupBy("api_version").count().count() == 2
+    assert [r.code for r in store.read("rejects").collect()] == ["VALIDATION_ERROR"]
+    drop(tmp_path / "in", "b", (9, "k9", [reading(9, "1")]))
+    run_both()
+    assert str(store.summary().first().total_kg) == "10.0000" and findings(store).collect() == []
