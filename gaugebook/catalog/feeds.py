@@ -215,17 +215,23 @@ def _store(spark: SparkSession, label: str) -> Store:
     return Store(spark, scratch_path(spark, label))
 
 
-def _halfway(df: DataFrame, column: str) -> int:
+def halfway(df: DataFrame, column: str) -> int:
     low, high = df.agg(F.min(column), F.max(column)).first()
     return (low + high + 1) // 2
 
 
-def new_events_store(spark: SparkSession, sf_dir: str) -> Store:
-    """A table set of its own for a query that changes it."""
+def new_store(spark: SparkSession, sf_dir: str) -> Store:
+    """An empty table set with the sites of feed E."""
     store = _store(spark, "events-store")
     register_sites(store, event_sites(spark, sf_dir), as_of=AS_OF)
+    return store
+
+
+def new_events_store(spark: SparkSession, sf_dir: str) -> Store:
+    """A table set of its own for a query that changes it."""
+    store = new_store(spark, sf_dir)
     feed = stage(events_legacy(spark, sf_dir), "events-legacy")
-    half = _halfway(feed, "arrival_seq") // SEQ_STRIDE * SEQ_STRIDE
+    half = halfway(feed, "arrival_seq") // SEQ_STRIDE * SEQ_STRIDE
     ingest(store, legacy=feed.filter(F.col("arrival_seq") < half), as_of=AS_OF)
     ingest(store, legacy=feed.filter(F.col("arrival_seq") >= half), as_of=AS_OF)
     return store
@@ -242,7 +248,7 @@ def lineitem_store(spark: SparkSession, sf_dir: str) -> Store:
         register_sites(store, customer_sites(spark, sf_dir), as_of=AS_OF)
         feed = lineitem_arrivals(spark, sf_dir)
         # Arrival order is led by the supplier, so this cuts the feed in two.
-        half = _halfway(feed, "l_suppkey")
+        half = halfway(feed, "l_suppkey")
         ingest(store, feed.filter(F.col("l_suppkey") < half).drop("l_suppkey"), as_of=AS_OF)
         ingest(store, feed.filter(F.col("l_suppkey") >= half).drop("l_suppkey"), as_of=AS_OF)
         return store
@@ -255,7 +261,7 @@ def mixed_store(spark: SparkSession, sf_dir: str) -> Store:
         store = _store(spark, "mixed-store")
         register_sites(store, event_sites(spark, sf_dir), as_of=AS_OF)
         feed = mixed_arrivals(spark, sf_dir)
-        half = _halfway(feed, "arrival_seq")
+        half = halfway(feed, "arrival_seq")
         ingest(store, feed.filter(F.col("arrival_seq") < half), as_of=AS_OF)
         ingest(store, feed.filter(F.col("arrival_seq") >= half), as_of=AS_OF)
         return store

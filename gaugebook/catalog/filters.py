@@ -21,7 +21,7 @@ from gaugebook.catalog.feeds import (
     wire_reading,
 )
 from gaugebook.catalog.registry import (
-    E_BATCHES,
+    E_EVENTS,
     E_READINGS,
     E_SITES,
     L_VERDICTS,
@@ -266,10 +266,8 @@ def attempts_of(events):
 
 
 # A requeue puts back what failed ten times and more; a claim it finds no longer holds.
-EVENT_IDS = E_BATCHES + """,
-i AS (SELECT seq * 2 AS id, 'measurements.ingested' AS event_type FROM t
-      UNION ALL SELECT seq * 2 + 1, 'site.limit_exceeded' FROM t
-      WHERE total > lim AND total - kg <= lim),
+EVENT_IDS = E_EVENTS + """,
+i AS (SELECT id, CASE WHEN o = 0 THEN 'measurements.ingested' ELSE 'site.limit_exceeded' END AS event_type FROM ev),
 st AS (SELECT id, event_type, id % 12 AS failures, id % 3 = 0 AS published,
          CASE WHEN id % 12 >= 10 AND id % 7 = 0 THEN 0 ELSE id % 12 END AS attempts,
          id % 5 = 0 AND NOT (id % 12 >= 10 AND id % 7 = 0) AS held FROM i)"""

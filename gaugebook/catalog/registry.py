@@ -69,6 +69,13 @@ s AS (
          count(*) AS version, min(first_day) AS first_day, max(last_day) AS last_day,
          max(lim) AS lim
   FROM t GROUP BY user_id)"""
+# Events of feed E: the two halves of the feed are epochs 2 and 3; ids are epoch and position.
+E_EVENTS = E_BATCHES + """,
+hv AS (SELECT (min(seq) + max(seq) + 1) // 2 // 16777216 AS half FROM e),
+ev AS (
+  SELECT *, CASE WHEN blk >= half THEN 3 ELSE 2 END * 68719476736
+           + row_number() OVER (PARTITION BY blk >= half ORDER BY seq * 2 + o) - 1 AS id
+  FROM (SELECT t.*, 0 AS o FROM t UNION ALL SELECT t.*, 1 FROM t WHERE total > lim AND total - kg <= lim), hv)"""
 LAST_DAY = "(SELECT max(date_trunc('day', ts)) FROM events)"
 STATUS = "CASE WHEN total > lim THEN 'Limit Exceeded' ELSE 'Within Limit' END"
 # Round half up in integers: total / limit in percent, two decimals.

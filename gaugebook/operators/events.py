@@ -11,16 +11,22 @@ from gaugebook.schemas import (
     DELIVERY_BATCH,
     DELIVERY_LEASE_SECONDS,
     DELIVERY_MAX_ATTEMPTS,
+    EVENT_POSITION_BITS,
     EXCEEDED_EVENT,
     INGESTED_EVENT,
     LAST_ERROR_CHARS,
 )
+from gaugebook.session import stage
+
+# Bits of a row in Spark's monotonically increasing ids.
+_ROW_BITS = 33
 
 
 def emitted_events(batches: DataFrame, as_of: Column) -> DataFrame:
     """STR-5 / STR-6: one event per claimed batch, one more on the crossing batch.
 
-    Ids follow arrival order; within a batch the crossing comes second.
+    `id` follows arrival order; within a batch the crossing comes second. It is an order
+    inside the epoch only: see `numbered`.
     """
 
     def event(source: DataFrame, offset: int, kind: str, payload: Column) -> DataFrame:
@@ -54,6 +60,31 @@ def emitted_events(batches: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def numbered(events: DataFrame, epoch: int) -> DataFrame:
+    """Ids for good: the epoch, and the event's position in it by arrival.
+
+    Positions in the arrival log may come again in later epochs, ids do not. Events are
+    sorted by ranges; one count a range comes to the driver.
+    """
+    spark = events.sparkSession
+    ordered = stage(events.repartitionByRange("id").sortWithinPartitions("id").withColumn(
+        "_at", F.monotonically_increasing_id()), "events")
+    part = F.shiftright("_at", _ROW_BITS)
+    sizes = sorted((r["part"], r["n"]) for r in ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    starts, start = [], epoch << EVENT_POSITION_BITS
+    for range_, n in sizes:
+        starts.append((range_, start))
+        start += n
+    first = spark.createDataFrame(starts, "_part long, _start long")
+    row = F.col("_at").bitwiseAND((1 << _ROW_BITS) - 1)
+    return ordered.join(first, part == F.col("_part")).withColumn("id", F.col("_start") + row).select(*events.columns)
+
+
+def repeated_events(events: DataFrame) -> DataFrame:
+    """Ids that more than one event has: none, or a report of delivery would count for several."""
+    return events.groupBy("id").agg(F.count("*").alias("rows"), F.min("aggregate_id").alias("site_id")).filter("rows > 1")
+
+
 def folded_attempts(attempts: DataFrame) -> DataFrame:
     """The attempt log by event: published_at, claimed_at, failures, last_error, requeued.
 

@@ -25,7 +25,7 @@ from gaugebook.functions.identity import IDENTIFIED_KEY, INSTANT_KEY, arrival_or
 from gaugebook.functions.values import derived_uuid, month_of
 from gaugebook.operators.claims import decide_claims, redelivered
 from gaugebook.operators.dedup import ACCEPT, resolve, stored_scheme
-from gaugebook.operators.events import advance_pending, emitted_events, newly_pending
+from gaugebook.operators.events import advance_pending, emitted_events, newly_pending, numbered
 from gaugebook.operators.totals import (
     advance_summary,
     batch_deltas,
@@ -269,7 +269,7 @@ def _apply(
     identities = epoch.verdicts.filter(
         (F.col("verdict") == ACCEPT) & F.col("reading_id").isNotNull()
     ).select(*IDENTIFIED_KEY, F.col("reading_ts").alias("first_ts"), "ch4_kg", "batch_id")
-    events = emitted_events(epoch.batches, now)
+    events = numbered(emitted_events(epoch.batches, now), number)
     # The snapshot's buckets are those it was read in, without the folders' ranges: a site of
     # the same bucket outside the range of the epoch's sites is carried over too.
     previous = store.summary(head, Keys(touched.buckets)).drop("epoch")

@@ -30,6 +30,9 @@ MONTHS_BEHIND_AT_START = 6
 MONTHS_AHEAD_AT_START = 6
 MONTHS_AHEAD = 3
 
+# An event's id is its epoch and its position there: 2^27 epochs of 2^36 events.
+EVENT_POSITION_BITS = 36
+
 # ---- decimals ----------------------------------------------------------------
 MASS = T.DecimalType(14, 4)
 TOTAL = T.DecimalType(18, 4)
