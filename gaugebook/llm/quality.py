@@ -5,7 +5,7 @@ and two tokens), n-grams of token shapes (one to three), and marks for a token t
 repeats one of its last four; a feature's value is the square root of its share of the
 document's features, so that rows have unit norm and length does not matter. The model is
 fitted on a bounded sample of the labelled rows (`SAMPLE`, those with the smallest hash of
-doc_id); scoring reads every whole text.
+doc_id, and of a repeated id ROWS_AN_ID rows); scoring reads every whole text.
 
 Defined results: null and empty texts score the model's bias alone; rows with equal doc_id
 are scored each; a doc_id with contradicting labels and a null label teach nothing; without
@@ -14,9 +14,12 @@ any usable label every score is 0.5; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugebook.llm.text import arrow_map, combine, hash_spans, held_out, ids_and_text, mix, slices
@@ -24,6 +27,8 @@ from gaugebook.llm.text import arrow_map, combine, hash_spans, held_out, ids_and
 BITS = 18
 #: Labelled rows a model is fitted on, at most.
 SAMPLE = 8000
+#: Rows that one id brings to the sample, at most.
+ROWS_AN_ID = 4
 EPOCHS = 3
 
 _KIND = np.full(256, 2, np.uint8)
@@ -85,7 +90,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row, key & ((1 << BITS) - 1), np.sqrt(count / total[row]).astype(np.float32)
 
 
-def fit_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], alpha: float = 0.3, beta: float = 1.0,
+def fit_ftrl(rows: Sample | list[tuple[int, np.ndarray, np.ndarray]], alpha: float = 0.3, beta: float = 1.0,
              l1: float = 1e-4, l2: float = 1e-3, epochs: int = EPOCHS) -> np.ndarray:
     """Weights (the last one is the bias) of a logistic model; rows are (label, index, value)."""
     size = (1 << BITS) + 1
@@ -128,10 +133,42 @@ def train(docs: DataFrame, labels: DataFrame, column: str, learn: Column, size:
                  pa.array([p[1] for p in pack], pa.binary())], names=["doc_id", "label", "index", "value"])
 
     sample = labelled_sample(docs, labels, column, learn, size)
-    table = arrow_map(sample, extract, "doc_id long, label int, index binary, value binary").toArrow()
-    rows = sorted(zip(*(table.column(i).to_pylist() for i in range(4))))
-    return fit_ftrl([(label, np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float))
-                     for _, label, i, v in rows])
+    # An id that is repeated brings a few of its rows, the first by hash; so the sample is bounded in rows.
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    sample = sample.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= ROWS_AN_ID).drop("nth")
+    return fit_ftrl(Sample(arrow_map(sample, extract, "doc_id long, label int, index binary, value binary").toArrow()))
+
+
+class Sample:
+    """Feature rows of a sample in a fixed order, decoded one at a time: only their bytes are held."""
+
+    def __init__(self, table: pa.Table):
+        doc_id, self.label = (table.column(c).to_numpy() for c in ("doc_id", "label"))
+        self.index, self.value = (self._bytes(table.column(c)) for c in ("index", "value"))
+        told = [zlib.crc32(self._row(self.index, i)) for i in range(len(doc_id))]
+        self.order = np.lexsort((told, self.label, doc_id))
+
+    @staticmethod
+    def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.concatenate([[0], pc.binary_length(column).to_numpy()]).astype(np.int64)
+        parts = []
+        for chunk in column.chunks:
+            offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset:chunk.offset + len(chunk) + 1]
+            if len(chunk):
+                parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[offsets[0]:offsets[-1]] if chunk.buffers()[2] else np.empty(0, np.uint8))
+        return np.cumsum(sizes), np.concatenate(parts) if parts else np.empty(0, np.uint8)
+
+    @staticmethod
+    def _row(column: tuple[np.ndarray, np.ndarray], i: int) -> np.ndarray:
+        return column[1][column[0][i]:column[0][i + 1]]
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __getitem__(self, nth: int) -> tuple[int, np.ndarray, np.ndarray]:
+        i = self.order[nth]
+        index, value = (np.frombuffer(self._row(c, i).tobytes(), t) for c, t in ((self.index, "<i4"), (self.value, "<f4")))
+        return int(self.label[i]), index.astype(np.int64), value.astype(float)
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
