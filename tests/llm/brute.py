@@ -44,7 +44,7 @@ def jaccard_groups(rows):
     return sorted((d, len(s), least[find(i)]) for i, (d, s) in enumerate(sets))
 
 
-def kept_lines(rows, edits=2, least=32):
+def kept_lines(rows, edits=2, least=1):
     """doc_id -> text, by comparing every line with every earlier one. Ids are unique."""
     rows = sorted(rows)
     spots = [(d, i, x) for d, t in rows for i, x in enumerate((t or "").split("\n")) if len(x) >= least]
@@ -53,7 +53,7 @@ def kept_lines(rows, edits=2, least=32):
         first.setdefault(x, (d, i))
     names = list(first)
     gone = {max(x, y, key=first.get) for k, x in enumerate(names) for y in names[:k]
-            if abs(len(x) - len(y)) <= edits and distance(x, y) <= edits}
+            if abs(len(x) - len(y)) <= edits and distance(x, y) <= min(edits, min(len(x), len(y)) // 16)}
     return {d: None if t is None else "\n".join(
         x for i, x in enumerate(t.split("\n")) if len(x) < least or first[x] == (d, i) and x not in gone) for d, t in rows}
 

@@ -137,4 +137,4 @@ def test_short_lines(make_docs):
         with pytest.MonkeyPatch.context() as patch:
             patch.setattr(lines, "CROWD", crowd)
             assert texts_of(lines.dedup(make_docs(rows))) == expected
-    assert texts_of(lines.dedup(make_docs(rows), least=32)) == brute.kept_lines(rows)
+    assert texts_of(lines.dedup(make_docs(rows), least=32)) == brute.kept_lines(rows, least=32)
