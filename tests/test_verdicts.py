@@ -136,7 +136,9 @@ def test_any_split_into_epochs(spark, tmp_path, cuts):
     after = {r[0]: int(r[1]) for r in ledger.select("arrival_seq", "response.total_kg").collect()}
     assert after == expected_after
     events = store.read("events_out").filter("event_type = 'site.limit_exceeded'")
-    assert {r.aggregate_id: (r.id - 1) // 2 for r in events.collect()} == crossed
+    crossing = events.withColumn("batch", F.get_json_object("payload", "$.crossedByBatchId")).join(
+        ledger.select(F.col("id").alias("batch"), "arrival_seq"), "batch")
+    assert {r.aggregate_id: r.arrival_seq for r in crossing.collect()} == crossed
     conflicts = {
         (r.arrival_seq, r.reason): r.n
         for r in ledger.select("arrival_seq", F.explode("response.conflicts").alias("c"))
