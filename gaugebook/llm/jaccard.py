@@ -18,7 +18,9 @@
    often, then against neighbours in other components, and at last against every class of
    another component that it meets often enough: pairs inside a component need no test, so
    groups of near copies cost links in proportion to their size. Only the last step decides
-   what is complete; the first two make it small.
+   what is complete; the first two make it small. There, shingles that the very same classes
+   meet at are one node, and in a node of many classes only sets probe that can begin to
+   overlap there with a larger one, by bands of size (`_across`).
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lowered; a text of
 fewer words than a shingle is one shingle; null texts and texts without words have size 0
@@ -29,6 +31,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -46,6 +50,8 @@ COUNT_WINDOW = 1_500_000
 FREQUENT = 1_000_000
 #: Times that a shingle recurs in windows before it counts as frequent.
 RECURS = 16
+#: Classes that meet one by one at a node, at most; a larger node is probed by the sets that can begin to overlap there.
+HOT = 32
 
 _WORD = np.ones(256, bool)
 _WORD[[32, 9, 10, 11, 12, 13]] = False
@@ -316,6 +322,70 @@ def _often_enough(times: str, a: str, b: str):
     return 7 * (F.col(times) + after) >= 3 * (F.col(a) + F.col(b))
 
 
+def _nodes(here: DataFrame) -> DataFrame:
+    """Members of the nodes that can link two components: node, cls, size, pos, comp, weight, hot.
+
+    A node is all the tokens that the very same classes meet at, such as those of a passage;
+    `weight` is their number and `pos` the place of the first.
+    """
+    held = here.groupBy("token").agg(
+        F.count("*").alias("members"), F.bit_xor(F.xxhash64("cls")).alias("node"), F.min("cls").alias("low"),
+        F.max("cls").alias("high"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+    held = held.where(F.col("least") != F.col("most")).select(
+        "token", F.xxhash64("node", "low", "high", "members").alias("node"), (F.col("members") > HOT).alias("hot"))
+    return stage(here.join(held, "token").groupBy("node", "cls", "size", "comp", "hot").agg(
+        F.min("pos").alias("pos"), F.count("*").alias("weight")), "nodes")
+
+
+def _across(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of classes of different components that their meetings don't rule out.
+
+    Members of a node of up to HOT classes meet one by one, and what they share is counted. In
+    a larger node only pairs meet that can have their first common shingle there: what either
+    set holds from there on must reach the overlap, so the other set has (4 size - 7 pos) / 3
+    shingles at most (`reach`). The smaller set of such a pair reaches its own size at least;
+    only those sets probe, by bands of size. What a set has in larger nodes bounds what
+    pairs share there.
+    """
+    reach = F.floor((4 * F.col("size") - 7 * F.col("pos")) / 3)
+    band = F.floor(F.log(F.col("size") + F.lit(0.5)) / math.log(4 / 3))
+    shared = nodes.where("hot").groupBy("cls").agg(F.sum("weight").alias("hot_weight"))
+    rows = nodes.join(shared, "cls", "left").select(
+        "node", "cls", "size", "pos", "comp", "hot", "weight", reach.alias("reach"), band.alias("band"),
+        F.coalesce("hot_weight", F.lit(0)).alias("hot_weight"))
+
+    def side(of: DataFrame, name: str) -> DataFrame:
+        return of.select("node", "band", *(F.col(c).alias(f"{name}_{c}") for c in (
+            "cls", "size", "pos", "comp", "weight", "reach", "hot_weight")))
+
+    cold = rows.where("NOT hot")
+    bound = F.least("a_pos", "b_pos") + F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
+    met = side(cold, "a").drop("band").join(side(cold, "b").drop("band"), "node").where(
+        (F.col("a_cls") < F.col("b_cls")) & (F.col("a_comp") != F.col("b_comp")) & _close("a_size", "b_size")
+        & (7 * bound >= 3 * (F.col("a_size") + F.col("b_size")))).withColumn("n", F.col("a_weight"))
+
+    hot = rows.where("hot")
+    # A partner holds 4/3 of the smaller set at most: its band is the same, the next, or by rounding the one after.
+    bands = F.explode(F.array(*(F.col("band") + k for k in range(3))))
+    probes = side(hot.where("reach >= size").withColumn("band", bands), "a")
+    first = probes.join(side(hot, "b"), ["node", "band"]).where(
+        (F.col("a_size") <= F.col("b_size")) & (F.col("b_size") <= F.col("a_reach")) & (F.col("a_size") <= F.col("b_reach"))
+        & ((F.col("a_size") < F.col("b_size")) | (F.col("a_cls") < F.col("b_cls")))
+        & (F.col("a_comp") != F.col("b_comp"))).withColumn("n", F.lit(0).cast("long"))
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        """One order of the two classes, for either kind of meeting."""
+        flip = F.col("a_cls") > F.col("b_cls")
+        return pairs.select(
+            F.least("a_cls", "b_cls").alias("u"), F.greatest("a_cls", "b_cls").alias("v"),
+            F.when(flip, F.col("b_size")).otherwise(F.col("a_size")).alias("u_size"),
+            F.when(flip, F.col("a_size")).otherwise(F.col("b_size")).alias("v_size"),
+            F.least("a_hot_weight", "b_hot_weight").alias("hot"), "n")
+
+    counted = ends(met).unionByName(ends(first)).groupBy("u", "v", "u_size", "v_size", "hot").agg(F.sum("n").alias("n"))
+    return counted.withColumn("n", F.col("n") + F.col("hot")).where(_often_enough("n", "u_size", "v_size")).select("u", "v")
+
+
 def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     full, empty = _members(docs, words)
@@ -367,16 +437,8 @@ def _members(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     links = links.unionByName(linked(promising(now.where(F.col("comp") != F.col("v_comp")))))
     comp = components(links)
 
-    here = placed(comp)
-    a = here.select("token", *(F.col(c).alias(f"a_{c}") for c in ("cls", "size", "pos", "comp")))
-    b = here.select("token", *(F.col(c).alias(f"b_{c}") for c in ("cls", "size", "pos", "comp")))
-    bound = F.least("a_pos", "b_pos") + F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
-    rest = a.join(b, "token").where(
-        (F.col("a_cls") < F.col("b_cls")) & (F.col("a_comp") != F.col("b_comp")) & _close("a_size", "b_size")
-        & (7 * bound >= 3 * (F.col("a_size") + F.col("b_size"))))
-    often = rest.groupBy(F.col("a_cls").alias("u"), F.col("b_cls").alias("v"), "a_size", "b_size").agg(
-        F.count("*").alias("n")).where(_often_enough("n", "a_size", "b_size"))
-    comp = components(links.unionByName(linked(often.select("u", "v"))))
+    often = _across(_nodes(placed(comp)))
+    comp = components(links.unionByName(linked(often)))
 
     full = per_doc.where("n > 0").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "comp", F.coalesce("comp", "cls"))

@@ -1,5 +1,8 @@
+import random
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import corpus_pipeline
 from tests.llm import brute
@@ -25,6 +28,44 @@ def test_groups_match_all_pairs(make_docs, random_rows, monkeypatch):
     assert found(jaccard.groups(make_docs(random_rows))) == brute.jaccard_groups(random_rows)
 
 
+@pytest.mark.parametrize("hot, recurs", [(0, 1000), (3, 2)])
+def test_shared_passages(make_docs, monkeypatch, hot, recurs):
+    """Passages fill a little more or less of texts than links need; few or many texts meet at their shingles."""
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "RECURS", recurs)
+    rng = random.Random(hot)
+    passages = [[f"p{k}x{i}" for i in range(70)] for k in range(4)]
+    rows = []
+    for i in range(160):
+        own = [f"w{rng.randrange(10 ** 6)}" for _ in range(rng.choice([0, 3, 8, 10, 12, 15, 20, 30, 60]))]
+        passage = passages[min(rng.randrange(6), 3)][:rng.choice([40, 60, 65, 70])]
+        cut = rng.randrange(len(own) + 1)
+        rows.append((i, " ".join(own[:cut] + passage + own[cut:])))
+    expected = brute.jaccard_groups(rows)
+    assert 5 < len({r[2] for r in expected}) < 150
+    assert found(jaccard.groups(make_docs(rows))) == expected
+
+
+@pytest.mark.parametrize("hot", [0, 3, 1000])
+def test_no_link_between_components_is_ruled_out(spark, monkeypatch, hot):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    rng = np.random.default_rng(7)
+    sets, rows = {}, []
+    for cls in range(300):
+        shared = np.arange(1000, 1000 + rng.integers(20, 90)) + 1000 * rng.integers(0, 3)
+        own = rng.integers(0, 900, rng.choice([0, 2, 5, 9, 14, 20, 40]))
+        sets[cls] = np.unique(np.concatenate([own, shared]))
+        take = int(jaccard.prefix_length(np.array([len(sets[cls])]))[0])
+        rows += [(int(t), cls, len(sets[cls]), k, cls % 7 if cls < 50 else cls) for k, t in enumerate(sets[cls][:take])]
+    here = spark.createDataFrame(rows, "token long, cls long, size int, pos int, comp long")
+    met = {tuple(r) for r in jaccard._across(jaccard._nodes(here)).collect()}
+    comp = {r[1]: r[4] for r in rows}
+    links = {(a, b) for a in sets for b in range(a + 1, 300) if comp[a] != comp[b] and 100 * len(
+        np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    assert len(links) > 500 and links <= met
+    assert len(met) < 20_000 and all(a < b and comp[a] != comp[b] for a, b in met)
+
+
 def test_odd_rows(make_docs, odd_rows):
     expected = brute.jaccard_groups([r[:2] for r in odd_rows])
     assert found(jaccard.groups(make_docs(odd_rows, clash=True))) == expected
