@@ -327,12 +327,40 @@ def withheld(spark, sf_dir):
     )
 
 
-@query("flt_13_table_rules", """
-SELECT 'negative_mass' AS rule, count(*) FILTER (WHERE value < 0) AS rows FROM events
-UNION ALL SELECT 'unknown_source', 0
-UNION ALL SELECT 'negative_total', 0
-UNION ALL SELECT 'limit_not_positive', count(*) FILTER (WHERE 2000 + 100 * (user_id % 10) <= 0)
-FROM events""")
+@query("flt_13_table_rules", f"""
+WITH {E_SITES}
+SELECT 'negative_mass' AS rule, count(*) FILTER (WHERE verdict = 'accept' AND kg < 0) AS rows FROM v
+UNION ALL SELECT 'unknown_source', count(*) FILTER (WHERE 'sensor' NOT IN ('sensor', 'satellite', 'manual')) FROM v
+UNION ALL SELECT 'negative_total', count(*) FILTER (WHERE total < 0) FROM s
+UNION ALL SELECT 'limit_not_positive', count(*) FILTER (WHERE lim <= 0) FROM s
+UNION ALL SELECT 'unknown_status', count(*) FILTER (WHERE 'completed' NOT IN ('in_progress', 'completed', 'failed')) FROM b""")
 def table_rules(spark, sf_dir):
     store = events_store(spark, sf_dir)
-    return quality_report(store.read("sites"), store.summary(), store.read("measurements"))
+    return quality_report(store.read("sites"), store.summary(), store.read("measurements"), store.read("batch_ledger"))
+
+
+@query("flt_13b_broken_rules", f"""
+WITH {E_SITES}
+SELECT 'negative_mass' AS rule, count(*) FILTER (WHERE verdict = 'accept' AND
+  CASE WHEN user_id % 5 = 0 THEN kg > 0 ELSE kg < 0 END) AS rows FROM v
+UNION ALL SELECT 'unknown_source', count(*) FILTER (WHERE verdict = 'accept' AND user_id % 7 IN (3, 4)) FROM v
+UNION ALL SELECT 'negative_total', count(*) FILTER (WHERE user_id % 4 = 1 AND total > 0) FROM s
+UNION ALL SELECT 'limit_not_positive', count(*) FILTER (WHERE user_id % 6 = 2) FROM s
+UNION ALL SELECT 'unknown_status', count(*) FILTER (WHERE user_id % 3 = 1) FROM b""")
+def broken_rules(spark, sf_dir):
+    """The same tables with rows that break each rule, whoever wrote them."""
+    store = events_store(spark, sf_dir)
+    user = lambda column: F.substring(column, -12, 12).cast("bigint")
+    site = user("site_id")
+    measurements = store.read("measurements").withColumns({
+        "ch4_kg": F.when(site % 5 == 0, -F.col("ch4_kg")).otherwise(F.col("ch4_kg")),
+        "source": F.when(site % 7 == 3, "probe").when(site % 7 != 4, F.col("source")),
+    })
+    return quality_report(
+        store.read("sites").withColumn(
+            "emission_limit_kg", F.when(user("id") % 6 != 2, F.col("emission_limit_kg")).otherwise(0)),
+        store.summary().withColumn(
+            "total_kg", F.when(site % 4 == 1, -F.col("total_kg")).otherwise(F.col("total_kg"))),
+        measurements,
+        store.read("batch_ledger").withColumn("status", F.when(site % 3 == 1, "lost").otherwise(F.col("status"))),
+    )

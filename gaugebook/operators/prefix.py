@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_BITS = (20, 20)
-# Rows of one key that one window task may sort.
-WINDOW_ROWS = 1 << 20
 
 
 def running_total(
@@ -17,18 +15,16 @@ def running_total(
     amount: str,
     total: str,
     chunk_bits: tuple[int, ...] = CHUNK_BITS,
-    largest: int | None = None,
 ) -> DataFrame:
     """Add `total`: the sum of `amount` over the key's rows up to this `seq`.
 
-    A plain window would sort all rows of a hot key in one task. Here `seq` (a
-    bigint, unique per key) is cut into chunks of 2^20 values; the window runs
-    inside (key, chunk), and the sums of earlier chunks are added from a second,
-    equally chunked level. No window partition exceeds 2^20 rows on the two
-    lower levels, however hot the key or sparse the sequence. A plain window is used
-    where `largest`, the most rows of any key, is known to fit.
+    A plain window would sort all rows of a hot key in one task. Here `seq` (a bigint,
+    unique per key, 0 .. 2^56-1) is cut into chunks of 2^20 values; the window runs inside
+    (key, chunk), and the sums of earlier chunks are added from a second, equally chunked
+    level, whose chunks (at most 2^16 a key) are the third. No window partition exceeds
+    2^20 rows, however hot the key or sparse the sequence, and every input takes this way.
     """
-    if not chunk_bits or (largest is not None and largest <= WINDOW_ROWS):
+    if not chunk_bits:
         whole = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
         return rows.withColumn(total, F.sum(amount).over(whole))
 

@@ -72,18 +72,13 @@ def conflict_lists(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def totals_after(
-    batches: DataFrame, opening: DataFrame | None = None, largest: int | None = None
-) -> DataFrame:
+def totals_after(batches: DataFrame, opening: DataFrame | None = None) -> DataFrame:
     """WN-3: `total_before` and `total_kg` of the site around each claimed batch.
 
     `batches`: site_id, arrival_seq, accepted_ch4_kg, ...; `opening`: site_id and
-    the site's total before the epoch; `largest`: the most batches any site has, if
-    known.
+    the site's total before the epoch. `batches` is read twice, so stage what is costly.
     """
-    running = running_total(
-        batches, "site_id", "arrival_seq", "accepted_ch4_kg", "_moved", largest=largest
-    )
+    running = running_total(batches, "site_id", "arrival_seq", "accepted_ch4_kg", "_moved")
     if opening is None:
         running = running.withColumn("_opening", F.lit(0).cast(TOTAL))
     else:

@@ -109,13 +109,8 @@ def decide_epoch(
     limits = sites.select(
         F.col("id").alias("site_id"), F.col("name").alias("site_name"), "emission_limit_kg"
     )
-    largest = owned.groupBy("site_id").count().agg(F.max("count")).first()[0] or 0
-    batches = totals_after(
-        owned.join(batch_deltas(verdicts), "arrival_seq").join(limits, "site_id"),
-        opening,
-        largest,
-    )
-    return Epoch(claims, verdicts, stage(batches, "batches"))
+    deltas = stage(owned.join(batch_deltas(verdicts), "arrival_seq").join(limits, "site_id"), "deltas")
+    return Epoch(claims, verdicts, stage(totals_after(deltas, opening), "batches"))
 
 
 def _stored_state(

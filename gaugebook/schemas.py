@@ -13,6 +13,7 @@ DEFAULT_PAGE_SIZE = 50
 MAX_PAGE_SIZE = 200
 SOURCES = ("sensor", "satellite", "manual")
 DEFAULT_SOURCE = "sensor"
+LEDGER_STATES = ("in_progress", "completed", "failed")
 WITHIN_LIMIT = "Within Limit"
 LIMIT_EXCEEDED = "Limit Exceeded"
 VALIDATION_ERROR = "VALIDATION_ERROR"

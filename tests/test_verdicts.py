@@ -11,6 +11,7 @@ from serial_model import history, run
 
 from gaugebook.functions.identity import arrival_of, position_of
 from gaugebook.operators.dedup import resolve
+from gaugebook.operators.linked import parts
 from gaugebook.plans.ingest import ingest, register_sites
 from gaugebook.plans.reconcile import findings
 from gaugebook.schemas import ARRIVALS, LEGACY_ARRIVALS, SITE_FEED
@@ -76,6 +77,50 @@ def test_hot_reading_and_hot_id(spark):
         assert verdicts(resolve(frame(spark, batches), ordered_pass_rows=limit)) == run(batches)
 
 
+def _never(_):
+    raise AssertionError("a round was taken")
+
+
+def chain(length, device, seq):
+    """Each id occurs at two instants and shares each with the next id; every instant has
+    an anonymous reading too, so every verdict hangs on the one before."""
+    out = []
+    for i in range(length):
+        for name, instant in ((f"r{i}", i), (None, i), (f"r{i}", i + 1)):
+            out.append((seq + len(out), "s", [(name, device, instant, 1 + i % 2)]))
+    return out
+
+
+def test_a_chain_is_decided_in_one_pass(spark, monkeypatch):
+    batches = chain(120, "d", 0)
+    monkeypatch.setattr("gaugebook.operators.contested.one_round", _never)
+    assert verdicts(resolve(frame(spark, batches))) == run(batches)
+
+
+def test_parts_of_one_device_are_decided_apart(spark, monkeypatch):
+    """One device with far more candidates than a task may walk, in parts that fit."""
+    batches = []
+    for i in range(60):
+        batches += [(s, site, [(r and f"{i}-{r}", d, at + 50 * i, m) for r, d, at, m in rs])
+                    for s, site, rs in chain(4, "d", len(batches))]
+    monkeypatch.setattr("gaugebook.operators.contested.one_round", _never)
+    assert verdicts(resolve(frame(spark, batches), ordered_pass_rows=16)) == run(batches)
+
+
+def test_parts_of_a_graph(spark):
+    rng = random.Random(4)
+    for n, links in ((400, [(i, i + 1) for i in range(399)]), (300, [(0, i) for i in range(300)]),
+                     (200, [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]), (5, [(1, 1)])):
+        root = list(range(n))
+        for u, v in links:
+            low, high = sorted((root[u], root[v]))
+            root = [low if r == high else r for r in root]
+        found = parts(spark.createDataFrame(links, "u bigint, v bigint"))
+        got = {r.node: r.part for r in found.collect()} if found is not None else {}
+        assert set(got) == {x for u, v in links if u != v for x in (u, v)}
+        assert len({(root[x], p) for x, p in got.items()}) == len({root[x] for x in got}) == len(set(got.values()))
+
+
 @pytest.mark.parametrize("cuts", [[5], [2, 8]])
 def test_any_split_into_epochs(spark, tmp_path, cuts):
     """The same log through the whole ingest, cut into epochs at any batch."""
