@@ -11,6 +11,8 @@ one after the other.
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -228,12 +230,13 @@ CONFLICT_RETRIES = 20
 
 
 def _from_newest_head(store: Store, apply: Callable[[Head], int]) -> int:
-    """Writers may overlap: who loses the race for an epoch decides again on the new state."""
-    for _ in range(CONFLICT_RETRIES):
+    """Writers may overlap: who loses the race for an epoch decides again on the new state,
+    after a pause that grows, so that writers do not keep meeting."""
+    for retry in range(CONFLICT_RETRIES):
         try:
             return apply(store.head())
         except CommitConflict:
-            continue
+            time.sleep(random.uniform(0, min(30.0, 0.1 * 2**retry)))
     return apply(store.head())
 
 
@@ -260,7 +263,7 @@ def _apply(
     opening = store.summary(head, touched)
     epoch = decide_epoch(claims, sites, stored_instants, stored_ids, opening)
 
-    number = head.epoch + 1
+    number = head.following
     identities = epoch.verdicts.filter(
         (F.col("verdict") == ACCEPT) & F.col("reading_id").isNotNull()
     ).select(*IDENTIFIED_KEY, F.col("reading_ts").alias("first_ts"), "ch4_kg", "batch_id")
@@ -317,7 +320,7 @@ def register_sites(
             rejects = reject(checked.filter(F.size("details") > 0), F.col("details")).unionByName(
                 reject(valid.filter("nth > 1 OR known"), taken))
             tables = {"sites": fresh.withColumn("created_at", F.lit(as_of)), "rejects": rejects}
-            wrote = _write_all(store, head, tables, head.epoch + 1)
+            wrote = _write_all(store, head, tables, head.following)
             return store.commit(head, wrote, as_of)
 
     return _from_newest_head(store, apply)
@@ -332,7 +335,7 @@ def backfill_spans(store: Store, *, as_of: datetime | None = None) -> int:
         filled = snapshot.join(spans, "site_id", "left").withColumns(
             {"first_reading_at": F.col("first_at"), "last_reading_at": F.col("last_at")})
         every = tuple(range(store.buckets(head)))
-        wrote = _write_all(store, head, {"site_summary": filled}, head.epoch + 1, {"site_summary": every})
+        wrote = _write_all(store, head, {"site_summary": filled}, head.following, {"site_summary": every})
         return store.commit(head, wrote, as_of or datetime.now(timezone.utc))
 
     return _from_newest_head(store, apply)
@@ -355,7 +358,7 @@ def log_delivery_attempts(
             if touched.buckets:
                 pending = store.read("events_pending", head, touched).drop("epoch")
                 tables["events_pending"] = advance_pending(pending, new)
-            wrote = _write_all(store, head, tables, head.epoch + 1, {"events_pending": touched.buckets})
+            wrote = _write_all(store, head, tables, head.following, {"events_pending": touched.buckets})
             return store.commit(head, wrote, as_of or datetime.now(timezone.utc))
 
     return _from_newest_head(store, apply)

@@ -3,7 +3,7 @@
 A write goes to a folder of its own, `<root>/<table>/attempt=<unique>/epoch=N/...`,
 so that a crashed or slow writer never touches the files of another. A commit is
 one JSON file, `<root>/commits/<N>.json`, that lists for every table the folders that
-belong to it. It is created only if it does not exist: of two writers that started
+belong to it. It is created whole and only if it does not exist (`commits`): of two writers that started
 from the same head one commits and the other gets `CommitConflict`, and starts
 again from the new head. Readers open the newest commit and exactly the folders in
 it, so nothing uncommitted is ever visible, whatever is committed later.
@@ -21,22 +21,24 @@ folders that the newest commit does not list.
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugebook.schemas import BUCKETED_BY, PARTITIONED_BY, TABLES
+from gaugebook.sources.commits import CommitFiles
 
 #: Tables of which a write replaces the buckets it names.
 SNAPSHOTS = frozenset({"site_summary", "events_pending"})
 #: Buckets of a new store; more of them for larger ones. A store keeps its number.
 BUCKETS = 32
+NUMBERED = re.compile(r"\d+\.json")
 
 
 class CommitConflict(Exception):
@@ -54,6 +56,8 @@ class Head:
     #: Per folder of a bucketed table: `buckets` that count, `written` ones, `low` and `high` key.
     holds: dict[str, dict] = field(default_factory=dict)
     buckets: int | None = None
+    #: The number of the next commit.
+    following: int = 1
 
     @property
     def tables(self) -> frozenset[str]:
@@ -96,6 +100,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.commits = CommitFiles(spark, f"{self.root}/commits")
         self._buckets = buckets
 
     # ---- files ---------------------------------------------------------------
@@ -107,46 +112,20 @@ class Store:
         path, fs = self._path(folder)
         return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
-    def _text(self, name: str) -> str:
-        path, fs = self._path(name)
-        stream = fs.open(path)
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def _create(self, name: str, text: str) -> bool:
-        """Create a file with this text; False if there is one."""
-        path, fs = self._path(name)
-        if fs.getScheme() == "file":  # its create() is not atomic
-            fs.mkdirs(path.getParent())
-            try:
-                with open(path.toUri().getPath(), "x") as file:
-                    file.write(text)
-            except FileExistsError:
-                return False
-            return True
-        try:
-            stream = fs.create(path, False)
-        except Py4JJavaError as error:
-            if "FileAlreadyExists" in error.java_exception.getClass().getName():
-                return False
-            raise
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        return True
-
     # ---- commits -------------------------------------------------------------
     def head(self) -> Head:
-        """The newest commit that is written to its end."""
-        for name in sorted((n for n in self._names("commits") if n.endswith(".json")), reverse=True):
+        """The newest commit. A file that is not whole (damaged, or left by a writer without
+        atomic creation) is passed over, and its number is not used again."""
+        following = 1
+        for name in sorted((n for n in self.commits.names() if NUMBERED.fullmatch(n)), reverse=True):
+            following = max(following, int(name.removesuffix(".json")) + 1)
             try:
-                c = json.loads(self._text(f"commits/{name}"))
+                c = json.loads(self.commits.text(name))
             except json.JSONDecodeError:
-                continue  # its writer is about to finish, or was lost: the epoch before counts
+                continue
             return Head(int(c["epoch"]), {t: tuple(f) for t, f in c["folders"].items()}, c["streams"],
-                        c["holds"], c["buckets"])
-        return Head()
+                        c["holds"], c["buckets"], following)
+        return Head(following=following)
 
     def commit(
         self,
@@ -156,11 +135,11 @@ class Store:
         stream: tuple[str, int] | None = None,
         replaced: bool = False,
     ) -> int:
-        """Make epoch `head.epoch + 1` visible, or raise CommitConflict.
+        """Make epoch `head.following` visible, or raise CommitConflict.
 
         With `replaced`, what was written stands for all earlier folders of its tables.
         """
-        epoch = head.epoch + 1
+        epoch = head.following
         folders, holds = dict(head.folders), dict(head.holds)
         for w in wrote:
             old = []
@@ -182,13 +161,9 @@ class Store:
             "buckets": self.buckets(head),
             "streams": {**head.streams, **({stream[0]: stream[1]} if stream else {})},
             "committed_at": at.isoformat(),
+            "writer": uuid.uuid4().hex,  # tells two writers of the same rows apart
         })
-        if not self._create(f"commits/{epoch:012d}.json", text):
-            if self.head().epoch < epoch:
-                # A file without its end: its writer is lost. Its folders are listed nowhere.
-                path, fs = self._path(f"commits/{epoch:012d}.json")
-                if time.time() * 1000 - fs.getFileStatus(path).getModificationTime() > 600_000:
-                    fs.delete(path, False)
+        if not self.commits.create(f"{epoch:012d}.json", text):
             raise CommitConflict(f"epoch {epoch} is committed already")
         return epoch
 
@@ -258,6 +233,7 @@ class Store:
         return self._written(rows, table, head or self.head(), replaces)
 
     def _written(self, df: DataFrame, table: str, head: Head, replaces: tuple[int, ...] = ()) -> Written:
+        self.commits.way()  # before any work: what is written here can be committed safely
         folder = f"attempt={uuid.uuid4().hex}"
         text = key_text(table) if table in BUCKETED_BY else None
         seen = None
