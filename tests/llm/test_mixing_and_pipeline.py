@@ -37,6 +37,46 @@ def test_weights_follow_targets(make_docs):
     assert sum(r["mix_tokens"] * r["mix_probability"] for r in got) == pytest.approx(0.5 * sum(r["mix_tokens"] for r in got))
 
 
+def test_bounded_raking_meets_margins():
+    """Where the scaled weights of some cells pass 1, the margins of the sample still hold."""
+    rng = np.random.default_rng(9)
+    mass = rng.random(24) + 0.1
+    margins = [np.arange(24) // 6, np.arange(24) % 6]
+    p = np.minimum(1, (rng.random(4) + 0.3)[margins[0]] * (rng.random(6) + 0.4)[margins[1]])  # the one solution of this form
+    bounded = [(c, np.bincount(c, weights=mass * p)) for c in margins]
+    got = mixing.rake_bounded(mass, bounded, 0.8)
+    assert (p == 1).sum() > 2 and np.allclose(got, p, rtol=1e-6)
+    for category, target in bounded:
+        assert np.allclose(np.bincount(category, weights=mass * got), target, rtol=1e-7)
+
+
+@pytest.mark.parametrize("cells", [50_000, 0])
+def test_the_sample_meets_its_targets(make_docs, monkeypatch, cells):
+    """Probabilities, not only weights: `b` has less than its target and is kept whole, `a` and `c` share the rest."""
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", cells)
+    monkeypatch.setattr(mixing, "TEMPER", {"source": 1.0, "lang": 1.0, "topic": 1.0})
+    monkeypatch.setattr(mixing, "TOPICS", 1)
+    rows = [(i, f"word{i} " * 20, "en", "abc"[min(i % 10, 2) if i % 10 < 2 else 2 * (i % 2)]) for i in range(400)]
+    got = mixing.mix(make_docs(rows), share=0.8, targets={"source": {"a": 0.3, "b": 0.5, "c": 0.2}})
+    held = brute.shares([{"source": r[3], "w": 1} for r in rows], "source", "w")
+    rest = 0.8 - held["b"]
+    want = {"a": rest * 0.6, "b": held["b"], "c": rest * 0.4}
+    assert max(want[k] / held[k] for k in "ac") < 1 and held["b"] < 0.4
+    found = {r["category"]: r for r in mixing.reached(got).where("margin = 'source'").collect()}
+    assert {k: r["share"] * 0.8 for k, r in found.items()} == pytest.approx(want, rel=1e-6)
+    assert all(r["mix_probability"] == 1 for r in got.where("source = 'b'").collect())
+
+
+def test_a_null_id_is_no_other_id(make_docs):
+    rows = [(None, f"word{i} " * 5, "en", "a") for i in range(5)] + [(-1, "word " * 5, "en", "a")]
+    fates = set()
+    for seed in range(12):
+        got = mixing.mix(make_docs(rows), share=0.5, seed=seed).collect()
+        assert len({r["mix_kept"] for r in got if r["doc_id"] is None}) == 1
+        fates |= {(r["doc_id"], r["mix_kept"], seed) for r in got}
+    assert any((None, k, s) in fates and (-1, not k, s) in fates for k in (True, False) for s in range(12))
+
+
 def test_odd_rows(make_docs, odd_rows):
     docs = make_docs(odd_rows, clash=True)
     got = mixing.mix(docs, prefix="_m_")
