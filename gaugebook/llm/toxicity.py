@@ -4,7 +4,8 @@ Folding turns text into lower-case base letters, homoglyphs and the usual digit
 substitutions included, and everything else into single positions of white space. Lexicon
 entries are whole words or word beginnings. They are learned from a bounded sample of
 labelled rows: beginnings and words that toxic documents hold far more often than clean
-ones, weighted by log odds. Exception phrases (words that continue an entry but occur in
+ones, weighted by log odds. A beginning gives way to the longest word or beginning under it
+as long as what else it covers is no evidence of its own. Exception phrases (words that continue an entry but occur in
 clean documents only, and any the caller names) cancel the hits inside them. A document's
 features are the sum of hit weights, plain and divided by the square root of its number of
 words; a logistic model on them gives the score.
@@ -18,6 +19,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
@@ -149,6 +151,23 @@ def learn_entries(counted: list[tuple[str, int, int]], toxic: int, clean: int) -
             bare = term.rstrip()
             if not any(bare[:n] in kept for n in range(min(BEGINNINGS) + 1, len(bare) + 1)):
                 kept[term] = float(np.log(odds(a, b)))
+    ordered = sorted(by_term)
+
+    def longest(term: str) -> str:
+        """The longest term under this beginning, if what else stands under it is no evidence:
+        a beginning is then only the start of one word, and of harmless ones."""
+        a, b = by_term[term]
+        bare, best = term.rstrip(), term
+        for other in ordered[bisect_left(ordered, bare):]:
+            if not other.startswith(bare):
+                break
+            left, harmless = a - by_term[other][0], b - by_term[other][1]
+            lost = left > 0 and left * (clean + 1) >= ODDS * harmless * (toxic + 1)
+            if not lost and by_term[other][0] >= LEAST and (len(other), other) > (len(best), best):
+                best = other
+        return best
+
+    kept = {t: float(np.log(odds(*by_term[t]))) for t in map(longest, kept)}
     kept = dict(sorted(kept.items(), key=lambda x: (-x[1] * by_term[x[0]][0], x[0]))[:ENTRIES])
     exceptions = [t for t, (a, b) in by_term.items() if t[-1] == " " and a == 0 and b >= 2
                   and any(t[:n] in kept for n in range(5, len(t)))]
@@ -170,6 +189,9 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float
 def train(docs: DataFrame, labels: DataFrame, column: str, learn: Column, size: int = SAMPLE,
           exceptions: tuple[str, ...] = ()) -> Lexicon:
     """A lexicon from at most `size` labelled documents of either label."""
+    # Ids with both labels teach nothing, whichever label a sample is drawn for.
+    labels = labels.groupBy("doc_id").agg(F.min(column).alias(column), F.max(column).alias("_most")).where(
+        F.col(column) == F.col("_most")).drop("_most")
     counts = {r["label"]: r["n"] for r in labels.where(learn).groupBy(
         F.col(column).cast("int").alias("label")).agg(F.count("*").alias("n")).collect() if r["label"] is not None}
     if not counts.get(1) or not counts.get(0):

@@ -110,3 +110,21 @@ def test_letters_of_higher_planes_are_folded():
     assert toxicity.fold("a\U0001f600b\U000e0061c \U00020000") == " a bc \U00020000 "
     lexicon = toxicity.Lexicon({" rotten ": 2.0})
     assert lexicon.sums(lexicon.automaton(), toxicity.fold(f"so {bold('Rotten'.lower())} it is"))[0] == 2.0
+
+
+def test_entries_are_words_not_their_beginnings():
+    """" path" starts a toxic word and harmless ones; " moro" starts only toxic ones."""
+    counted = [(" path", 41, 9), (" pathe", 40, 0), (" pathetic ", 40, 0), (" pathway ", 1, 6),
+               (" moro", 30, 0), (" moron ", 18, 0), (" morons ", 12, 0)]
+    weights, _ = toxicity.learn_entries(counted, 200, 2000)
+    assert set(weights) == {" pathetic ", " moro"}
+
+
+def test_contradicting_labels_teach_nothing(spark, make_docs):
+    rows = [(i, "rotten scum here " * 3 if i < 30 else "fair words here " * 3, "en", "a") for i in range(60)]
+    said = [(i, 1, int(i < 30)) for i in range(60)]
+    both = said + [(i, 1, 1 - t) for i, _, t in said]
+    labels = spark.createDataFrame(both, LABELS)
+    assert all(r["score"] < 0.7 for r in toxicity.classify(make_docs(rows), labels).collect())
+    taught = toxicity.classify(make_docs(rows), spark.createDataFrame(said, LABELS)).collect()
+    assert all((r["score"] >= 0.7) == (r["doc_id"] < 30) for r in taught)
