@@ -39,8 +39,11 @@ SAMPLE = 4000
 ENTRIES = 5000
 #: Lengths of word beginnings that may become entries.
 BEGINNINGS = range(4, 9)
-#: An entry occurs in so many toxic documents at least, and so many times as often as in clean ones.
+#: An entry occurs in so many toxic documents at least, and so many times as often as in clean ones
+#: (half a document added to both: of many rare words, some miss the clean part of a sample by chance).
 LEAST, ODDS = 5, 50.0
+#: What a beginning covers besides a longer entry is evidence if it occurs so many times as often in toxic documents.
+REST_ODDS = 2.0
 
 # Characters that are read as another letter.
 LOOKALIKES = {
@@ -133,6 +136,7 @@ class Lexicon:
 
     def score(self, total: float, words: int) -> float:
         bias, plain, dense = self.model
+        total = max(0.0, total)  # entries of negative weight, which only a caller can give, are no evidence
         x = bias + plain * np.log1p(total) + dense * np.log1p(total / np.sqrt(max(1, words)))
         return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
@@ -147,23 +151,24 @@ def learn_entries(counted: list[tuple[str, int, int]], toxic: int, clean: int) -
     kept: dict[str, float] = {}
     for term in sorted(by_term, key=lambda t: (len(t.rstrip()), t)):
         a, b = by_term[term]
-        if a >= LEAST and a * (clean + 1) >= ODDS * b * (toxic + 1):
+        if a >= LEAST and odds(a, b) >= ODDS:
             bare = term.rstrip()
             if not any(bare[:n] in kept for n in range(min(BEGINNINGS) + 1, len(bare) + 1)):
                 kept[term] = float(np.log(odds(a, b)))
     ordered = sorted(by_term)
 
     def longest(term: str) -> str:
-        """The longest term under this beginning, if what else stands under it is no evidence:
+        """The longest entry under this beginning, if what else stands under it is no evidence:
         a beginning is then only the start of one word, and of harmless ones."""
         a, b = by_term[term]
         bare, best = term.rstrip(), term
         for other in ordered[bisect_left(ordered, bare):]:
             if not other.startswith(bare):
                 break
-            left, harmless = a - by_term[other][0], b - by_term[other][1]
-            lost = left > 0 and left * (clean + 1) >= ODDS * harmless * (toxic + 1)
-            if not lost and by_term[other][0] >= LEAST and (len(other), other) > (len(best), best):
+            own, others = by_term[other]
+            lost = (a - own) * (clean + 1) > REST_ODDS * (b - others) * (toxic + 1)
+            # What takes a beginning's place is an entry by itself: it may be harmless otherwise.
+            if not lost and own >= LEAST and odds(own, others) >= ODDS and (len(other), other) > (len(best), best):
                 best = other
         return best
 

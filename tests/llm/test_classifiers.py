@@ -120,6 +120,16 @@ def test_entries_are_words_not_their_beginnings():
     assert set(weights) == {" pathetic ", " moro"}
 
 
+def test_a_beginning_gives_way_to_entries_only():
+    """" bori" owes its odds to many words; of those, " boringly " is a harmless one, and the
+    longest. As an entry it had a negative weight, and sums below -1 had no score."""
+    counted = [(" bori", 500, 9), (" boring ", 60, 0), (" boringly ", 5, 8), (" bloc", 150, 2),
+               (" block ", 20, 0), (" blocker ", 5, 0), (" ererst ", 6, 0)]
+    weights, _ = toxicity.learn_entries(counted, 1000, 1000)
+    assert set(weights) == {" bori", " bloc"} and min(weights.values()) > 0
+    assert 0 <= toxicity.Lexicon({" ill ": -2.0}, model=(0.0, 1.0, 1.0)).score(-4.0, 1) <= 1
+
+
 def test_contradicting_labels_teach_nothing(spark, make_docs):
     rows = [(i, "rotten scum here " * 3 if i < 30 else "fair words here " * 3, "en", "a") for i in range(60)]
     said = [(i, 1, int(i < 30)) for i in range(60)]
