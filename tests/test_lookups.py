@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from gaugebook.operators.dedup import resolve
 from gaugebook.operators.events import numbered
 from gaugebook.operators.lookups import met, shared
 from gaugebook.schemas import DETAIL, EVENT_POSITION_BITS
-from gaugebook.session import stage
+from gaugebook.session import FREE_SHUFFLES, dropping_stages, stage
 from support import AS_OF, site_uuid
 
 N = 20_000
@@ -95,3 +97,18 @@ def test_keys_that_meet(spark):
     assert keys(met(["k"], rows, stored).only(rows)) == [1, 2, 3, 4]
     assert keys(met(["k"], rows, stored, F.col("a"), F.col("a")).only(rows)) == [1, 3]
     assert keys(shared(["k"], rows, stored).only(stored)) == [3, 4]
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    def blocks():
+        every = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {str(every.apply(i)) for i in range(every.size())}
+
+    before, setting = blocks(), spark.conf.get(FREE_SHUFFLES)
+    with dropping_stages(spark):
+        staged = stage(spark.range(N).repartition(7, "id"), "shuffled")
+        assert staged.count() == N and spark.conf.get(FREE_SHUFFLES) == "true"
+        until = time.time() + 20  # files are removed behind the query's back
+        while (left := {b for b in blocks() - before if b.startswith("shuffle_")}) and time.time() < until:
+            time.sleep(0.2)
+    assert not left and spark.conf.get(FREE_SHUFFLES) == setting
