@@ -201,11 +201,10 @@ def _occurrences(docs: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hash_spans(data, starts, ends).view(np.int64)),
                  pa.array(hash_spans(data ^ 0xA5, starts, ends).view(np.int64)),
-                 *(part.column(c).take(pa.array(rows)) for c in ID), pa.array(number.astype(np.int32)),
-                 pa.array(sketches(data, starts, ends).view(np.int64))],
-                names=["line", "check", *ID, "number", "sketch"])
+                 *(part.column(c).take(pa.array(rows)) for c in ID), pa.array(number.astype(np.int32))],
+                names=["line", "check", *ID, "number"])
 
-    return arrow_map(docs, emit, "line long, check long, doc_id long, mark long, number int, sketch long")
+    return arrow_map(docs, emit, "line long, check long, doc_id long, mark long, number int")
 
 
 def _key_rows(docs: DataFrame, least: int) -> DataFrame:
@@ -322,7 +321,7 @@ def _again(rows: DataFrame, first: bool) -> DataFrame:
 
 
 def _texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """line, check and text of the given lines (line, check, doc_id, mark, number)."""
+    """line, check, text and sketch of the given lines (line, check, doc_id, mark, number)."""
     wanted = lines.groupBy(*ID).agg(F.sort_array(F.collect_set("number")).alias("numbers"))
     rows = thinned(docs, "mark", wanted, "mark").join(wanted.hint("merge"), ID)
 
@@ -335,20 +334,22 @@ def _texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
             data, at = flat(pa.array(text, pa.string()))
             line, check = hash_spans(data, at[:-1], at[1:]), hash_spans(data ^ 0xA5, at[:-1], at[1:])
             yield pa.RecordBatch.from_arrays([pa.array(line.view(np.int64)), pa.array(check.view(np.int64)),
-                                              pa.array(text, pa.string())], names=["line", "check", "text"])
+                                              pa.array(text, pa.string()), pa.array(sketches(data, at[:-1], at[1:]).view(np.int64))],
+                                             names=["line", "check", "text", "sketch"])
 
-    found = arrow_map(rows, cut, "line long, check long, text string")
+    found = arrow_map(rows, cut, "line long, check long, text string, sketch long")
     return found.join(lines.select("line", "check"), ["line", "check"], "left_semi").dropDuplicates(["line", "check"])
 
 
-def near_lines(docs: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
+def near_lines(docs: DataFrame, least: int = 1, occurrences: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Distinct lines (line, check, first: doc_id, mark and number), and the pairs of them within the allowed edits.
 
-    `docs`: doc_id (no nulls), mark and text.
+    `docs`: doc_id (no nulls), mark and text. `occurrences`: their lines, if the caller has staged them.
     """
-    lines = stage(_occurrences(docs, least).groupBy("line", "check").agg(
-        F.min(F.struct(*ID, "number")).alias("first"), F.min("sketch").alias("sketch")).select(
-        "line", "check", "first.doc_id", "first.mark", "first.number", "sketch"), "lines")
+    if occurrences is None:
+        occurrences = _occurrences(docs, least)
+    lines = stage(occurrences.groupBy("line", "check").agg(F.min(F.struct(*ID, "number")).alias("first")).select(
+        "line", "check", "first.doc_id", "first.mark", "first.number"), "lines")
     met = stage(_meet(_key_rows(docs, least), False), "candidates")
     found, first = [met], True
     for level in range(LEVELS):
@@ -356,12 +357,12 @@ def near_lines(docs: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
         if crowd.isEmpty():
             break
         if first:
-            texts = _texts(docs, lines.join(crowd.select("line").distinct(), "line", "left_semi"))
+            texts = stage(_texts(docs, lines.join(crowd.select("line").distinct(), "line", "left_semi")), "crowd-texts")
             whole = crowd.drop("rest").join(texts.select("line", "text"), "line")
             crowd = _again(whole, True)  # what remains beside the shared substring
             first = False
         if level == LEVELS - 1:
-            placed = crowd.select("key", "line", "entry").distinct().join(lines.select("line", "sketch"), "line")
+            placed = crowd.select("key", "line", "entry").distinct().join(texts.select("line", "sketch"), "line")
             x = placed.where("entry & 1 = 0").select("key", F.col("line").alias("x"), F.col("sketch").alias("x_sketch"))
             y = placed.where("entry & 1 = 1").select("key", F.col("line").alias("y"), F.col("sketch").alias("y_sketch"))
             both = x.join(y, "key").where((F.col("x") != F.col("y")) & _alike("x_sketch", "y_sketch"))
@@ -389,7 +390,8 @@ def near_lines(docs: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
 
 def _removals(docs: DataFrame, least: int) -> DataFrame:
     """doc_id, mark and the numbers of the lines that go, for documents that lose any."""
-    lines, near = near_lines(docs, least)
+    occurrences = stage(_occurrences(docs, least), "occurrences")  # read twice, and finding them costs most of a scan
+    lines, near = near_lines(docs, least, occurrences)
     spot = F.struct(*ID, "number")
     at_u = lines.select(F.col("line").alias("u"), F.col("check").alias("u_check"), spot.alias("u_at"))
     at_v = lines.select(F.col("line").alias("v"), F.col("check").alias("v_check"), spot.alias("v_at"))
@@ -397,8 +399,8 @@ def _removals(docs: DataFrame, least: int) -> DataFrame:
     later = placed.select(F.when(F.col("u_at") > F.col("v_at"), F.struct(F.col("u").alias("line"), F.col("u_check").alias("check")))
                           .when(F.col("v_at") > F.col("u_at"), F.struct(F.col("v").alias("line"), F.col("v_check").alias("check"))).alias("x"))
     gone = later.where("x IS NOT NULL").select("x.*").distinct().withColumn("gone", F.lit(True))
-    state = lines.drop("sketch").withColumnsRenamed({c: f"first_{c}" for c in (*ID, "number")}).join(gone, ["line", "check"], "left")
-    all_lines = _occurrences(docs, least).drop("sketch").join(state, ["line", "check"])
+    state = lines.withColumnsRenamed({c: f"first_{c}" for c in (*ID, "number")}).join(gone, ["line", "check"], "left")
+    all_lines = occurrences.join(state, ["line", "check"])
     drop = F.col("gone").isNotNull()
     for c in (*ID, "number"):
         drop = drop | (F.col(c) != F.col(f"first_{c}"))

@@ -138,3 +138,13 @@ def test_short_lines(make_docs):
             patch.setattr(lines, "CROWD", crowd)
             assert texts_of(lines.dedup(make_docs(rows))) == expected
     assert texts_of(lines.dedup(make_docs(rows), least=32)) == brute.kept_lines(rows, least=32)
+
+
+def test_lines_are_found_once_and_only_crowds_have_sketches(make_docs, monkeypatch):
+    found = []
+    occurrences = lines._occurrences
+    monkeypatch.setattr(lines, "_occurrences", lambda *a: found.append(occurrences(*a)) or found[-1])
+    monkeypatch.setattr(lines, "CROWD", 1)
+    rows = [(i, f"this line is long enough to take part {i % 7}") for i in range(30)]
+    assert texts_of(lines.dedup(make_docs(rows))) == brute.kept_lines(rows)
+    assert [f.columns for f in found] == [["line", "check", "doc_id", "mark", "number"]]
