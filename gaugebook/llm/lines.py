@@ -237,7 +237,8 @@ def _key_rows(docs: DataFrame, least: int) -> DataFrame:
 def _meet(rows: DataFrame, rest: bool) -> DataFrame:
     """Candidate pairs (u, v) of a key; members of a crowd come back as (key, u) with v null."""
     columns = ["key", "line", "entry"] + (["rest"] if rest else [])
-    ordered = rows.select(*columns).repartition(shuffle_partitions(rows), "key").sortWithinPartitions("key", "line", "entry")
+    ordered = rows.select(*columns).repartition(shuffle_partitions(rows), "key").sortWithinPartitions("key")
+    # Spark sorts by one number in linear time; the members of a key are few and need no order.
     ordered.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
 
     def pairs(members):
@@ -247,10 +248,10 @@ def _meet(rows: DataFrame, rest: bool) -> DataFrame:
 
     def close(key, members, crowd, out):
         if not crowd and len(members) > 1:
-            out += [(key, a, b, None, None) for a, b in pairs(members)]
+            out += [(key, a, b, None, None) for a, b in pairs(members.values())]
 
     def scan(batches):
-        held: list = []
+        held: dict = {}
         current, crowd = None, False
         for batch in batches:
             key, line = batch.column("key").to_numpy(), batch.column("line").to_numpy()
@@ -264,18 +265,16 @@ def _meet(rows: DataFrame, rest: bool) -> DataFrame:
             for i, k, u, p in zip(at.tolist(), key[at].tolist(), line[at].tolist(), entry[at].tolist()):
                 if k != current:
                     close(current, held, crowd, out)
-                    current, held, crowd = k, [], False
+                    current, held, crowd = k, {}, False
                 member = (u, p, text[i].as_py() if rest else None)
                 if crowd:
                     out.append((k, u, None, p, member[2]))
                     continue
-                if held and held[-1][:2] == member[:2]:
-                    continue
-                held.append(member)
+                held.setdefault((u, p), member)
                 if len(held) > CROWD:
                     crowd = True
-                    out += [(k, m[0], None, m[1], m[2]) for m in held]
-                    held = []
+                    out += [(k, m[0], None, m[1], m[2]) for m in held.values()]
+                    held = {}
             yield _batch(out)
         out = []
         close(current, held, crowd, out)

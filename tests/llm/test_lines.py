@@ -148,3 +148,11 @@ def test_lines_are_found_once_and_only_crowds_have_sketches(make_docs, monkeypat
     rows = [(i, f"this line is long enough to take part {i % 7}") for i in range(30)]
     assert texts_of(lines.dedup(make_docs(rows))) == brute.kept_lines(rows)
     assert [f.columns for f in found] == [["line", "check", "doc_id", "mark", "number"]]
+
+
+def test_members_of_a_key_need_no_order(spark):
+    rows = [(1, 7, 5), (1, 9, 4), (1, 7, 5), (1, 9, 4), (2, 7, 5), (3, 9, 4)]
+    met = lines._meet(spark.createDataFrame(rows, "key long, line long, entry byte"), False)
+    assert [tuple(r)[:3] for r in met.collect()] == [(1, 7, 9)]
+    sort = next(x for x in met._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Sort [" in x)
+    assert "key#" in sort and "line#" not in sort and "entry#" not in sort
