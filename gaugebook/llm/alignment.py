@@ -11,8 +11,9 @@ itself joins), so both end a token ahead of a run of white space, and behind a l
 first, into units (a word and the space ahead of it, mostly); a unit is encoded and aligned once and
 remembered by the worker.
 
-A pair of ids is linked where a token of each shares a group. `pair_counts` counts the
-documents that hold a pair linked; `align` adds up these counts. Counts of the FREQUENT
+A pair of ids is linked where a token of each shares a group. `aligned` goes through each text
+once and lists its pairs, `pair_counts` counts the documents that hold a pair linked, and
+`align` adds up these counts. Counts of the FREQUENT
 commonest pairs go to every task (a fixed size); links of all other pairs are looked up by
 a join.
 
@@ -34,6 +35,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +51,8 @@ CACHE_UNITS = 800_000
 SHORT, JOINED = 64, 4096
 #: Ids of B are below 2^B_BITS: a pair is one number.
 B_BITS = 24
+#: A pair has at most so many bits: ids of A are below 2^(PAIR_BITS - B_BITS), and a slice holds fewer than 2^(63 - PAIR_BITS) documents.
+PAIR_BITS = 48
 #: Code points that A's splitting pattern takes as white space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 SPACE_SIGN = "▁"
@@ -343,35 +347,56 @@ def _document_units(out: list[np.ndarray], units: int) -> tuple[np.ndarray, np.n
     return key // units, key % units, times
 
 
-def pair_counts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """pair ((a << B_BITS) + b) and n, the number of documents that hold it linked. Each task
-    adds up its own documents first."""
+def _document_pairs(known: Aligner, out: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct linked pairs of each document of a slice, ascending, how often each is linked, and
+    the n + 1 offsets of the documents."""
+    doc, unit, n = _document_units(out, max(len(known.text), 1))
+    lengths = known.pair_start[unit + 1] - known.pair_start[unit]
+    at = gather(known.pair_start[unit], lengths)
+    key = np.repeat(doc << PAIR_BITS, lengths) + known.pairs[known.pair[at]]
+    times = np.repeat(n, lengths) * known.times[at]
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+    times = np.add.reduceat(times[order], first) if len(key) else times
+    key = key[first]
+    ends = np.searchsorted(key, np.arange(len(out) + 1) << PAIR_BITS)
+    return key & ((1 << PAIR_BITS) - 1), times, ends
 
-    def count(batches) -> Iterator[pa.RecordBatch]:
-        known = aligner(*paths)
-        sums, generation = np.zeros(0, np.int64), known.generation
-        pairs = known.pairs
 
-        def told():
-            held = np.flatnonzero(sums)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[held]), pa.array(sums[held])], names=["pair", "n"])
+TOKENS = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64())]
 
+
+def aligned(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
+    """Per document: tokens, groups and links, the groups as a digest, a number of its row, its
+    linked pairs ((a << B_BITS) + b), each once, and how often each is linked."""
+
+    def digest(batches) -> Iterator[pa.RecordBatch]:
+        known, n = aligner(*paths), 0
         for rows, _, _ in slices(batches):
-            out, _ = known.rows(rows.column("text").to_pylist())
-            if generation != known.generation:  # pairs are numbered anew
-                yield told()
-                sums, generation = sums[:0], known.generation
-            pairs, n = known.pairs, max(len(known.pairs), 1)
-            doc, unit, _ = _document_units(out, max(len(known.text), 1))
-            lengths = known.pair_start[unit + 1] - known.pair_start[unit]
-            key = np.sort(np.repeat(doc * n, lengths) + known.pair[gather(known.pair_start[unit], lengths)])
-            key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-            met = np.bincount(key % n, minlength=len(pairs))
-            met[:len(sums)] += sums
-            sums = met
-        yield told()
-
-    return arrow_map(ids_and_text(docs), count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+            out, full = known.rows(rows.column("text").to_pylist())
+            totals = np.zeros((len(out), len(TOKENS)), np.int64)
+            if full.any():
+                starts = np.cumsum([0, *[len(o) for o in out]])[:-1][full]
+                totals[full] = np.add.reduceat(known.sizes[np.concatenate(out)], starts)
+            shown = known.text
+            shas = [hashlib.sha256(b";".join([shown[u] for u in o.tolist()])).hexdigest() if len(o) else "" for o in out]
+            pairs, times, ends = _document_pairs(known, out)
+            row = (TaskContext.get().partitionId() << 33) + n + np.arange(len(out))
+            n += len(out)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), *[pa.array(totals[:, k]) for k in range(len(TOKENS))], pa.array(shas, pa.string()),
+                 pa.array(row), *[pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(x)) for x in (pairs, times)]],
+                names=["doc_id", *[f for f, _ in TOKENS], "groups_sha256", "row", "pairs", "times"])
+
+    numbers = ", ".join(f"{f} long" for f, _ in TOKENS)
+    return arrow_map(ids_and_text(docs), digest,
+                     f"doc_id long, {numbers}, groups_sha256 string, row long, pairs array<long>, times array<long>")
+
+
+def pair_counts(told: DataFrame) -> DataFrame:
+    """pair and n, the number of documents that hold it linked."""
+    return told.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
 
 
 def ranked(counts: DataFrame) -> DataFrame:
@@ -381,77 +406,45 @@ def ranked(counts: DataFrame) -> DataFrame:
     return counts.withColumn("a", a).join(best, "a").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
 
 
-DIGEST = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("n_best", pa.int64()),
-          ("count_sum", pa.int64()), ("groups_sha256", pa.string())]
-
-
 def align(docs: DataFrame, paths: tuple[str, str] | None = None, frequent: int = FREQUENT) -> DataFrame:
     """Per document: tokens, groups, links, links whose count is the best of their id of A, sum of
-    the links' counts, and the groups as a digest."""
-    paths = paths or default_vocabularies()
-    counts = stage(ranked(stage(pair_counts(docs, paths), "pair-counts")), "pairs")
+    the links' counts, and the groups as a digest.
+
+    Texts are aligned once; their pairs are written out with them, counted, and given their counts.
+    """
+    told = stage(aligned(docs, paths or default_vocabularies()), "aligned", "zstd")
+    counts = stage(ranked(stage(pair_counts(told), "pair-counts")), "pairs")
     top = counts.orderBy(F.desc("n"), "pair").limit(frequent).toArrow()
     order = np.argsort(top.column("pair").to_numpy())
-    pairs = top.column("pair").to_numpy()[order]
+    known = top.column("pair").to_numpy()[order]
     # The sign tells a best count.
     counts_of = (top.column("n").to_numpy() * np.where(top.column("best").to_numpy() == 1, -1, 1))[order]
-
-    def digest(batches) -> Iterator[pa.RecordBatch]:
-        known = aligner(*paths)
-        generation, n = known.generation, 0
-        value, sums, rare = np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros(0, bool)
-
-        def more() -> None:
-            """Counts of pairs (0: not among the frequent), and sums of units, that this task has not met."""
-            nonlocal value, sums, rare
-            asked = known.pairs[len(value):]
-            place = np.minimum(np.searchsorted(pairs, asked), max(len(pairs) - 1, 0))
-            got = np.where(pairs[place] == asked, counts_of[place], 0) if len(pairs) else np.zeros(len(asked), np.int64)
-            value = np.concatenate([value, got.astype(np.int64)])
-            since, units = len(sums), len(known.text)
-            first = known.pair_start[since]
-            number, times = known.pair[first:], known.times[first:]
-            unit = np.repeat(np.arange(units - since), np.diff(known.pair_start[since:]))
-            count = value[number]
-            added = [np.bincount(unit, w, units - since).astype(np.int64) for w in (times * (count < 0), times * np.abs(count))]
-            sums = np.concatenate([sums, np.stack(added, 1)])
-            rare = np.concatenate([rare, np.bincount(unit, count == 0, units - since) > 0])
-
-        for rows, _, _ in slices(batches):
-            out, full = known.rows(rows.column("text").to_pylist())
-            if generation != known.generation:
-                generation, value, sums, rare = known.generation, value[:0], sums[:0], rare[:0]
-            if len(sums) < len(known.text):
-                more()
-            totals = np.zeros((len(out), 6), np.int64)
-            if full.any():
-                flat = np.concatenate(out)
-                starts = np.cumsum([0, *[len(o) for o in out]])[:-1][full]
-                totals[full] = np.add.reduceat(np.concatenate([known.sizes[flat], sums[flat]], 1), starts)
-            shown = known.text
-            shas = [hashlib.sha256(b";".join([shown[u] for u in o.tolist()])).hexdigest() if len(o) else "" for o in out]
-            left = []
-            for o in out:
-                o = o[rare[o]]
-                at = gather(known.pair_start[o], known.pair_start[o + 1] - known.pair_start[o])
-                at = at[value[known.pair[at]] == 0]
-                keys, back = np.unique(known.pairs[known.pair[at]], return_inverse=True)
-                times = np.bincount(back, known.times[at], len(keys)).astype(np.int64)
-                left.append([{"pair": p, "times": t} for p, t in zip(keys.tolist(), times.tolist())])
-            row = (TaskContext.get().partitionId() << 33) + n + np.arange(len(out))
-            n += len(out)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), *[pa.array(totals[:, k]) for k in range(6)], pa.array(shas), pa.array(row),
-                 pa.array(left, pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())])))],
-                names=["doc_id", *[f for f, _ in DIGEST], "row", "rest"])
-
-    numbers = ", ".join(f"{f} long" for f, _ in DIGEST[:6])
-    told = stage(arrow_map(ids_and_text(docs), digest, f"doc_id long, {numbers}, groups_sha256 string, row long, "
-                           "rest array<struct<pair: long, times: long>>"), "aligned")
-    links = told.select("row", F.inline("rest"))
+    kept = ["doc_id", *[f for f, _ in TOKENS], "groups_sha256", "row"]
+
+    def add(batches) -> Iterator[pa.RecordBatch]:
+        """Sums over the frequent pairs; the others (`rest`) are left for a join."""
+        for batch in batches:
+            pairs, times = (batch.column(c).flatten().to_numpy() for c in ("pairs", "times"))
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("pairs")).to_numpy())]).astype(np.int64)
+            place = np.minimum(np.searchsorted(known, pairs), max(len(known) - 1, 0))
+            count = np.where(known[place] == pairs, counts_of[place], 0) if len(known) else np.zeros(len(pairs), np.int64)
+            sums = []
+            for amount in (times * (count < 0), times * np.abs(count)):
+                upto = np.concatenate([[0], np.cumsum(amount)])
+                sums.append(pa.array((upto[ends[1:]] - upto[ends[:-1]]).astype(np.int64)))
+            left = count == 0
+            rest_ends = np.concatenate([[0], np.cumsum(left)])[ends].astype(np.int32)
+            rest = pa.StructArray.from_arrays([pa.array(pairs[left], pa.int64()), pa.array(times[left], pa.int64())], ["pair", "times"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *sums, pa.ListArray.from_arrays(rest_ends, rest)],
+                                             names=[*kept, "n_best", "count_sum", "rest"])
+
+    numbers = ", ".join(f"{f} long" for f, _ in TOKENS)
+    summed = stage(arrow_map(told, add, f"doc_id long, {numbers}, groups_sha256 string, row long, n_best long, count_sum long, "
+                             "rest array<struct<pair: long, times: long>>"), "summed", "zstd")
+    links = summed.select("row", F.inline("rest"))
     found = links.join(counts, "pair").groupBy("row").agg(
         F.sum(F.col("times") * F.col("best")).alias("more_best"), F.sum(F.col("times") * F.col("n")).alias("more_count"))
     zero = F.lit(0).cast("long")
-    return told.drop("rest").join(found, "row", "left").select(
+    return summed.drop("rest").join(found, "row", "left").select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", (F.col("n_best") + F.coalesce("more_best", zero)).alias("n_best"),
         (F.col("count_sum") + F.coalesce("more_count", zero)).alias("count_sum"), "groups_sha256")

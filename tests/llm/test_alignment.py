@@ -127,3 +127,19 @@ def test_empty(make_docs):
     assert alignment.align(make_docs([])).count() == 0
     row = alignment.align(make_docs([(1, None), (2, "")])).collect()
     assert sorted(map(tuple, row)) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_texts_are_aligned_once(spark, make_docs):
+    """What a text is cut into is kept, not found again once the pairs are counted."""
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        read.add(1)
+        return text
+
+    rows = [(i, f"word{i} and others") for i in range(30)]
+    got = alignment.align(make_docs(rows).withColumn("text", told.asNondeterministic()("text")))
+    assert got.count() == 30 and read.value == 30
