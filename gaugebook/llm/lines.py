@@ -49,6 +49,8 @@ MIN_CHARS = 32
 CROWD = 48
 LEVELS = 2
 CLASSES = 16
+#: Marks a row that is an index entry and a probe; above all edits.
+BOTH = 64
 FIRST = -(1 << 63)  # stands for a null doc_id
 #: A document: its id, and a hash of id and text that tells apart texts of one id.
 ID = ["doc_id", "mark"]
@@ -91,11 +93,12 @@ def allowed(n):
     return np.minimum(EDITS, n * EDITS // MIN_CHARS)
 
 
-def keys(data: np.ndarray, begin: np.ndarray, n: np.ndarray, least: int = 1, given: np.ndarray | None = None):
+def keys(data: np.ndarray, begin: np.ndarray, n: np.ndarray, least: int = 1, given: np.ndarray | None = None, own: bool = True):
     """(line, role, key, start, length) arrays. `begin`: first code point of each line, `n`: their number.
 
     role 0 is an index entry, 1 + d a probe among lines that are d code points shorter. Lines under
     `least` code points have no keys. The length joined decides the edits, unless each line is `given` its own.
+    Each index entry has a probe of its own key and place, which is left out without `own`.
     """
     first_byte = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
     hashed = SpanHashes(data)
@@ -111,6 +114,8 @@ def keys(data: np.ndarray, begin: np.ndarray, n: np.ndarray, least: int = 1, giv
             at, length = segments(size[usable], i, edits + 1)
             low, high = (max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))) if probe else (0, 0)
             for move in range(low, high + 1):
+                if not own and shorter == 0 and move == 0:
+                    continue
                 start = at + move
                 ok = (start >= 0) & (start + length <= n[usable])
                 line, s, k = usable[ok], start[ok], length[ok]
@@ -208,7 +213,10 @@ def _occurrences(docs: DataFrame, least: int) -> DataFrame:
 
 
 def _key_rows(docs: DataFrame, least: int) -> DataFrame:
-    """key and line of all index entries and probes; the lowest bit of `entry` marks a probe, the others are the edits."""
+    """key and line of all index entries and probes; the lowest bit of `entry` marks a probe, the next ones are the edits.
+
+    An index entry and the probe of its own key are one row, marked BOTH.
+    """
     def emit(batches):
         known: set[int] = set()
         for _, data, offsets in slices(batches, limit=1 << 19):
@@ -225,8 +233,8 @@ def _key_rows(docs: DataFrame, least: int) -> DataFrame:
                 known.clear()
             at, line = at[new], line[new]
             n = head[ends[at]] - head[starts[at]]
-            which, role, key, _, _ = keys(data, head[starts[at]], n, least)
-            entry = allowed(n[which] - np.maximum(role - 1, 0)) * 2 + (role > 0)
+            which, role, key, _, _ = keys(data, head[starts[at]], n, least, own=False)
+            entry = allowed(n[which] - np.maximum(role - 1, 0)) * 2 + np.where(role > 0, 1, BOTH)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(line[which]), pa.array(entry.astype(np.int8))],
                 names=["key", "line", "entry"])
@@ -262,19 +270,20 @@ def _meet(rows: DataFrame, rest: bool) -> DataFrame:
             entry = batch.column("entry").to_numpy()
             text = batch.column("rest") if rest else None
             out: list = []
-            for i, k, u, p in zip(at.tolist(), key[at].tolist(), line[at].tolist(), entry[at].tolist()):
+            for i, k, u, marked in zip(at.tolist(), key[at].tolist(), line[at].tolist(), entry[at].tolist()):
                 if k != current:
                     close(current, held, crowd, out)
                     current, held, crowd = k, {}, False
-                member = (u, p, text[i].as_py() if rest else None)
-                if crowd:
-                    out.append((k, u, None, p, member[2]))
-                    continue
-                held.setdefault((u, p), member)
-                if len(held) > CROWD:
-                    crowd = True
-                    out += [(k, m[0], None, m[1], m[2]) for m in held.values()]
-                    held = {}
+                for p in (marked - BOTH, marked - BOTH + 1) if marked & BOTH else (marked,):
+                    member = (u, p, text[i].as_py() if rest else None)
+                    if crowd:
+                        out.append((k, u, None, p, member[2]))
+                        continue
+                    held.setdefault((u, p), member)
+                    if len(held) > CROWD:
+                        crowd = True
+                        out += [(k, m[0], None, m[1], m[2]) for m in held.values()]
+                        held = {}
             yield _batch(out)
         out = []
         close(current, held, crowd, out)

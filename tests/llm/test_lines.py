@@ -156,3 +156,11 @@ def test_members_of_a_key_need_no_order(spark):
     assert [tuple(r)[:3] for r in met.collect()] == [(1, 7, 9)]
     sort = next(x for x in met._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Sort [" in x)
     assert "key#" in sort and "line#" not in sort and "entry#" not in sort
+
+
+def test_an_index_entry_and_its_own_probe_are_one_row(make_docs):
+    """A line that meets no other has its keys to itself."""
+    text = "".join(chr(0x4e00 + i) for i in range(40))
+    rows = lines._key_rows(make_docs([(1, text)]).selectExpr("doc_id", "doc_id AS mark", "text"), 1).collect()
+    assert len({r["key"] for r in rows}) == len(rows) > 3
+    assert sum(r["entry"] & lines.BOTH > 0 for r in rows) == lines.EDITS + 1
