@@ -48,3 +48,15 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
+
+
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """`comp` (node, comp; unlisted nodes are alone) after more links. Only components that
+    these links join go through rounds again, each as one node."""
+    name = {c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp")) for c in "uv"}
+    between = links.select("u", "v").join(name["u"], "u", "left").join(name["v"], "v", "left").select(
+        F.coalesce("u_comp", "u").alias("u"), F.coalesce("v_comp", "v").alias("v"))
+    above = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    moved = comp.join(above, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    alone = above.select(F.col("comp").alias("node"), F.col("top").alias("comp")).join(comp, "node", "left_anti")
+    return stage(moved.unionByName(alone), "components")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugebook.llm.components import components
+from gaugebook.llm.components import components, merged
 from gaugebook.llm.membership import thinned
 from gaugebook.llm.text import arrow_map, combine, flat, hash_spans, ids_and_text, mix, shuffle_partitions, slices, spans
 from gaugebook.session import stage
@@ -316,10 +316,10 @@ def _close(a: str, b: str):
     return (F.col(a) * 4 >= F.col(b) * 3) & (F.col(b) * 4 >= F.col(a) * 3)
 
 
-def _often_enough(times: str, a: str, b: str):
+def _often_enough(times, a: str, b: str):
     """Whether sets of sizes a and b that meet so often in their prefixes can reach the overlap."""
     after = F.greatest(F.ceil(F.col(a) * 3 / 4), F.ceil(F.col(b) * 3 / 4)) - 1
-    return 7 * (F.col(times) + after) >= 3 * (F.col(a) + F.col(b))
+    return 7 * (times + after) >= 3 * (F.col(a) + F.col(b))
 
 
 def _nodes(here: DataFrame) -> DataFrame:
@@ -345,18 +345,20 @@ def _across(nodes: DataFrame) -> DataFrame:
     set holds from there on must reach the overlap, so the other set has (4 size - 7 pos) / 3
     shingles at most (`reach`). The smaller set of such a pair reaches its own size at least;
     only those sets probe, by bands of size. What a set has in larger nodes bounds what
-    pairs share there.
+    pairs share there, and what either has in the nodes from there on bounds how often they meet.
     """
     reach = F.floor((4 * F.col("size") - 7 * F.col("pos")) / 3)
     band = F.floor(F.log(F.col("size") + F.lit(0.5)) / math.log(4 / 3))
-    shared = nodes.where("hot").groupBy("cls").agg(F.sum("weight").alias("hot_weight"))
-    rows = nodes.join(shared, "cls", "left").select(
+    of_class = Window.partitionBy("cls")
+    hot_weight, cold_weight = F.when(F.col("hot"), F.col("weight")).otherwise(0), F.when(F.col("hot"), 0).otherwise(F.col("weight"))
+    rows = nodes.select(
         "node", "cls", "size", "pos", "comp", "hot", "weight", reach.alias("reach"), band.alias("band"),
-        F.coalesce("hot_weight", F.lit(0)).alias("hot_weight"))
+        F.sum(hot_weight).over(of_class).alias("hot_weight"),
+        *(F.sum(w).over(of_class.orderBy(F.desc("pos"))).alias(f"{name}_left") for name, w in (("hot", hot_weight), ("cold", cold_weight))))
 
     def side(of: DataFrame, name: str) -> DataFrame:
         return of.select("node", "band", *(F.col(c).alias(f"{name}_{c}") for c in (
-            "cls", "size", "pos", "comp", "weight", "reach", "hot_weight")))
+            "cls", "size", "pos", "comp", "weight", "reach", "hot_weight", "hot_left", "cold_left")))
 
     cold = rows.where("NOT hot")
     bound = F.least("a_pos", "b_pos") + F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
@@ -368,10 +370,11 @@ def _across(nodes: DataFrame) -> DataFrame:
     # A partner holds 4/3 of the smaller set at most: its band is the same, the next, or by rounding the one after.
     bands = F.explode(F.array(*(F.col("band") + k for k in range(3))))
     probes = side(hot.where("reach >= size").withColumn("band", bands), "a")
+    left = F.least("a_hot_left", "b_hot_left") + F.least("a_cold_left", "b_cold_left")
     first = probes.join(side(hot, "b"), ["node", "band"]).where(
         (F.col("a_size") <= F.col("b_size")) & (F.col("b_size") <= F.col("a_reach")) & (F.col("a_size") <= F.col("b_reach"))
         & ((F.col("a_size") < F.col("b_size")) | (F.col("a_cls") < F.col("b_cls")))
-        & (F.col("a_comp") != F.col("b_comp"))).withColumn("n", F.lit(0).cast("long"))
+        & (F.col("a_comp") != F.col("b_comp")) & _often_enough(left, "a_size", "b_size")).withColumn("n", F.lit(0).cast("long"))
 
     def ends(pairs: DataFrame) -> DataFrame:
         """One order of the two classes, for either kind of meeting."""
@@ -383,7 +386,7 @@ def _across(nodes: DataFrame) -> DataFrame:
             F.least("a_hot_weight", "b_hot_weight").alias("hot"), "n")
 
     counted = ends(met).unionByName(ends(first)).groupBy("u", "v", "u_size", "v_size", "hot").agg(F.sum("n").alias("n"))
-    return counted.withColumn("n", F.col("n") + F.col("hot")).where(_often_enough("n", "u_size", "v_size")).select("u", "v")
+    return counted.withColumn("n", F.col("n") + F.col("hot")).where(_often_enough(F.col("n"), "u_size", "v_size")).select("u", "v")
 
 
 def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -425,20 +428,16 @@ def _members(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     def promising(neighbours: DataFrame) -> DataFrame:
         """Pairs (cls, v) that meet often enough as neighbours, one for each cls: the one met most often."""
         counted = neighbours.where(_close("size", "v_size")).groupBy("cls", "v", "size", "v_size").agg(
-            F.count("*").alias("n")).where(_often_enough("n", "size", "v_size"))
+            F.count("*").alias("n")).where(_often_enough(F.col("n"), "size", "v_size"))
         return counted.groupBy(F.col("cls").alias("u")).agg(F.max(F.struct("n", "v")).alias("best")).select(
             "u", F.col("best.v").alias("v"))
 
-    links = linked(promising(met.where("before IS NOT NULL").withColumnsRenamed({"before": "v", "before_size": "v_size"})))
-    comp = components(links)
+    comp = components(linked(promising(met.where("before IS NOT NULL").withColumnsRenamed({"before": "v", "before_size": "v_size"}))))
 
     along = Window.partitionBy("token").orderBy("size", "cls")
     now = placed(comp).withColumns({f"v_{c}" if c != "cls" else "v": F.lag(c).over(along) for c in ("cls", "comp", "size")})
-    links = links.unionByName(linked(promising(now.where(F.col("comp") != F.col("v_comp")))))
-    comp = components(links)
-
-    often = _across(_nodes(placed(comp)))
-    comp = components(links.unionByName(linked(often)))
+    comp = merged(comp, linked(promising(now.where(F.col("comp") != F.col("v_comp")))))
+    comp = merged(comp, linked(_across(_nodes(placed(comp)))))
 
     full = per_doc.where("n > 0").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "comp", F.coalesce("comp", "cls"))

@@ -94,6 +94,23 @@ def test_components(spark):
     assert got == {(i, 0) for i in range(13)} | {(i, 100) for i in (100, 101, 102)}
 
 
+def test_components_merged_with_more_links(spark, monkeypatch):
+    """Links between components join them; links inside one, and links gone through before, start no rounds."""
+    rng = random.Random(4)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(220)]
+    first, more = links[:150], links[150:] + [(500, 501), (501, 3)]
+    frame = lambda rows: spark.createDataFrame(rows, "u long, v long")
+    before = components.components(frame(first))
+    assert {tuple(r) for r in components.merged(before, frame(more)).collect()} == {
+        tuple(r) for r in components.components(frame(first + more)).collect()}
+    seen = []
+    mark = components._mark
+    monkeypatch.setattr(components, "_mark", lambda edges: seen.append(mark(edges)) or seen[-1])
+    inside = [r for r in first if r[0] != r[1]]
+    assert {tuple(r) for r in components.merged(before, frame(inside)).collect()} == {tuple(r) for r in before.collect()}
+    assert [n for n, _ in seen] == [0]
+
+
 def test_rows_without_id_are_linked(spark, make_docs):
     base = " ".join(f"word{k}" for k in range(60))
     other = " ".join(f"other{k}" for k in range(60))
