@@ -45,13 +45,35 @@ def keep_memory() -> None:
             libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
 
 
+_busy_with: str | None = None
+
+
+def release_memory(work: str) -> None:
+    """Hand back to the system what earlier tasks of other work left free in this process.
+
+    Workers live through all queries of an application and pass from one operator to the
+    next; what each of them keeps would add up on the executor. Tasks of the same work reuse it.
+    """
+    global _busy_with
+    if _busy_with not in (None, work):
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+    _busy_with = work
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: str) -> DataFrame:
     """`mapInArrow` in small batches: BATCH_ROWS long texts must fit next to a task."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
+    work = f"{fn.__module__}.{fn.__qualname__}"
+
     def run(batches):
         keep_memory()
+        release_memory(work)
         yield from fn(batches)
 
     return df.mapInArrow(run, schema)

@@ -1,6 +1,9 @@
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -67,3 +70,26 @@ def test_packing_of_odd_rows(make_docs, odd_rows, encoder):
 
 def test_empty(make_docs):
     assert packing.pack(packing.pieces(make_docs([]))).count() == 0
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_workers_hand_back_memory_between_operators():
+    """A worker that goes on to another operator does not keep what the last one has freed."""
+    code = """if True:
+        import numpy as np
+        from gaugebook.llm import text
+
+        def resident():
+            return int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20
+
+        text.keep_memory()
+        text.release_memory("first")
+        held = [np.ones(1 << 17) for _ in range(300)]
+        held = held[-1:]
+        text.release_memory("first")
+        kept = resident()
+        text.release_memory("second")
+        print(kept - resident())
+    """
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(out.stdout) > 150
