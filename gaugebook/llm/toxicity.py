@@ -148,10 +148,12 @@ def learn_entries(counted: list[tuple[str, int, int]], toxic: int, clean: int) -
     def odds(a: int, b: int) -> float:
         return ((a + 0.5) / (toxic + 1)) / ((b + 0.5) / (clean + 1))
 
+    # Of a few documents no term has higher odds than one that all toxic ones hold, and no clean one.
+    least_odds = min(ODDS, odds(toxic, 0))
     kept: dict[str, float] = {}
     for term in sorted(by_term, key=lambda t: (len(t.rstrip()), t)):
         a, b = by_term[term]
-        if a >= LEAST and odds(a, b) >= ODDS:
+        if a >= LEAST and odds(a, b) >= least_odds:
             bare = term.rstrip()
             if not any(bare[:n] in kept for n in range(min(BEGINNINGS) + 1, len(bare) + 1)):
                 kept[term] = float(np.log(odds(a, b)))
@@ -168,7 +170,7 @@ def learn_entries(counted: list[tuple[str, int, int]], toxic: int, clean: int) -
             own, others = by_term[other]
             lost = (a - own) * (clean + 1) > REST_ODDS * (b - others) * (toxic + 1)
             # What takes a beginning's place is an entry by itself: it may be harmless otherwise.
-            if not lost and own >= LEAST and odds(own, others) >= ODDS and (len(other), other) > (len(best), best):
+            if not lost and own >= LEAST and odds(own, others) >= least_odds and (len(other), other) > (len(best), best):
                 best = other
         return best
 
